@@ -156,11 +156,11 @@ def _(v):
 CUT = "cut as (select quantile_cont(unit_price, 0.8) as q from demand)"
 
 
-@query("price_quantiles", "A04", "select quantile_cont(unit_price, 0.75) as q75, quantile_cont(unit_price, 0.8) as q80, quantile_cont(unit_price, 0.5) as q50 from demand", "demand")
+@query("price_quantiles", "A04", "select round(quantile_cont(unit_price, 0.75), 6) as q75, round(quantile_cont(unit_price, 0.8), 6) as q80, round(quantile_cont(unit_price, 0.5), 6) as q50 from demand", "demand")
 def _(v):
     q = exact_quantiles(v.demand, "unit_price", [0.75, 0.8, 0.5])
     row = [(q[0.75], q[0.8], q[0.5])]
-    return rounded(v.spark.createDataFrame(row, "q75 double, q80 double, q50 double"), "q75", "q80", "q50", digits=9)
+    return rounded(v.spark.createDataFrame(row, "q75 double, q80 double, q50 double"), "q75", "q80", "q50")
 
 
 @query("high_value_flags", "E18 A04", f", {CUT} select {K}, case when unit_price > q then 1 else 0 end as is_high_value from demand, cut", "demand")

@@ -255,14 +255,14 @@ def _(v):
 @query(
     "stock_matrix",
     "A10",
-    """select product_id, max(stock_levels) filter (store_id = 0) as store_0, max(stock_levels) filter (store_id = 1) as store_1,
-              max(stock_levels) filter (store_id = 2) as store_2, max(stock_levels) filter (store_id = 3) as store_3,
-              max(stock_levels) filter (store_id = 4) as store_4
+    """select product_id, max(stock_levels) filter (store_id = 0)::double as store_0, max(stock_levels) filter (store_id = 1)::double as store_1,
+              max(stock_levels) filter (store_id = 2)::double as store_2, max(stock_levels) filter (store_id = 3)::double as store_3,
+              max(stock_levels) filter (store_id = 4)::double as store_4
        from inventory group by product_id""",
     "inventory",
 )
 def _(v):
-    return stock_matrix(v.inventory)
+    return _as_double(stock_matrix(v.inventory), *[f"store_{i}" for i in range(5)])
 
 
 @query(
@@ -279,6 +279,11 @@ def _(v):
     return histogram(v.inventory, "warehouse_capacity", 10)
 
 
+def _as_double(df, *columns):
+    """Whole numbers that can be null, as doubles: both engines then show null alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 # --- joins ---
 
 
@@ -603,8 +608,8 @@ def _(v):
     "reorder_log",
     "B11 U02 P02 P10 S04",
     f"""+{SUGGESTED}
-        select product_id, store_id, null::bigint as stock_levels, null::double as predicted_demand, null::integer as lead_time_days,
-               null::bigint as safety_stock, cast(reorder_qty as bigint) as reorder_qty, '2024-06-01 00:00:00' as triggered_at, null::varchar as triggered_by
+        select product_id, store_id, null::double as stock_levels, null::double as predicted_demand, null::double as lead_time_days,
+               null::double as safety_stock, cast(reorder_qty as bigint) as reorder_qty, '2024-06-01 00:00:00' as triggered_at, null::varchar as triggered_by
         from suggestions where product_id % 2 = 0
         union all
         select product_id, store_id, stock_levels, predicted_demand, lead_time_days, safety_stock, reorder_qty, '{AS_OF_TIME}', 'Auto-System' from suggestions""",
@@ -613,7 +618,7 @@ def _(v):
 def _(v):
     s = _suggestions(v)
     before = s.where("product_id % 2 = 0").select(*KEYS, "reorder_qty", F.lit("2024-06-01 00:00:00").alias("triggered_at"))
-    return reorder.reorder_log(s, AS_OF_TIME, before)
+    return _as_double(reorder.reorder_log(s, AS_OF_TIME, before), "stock_levels", "lead_time_days", "safety_stock")
 
 
 # --- redistribution ---
@@ -901,14 +906,14 @@ LEDGER = """numbered as (
     "movement_log",
     "T01 T02 T03",
     f"""+{LEDGER}
-        select event_id, product_id, store_id, qty, tx_type, accepted, case when not accepted then 'not enough stock' end as reason, stock_after from walk
+        select event_id, product_id, store_id, qty, tx_type, accepted, case when not accepted then 'not enough stock' end as reason, stock_after::double as stock_after from walk
         union all
         select event_id, product_id, store_id, qty, tx_type, false, 'unknown product and store', null from movements anti join opening using (product_id, store_id)""",
     "movements opening",
     recursive=True,
 )
 def _(v):
-    return settle(v.movements, v.opening).drop("ts")
+    return _as_double(settle(v.movements, v.opening).drop("ts"), "stock_after")
 
 
 @query(

@@ -184,8 +184,8 @@ SQL = {
              join customer on c_custkey = o_custkey
         group by p_brand, n_name, cast(l_shipdate as date)""",
     "demand_indexed": """
-        select *, sales_quantity * 10 as promotion_budget, day(dt) % 8 as promotion_days,
-               month(dt) * 5 + 60 as weather_index, day(dt) + 85 as economic_index
+        select *, sales_quantity * 10 as promotion_budget, cast(day(dt) % 8 as integer) as promotion_days,
+               cast(month(dt) * 5 + 60 as integer) as weather_index, cast(day(dt) + 85 as integer) as economic_index
         from demand""",
     "scored": """
         select *, avg(sales_quantity) over (partition by product_id, store_id order by dt

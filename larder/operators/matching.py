@@ -15,6 +15,13 @@ def match(left: DataFrame, right: DataFrame, keys: list[str] = KEYS) -> DataFram
     return left.join(right, keys, "inner")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys come from the left side."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def match_suffixed(left: DataFrame, right: DataFrame, suffixes: tuple[str, str], keys: list[str] = KEYS) -> DataFrame:
     """Inner join; non-key columns found on both sides get a suffix."""
     shared = [c for c in left.columns if c in right.columns and c not in keys]

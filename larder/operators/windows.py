@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from larder.operators.matching import null_safe_join
 from larder.operators.positions import with_positions
 from larder.session import stage
 
@@ -44,9 +45,8 @@ def over_series(
     )
     if hot.isEmpty():
         return _plain(df, keys, order_by, columns)
-    same = [df[k].eqNullSafe(hot[k]) for k in keys]
-    short = _plain(df.join(hot, same, "left_anti"), keys, order_by, columns)
-    long = _blocked(df.join(hot, same, "left_semi"), keys, order_by, columns, before, after, block_rows)
+    short = _plain(null_safe_join(df, hot, keys, "left_anti"), keys, order_by, columns)
+    long = _blocked(null_safe_join(df, hot, keys, "left_semi"), keys, order_by, columns, before, after, block_rows)
     return short.unionByName(long)
 
 
@@ -61,8 +61,7 @@ def _blocked(
     placed = with_positions(df, [*keys, *order_by], "_pos")
     # one row per long series: at most n / block_rows of them
     starts = placed.groupBy(*keys).agg(F.min("_pos").alias("_start"))
-    same = [placed[k].eqNullSafe(starts[k]) for k in keys]
-    rows = placed.join(starts, same).select(*[placed[c] for c in df.columns], (F.col("_pos") - F.col("_start")).alias("_row"))
+    rows = null_safe_join(placed, starts, keys).select(*df.columns, (F.col("_pos") - F.col("_start")).alias("_row"))
     home = F.expr(f"_row div {block_rows}")
     inside = F.col("_row") % block_rows
     nearby = F.array_compact(
@@ -175,10 +174,7 @@ def seasonal_decomposition(
         (F.col("_mean") - F.avg("_mean").over(per_series)).alias("_seasonal"),
         F.sum("_rows").over(per_series).alias("_length"),
     )
-    same = [trended[c].eqNullSafe(seasonal[c]) for c in [*keys, "_phase"]]
-    joined = trended.join(seasonal, same, "left").select(
-        *[trended[c] for c in trended.columns if c not in ("trend", "_phase")], "trend", "_seasonal", "_length"
-    )
+    joined = null_safe_join(trended, seasonal, [*keys, "_phase"], "left").drop("_phase")
     enough = F.col("_length") >= 2 * period
     return (
         joined.withColumn("trend", F.when(enough, F.col("trend")))

@@ -240,9 +240,10 @@ NORMAL_80 = 1.2815515655446004
 
 
 def _outlook_rows(rows: DataFrame, terms: dict[str, str]) -> DataFrame:
-    name = us_holiday(F.col("date"))
-    flags = {f"h_{i}": F.coalesce(F.startswith(name, F.lit(n)), F.lit(False)).cast("double") for i, n in enumerate(HOLIDAY_NAMES)}
-    return rows.withColumns({c: F.expr(e) for c, e in terms.items()} | flags)
+    name = F.coalesce("_holiday", F.lit(""))
+    flags = {f"h_{i}": name.startswith(n).cast("double") for i, n in enumerate(HOLIDAY_NAMES)}
+    named = rows.withColumn("_holiday", us_holiday(F.col("date")))
+    return named.withColumns({c: F.expr(e) for c, e in terms.items()} | flags).drop("_holiday")
 
 
 def demand_outlook(
