@@ -16,6 +16,7 @@ from larder.operators.summaries import daily_total, level_list, top_n
 from larder.operators.windows import naive_forecast, over_series, lag_columns, rolling_mean, seasonal_decomposition
 from larder.plans import evaluate, features, forecast, reports
 from larder.schemas import KEYS
+from larder.session import stage
 
 K = "product_id, store_id, cast(dt as varchar) as date"
 W = "partition by product_id, store_id order by dt"
@@ -255,8 +256,8 @@ def _(v):
                            then sum(sales_quantity) over ({W} rows between 3 preceding and 3 following) / 7 end as tr from demand),
           m as (select product_id, store_id, phase, avg(sales_quantity - tr) as mean from n group by all),
           s as (select product_id, store_id, phase, mean - avg(mean) over (partition by product_id, store_id) as seas from m)
-        select {K}, sales_quantity, round(case when len >= 14 then tr end, 6) as trend, round(case when len >= 14 then seas end, 6) as seasonal,
-               round(case when len >= 14 then sales_quantity - tr - seas end, 6) as residual
+        select {K}, sales_quantity, round(case when len >= 14 then tr end, 6) + 0.0::double as trend, round(case when len >= 14 then seas end, 6) + 0.0::double as seasonal,
+               round(case when len >= 14 then sales_quantity - tr - seas end, 6) + 0.0::double as residual
         from n join s using (product_id, store_id, phase)""",
     "demand",
 )
@@ -428,7 +429,8 @@ ALL_NAMES = [*ERROR_NAMES, *COVERAGE_NAMES, *HIGH_NAMES]
     "scored",
 )
 def _(v):
-    rows = features.with_high_value(v.scored, features.high_value_cut(v.demand))
+    scored = stage(v.scored.select(*KEYS, "sales_quantity", "prediction", "unit_price"), "scored")
+    rows = features.with_high_value(scored, features.high_value_cut(scored))
     return rounded(rounded(evaluate.evaluate(rows), *ALL_NAMES), *MONEY, digits=2)
 
 
@@ -453,7 +455,9 @@ CAL = """(isodow(dt) - 1)::int as day_of_week, day(dt)::int as day_of_month, mon
     "demand demand_indexed holidays",
 )
 def _(v):
-    return features.demand_features(v.demand_indexed, levels=_levels(v), daily_grain=True)
+    # read three times: for the price cut, the largest budget and the features
+    rows = stage(v.demand_indexed, "demand")
+    return features.demand_features(rows, levels=_levels(v), daily_grain=True)
 
 
 @query(

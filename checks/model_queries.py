@@ -23,7 +23,7 @@ def _levels(v):
 
 
 def _features(v):
-    rows = features.demand_features(v.demand_indexed, levels=_levels(v), shifted=True, daily_grain=True)
+    rows = features.demand_features(stage(v.demand_indexed, "demand"), levels=_levels(v), shifted=True, daily_grain=True)
     return stage(rows, "features")
 
 

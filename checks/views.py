@@ -82,14 +82,29 @@ class Views:
             .join(orders, lines.l_orderkey == orders.o_orderkey)
             .join(customer, orders.o_custkey == customer.c_custkey)
         )
-        month, discount, tax, flag = F.month("date"), F.max("l_discount"), F.max("l_tax"), F.max("l_returnflag")
-        return joined.groupBy(F.col("p_brand").alias("product_id"), F.col("n_name").alias("store_id"), "date").agg(
+        # Labels are picked by number: a string in an aggregation buffer would force a sort-based aggregate.
+        segments = self.table("customer").agg(F.array_sort(F.collect_set("c_mktsegment"))).scalar()
+        segment = F.array_position(segments, F.col("c_mktsegment"))
+        flag = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0)
+        totals = joined.groupBy(F.col("p_brand").alias("product_id"), F.col("n_name").alias("store_id"), "date").agg(
             F.sum("l_quantity").alias("sales_quantity"),
             _unit_price().alias("unit_price"),
-            F.when(discount >= 0.08, "Yes").otherwise("No").alias("promotions"),
-            F.max(F.when(month.isin(11, 12), "Festival").when(month.isin(1, 7), "Holiday").otherwise("None")).alias("seasonality_factors"),
-            F.when(flag == "R", "Increasing").when(flag == "N", "Stable").otherwise("Decreasing").alias("demand_trend"),
-            F.min("c_mktsegment").alias("customer_segments"),
+            F.max("l_discount").alias("discount"),
+            F.max("l_tax").alias("tax"),
+            F.max(flag).alias("flag"),
+            F.min(segment).cast("int").alias("segment"),
+        )
+        month, tax = F.month("date"), F.col("tax")
+        return totals.select(
+            "product_id",
+            "store_id",
+            "date",
+            "sales_quantity",
+            "unit_price",
+            F.when(F.col("discount") >= 0.08, "Yes").otherwise("No").alias("promotions"),
+            F.when(month.isin(11, 12), "Festival").when(month.isin(1, 7), "Holiday").otherwise("None").alias("seasonality_factors"),
+            F.element_at(F.array(F.lit("Decreasing"), F.lit("Stable"), F.lit("Increasing")), F.col("flag") + 1).alias("demand_trend"),
+            F.element_at(segments, F.col("segment")).alias("customer_segments"),
             F.when(tax >= 0.08, "Competitor Pricing")
             .when(tax >= 0.05, "Weather")
             .when(tax >= 0.02, "Economic Indicators")

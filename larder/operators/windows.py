@@ -89,7 +89,8 @@ def rolling_mean(value: str, rows: int, w: WindowSpec, min_rows: int | None = No
     """
     frame = w.rowsBetween(-rows, -1) if shifted else w.rowsBetween(1 - rows, 0)
     needed = rows if min_rows is None else min_rows
-    return F.when(F.count(value).over(frame) >= needed, F.avg(value).over(frame))
+    there, total = F.count(value).over(frame), F.sum(value).over(frame)
+    return F.when(there >= needed, total / there)
 
 
 def with_history(

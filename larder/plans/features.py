@@ -25,6 +25,7 @@ HIGH_VALUE_SHARE = 0.8
 CALENDAR = ["day_of_week", "day_of_month", "month", "year", "is_weekend", "is_holiday"]
 CODES = ["promotions_code", "seasonality_code", "trend_code"]
 FLAGS = ["has_competitor", "bad_weather", "economic_downturn"]
+LABELS = ["promotions", "seasonality_factors", "external_factors", "demand_trend", "customer_segments"]
 HISTORY = ["lag_1", "lag_7", "lag_30", "rolling_7_mean", "rolling_30_mean"]
 
 
@@ -94,16 +95,20 @@ def demand_features(
     not given; pass the fitted ones when scoring. Rows with a null feature are dropped
     unless ``keep_incomplete``.
     """
-    rows = demand.withColumn("date", parse_date(F.col("date")))
-    if "unit_price" in rows.columns:
-        cut = high_value_cut(rows) if cut is None else cut
+    if "unit_price" in demand.columns and cut is None:
+        cut = high_value_cut(demand)
+    levels = level_list(demand, "customer_segments") if levels is None else levels
+    rows = with_effects(demand)
+    if "unit_price" in demand.columns:
         rows = with_high_value(rows, cut)
-    levels = level_list(rows, "customer_segments") if levels is None else levels
+    rows = with_codes(rows).withColumns(factor_flags(demand.columns)).withColumns(one_hot("customer_segments", levels))
+    rows = with_interactions(rows.withColumn("date", parse_date(F.col("date")))).drop(*LABELS)
     rows = with_history(rows, KEYS, ["date"], "sales_quantity", shifted=shifted, daily_grain=daily_grain, block_rows=block_rows)
-    rows = with_interactions(with_effects(with_codes(with_calendar(rows))))
-    rows = rows.withColumns(factor_flags(demand.columns)).withColumns(one_hot("customer_segments", levels))
-    rows = rows.drop("seasonality_factors", "external_factors", "promotions", "demand_trend", "customer_segments")
-    return rows if keep_incomplete else drop_incomplete(rows)
+    if not keep_incomplete:
+        # every other feature is null only where one of these is
+        kept = [c for c in demand.columns if c not in LABELS]
+        rows = drop_incomplete(rows, [*kept, *CODES, *HISTORY])
+    return with_calendar(rows)
 
 
 def flat_features(demand: DataFrame, levels: list[str]) -> DataFrame:
@@ -113,7 +118,7 @@ def flat_features(demand: DataFrame, levels: list[str]) -> DataFrame:
     return (
         rows.withColumns(factor_flags(demand.columns))
         .withColumns(one_hot("customer_segments", levels))
-        .drop("seasonality_factors", "external_factors", "promotions", "demand_trend", "customer_segments")
+        .drop(*LABELS)
     )
 
 
