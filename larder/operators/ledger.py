@@ -16,7 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,28 +40,40 @@ def _walk(openings: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, group, level, total = None, None, 0, 0
+        last, level, total = None, 0, 0
         for batch in batches:
-            levels, taken, totals = [], [], []
-            for p, g, opening, delta in zip(
-                batch.column("_range").to_pylist(),
-                batch.column("_group").to_pylist(),
-                batch.column("_opening").to_pylist(),
-                batch.column("_delta").to_pylist(),
-            ):
-                if g != group or p != part:
-                    level, total = openings.get(p, opening), 0
-                    part, group = p, g
-                total += delta
-                ok = delta >= 0 or level + delta >= 0
-                if ok:
-                    level += delta
-                levels.append(level)
-                taken.append(ok)
-                totals.append(total)
+            if batch.num_rows == 0:
+                continue
+            part, group = batch.column("_range"), batch.column("_group")
+            delta = batch.column("_delta").to_numpy(zero_copy_only=False)
+            changes = pc.or_(pc.not_equal(part[1:], part[:-1]), pc.not_equal(group[1:], group[:-1]))
+            starts = np.r_[0, np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1]
+            sizes = np.diff(np.r_[starts, batch.num_rows])
+            parts = part.to_numpy(zero_copy_only=False)[starts]
+            opening = batch.column("_opening").to_numpy(zero_copy_only=False)[starts].copy()
+            if openings:
+                opening = np.array([openings.get(int(p), o) for p, o in zip(parts, opening)])
+            before = np.zeros_like(opening)
+            if last == (part[0].as_py(), group[0].as_py()):
+                opening[0], before[0] = level, total
+            sums = np.cumsum(delta)
+            sums -= np.repeat(sums[starts] - delta[starts], sizes)
+            levels = np.repeat(opening, sizes) + sums
+            taken = np.ones(batch.num_rows, dtype=bool)
+            # a stretch that never falls below zero refuses nothing; the others go row by row
+            for i in np.flatnonzero(np.minimum.reduceat(levels, starts) < 0):
+                at, now = starts[i], int(opening[i])
+                for j, d in enumerate(delta[at : at + sizes[i]].tolist(), at):
+                    if d >= 0 or now + d >= 0:
+                        now += d
+                    else:
+                        taken[j] = False
+                    levels[j] = now
+            totals = sums + np.repeat(before, sizes)
+            last, level, total = (part[-1].as_py(), group[-1].as_py()), levels[-1], totals[-1]
             keep = [n for n in batch.schema.names if n not in ("stock_after", "accepted", "_total")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in keep), pa.array(levels, pa.int64()), pa.array(taken, pa.bool_()), pa.array(totals, pa.int64())],
+                [*(batch.column(n) for n in keep), pa.array(levels), pa.array(taken), pa.array(totals)],
                 names=[*keep, "stock_after", "accepted", "_total"],
             )
 

@@ -33,15 +33,15 @@ def match_suffixed(left: DataFrame, right: DataFrame, suffixes: tuple[str, str],
 def match_or_product(demand: DataFrame, inventory: DataFrame) -> DataFrame:
     """Join on product and store; if that finds nothing at all, on product alone.
 
-    The fallback branch is switched by an uncorrelated EXISTS over the key columns, so
-    its rows are filtered out before any shuffle when the first join has a match.
-    The store of a product-only match is the inventory's.
+    The fallback branch is switched by an uncorrelated EXISTS over the key columns. Both
+    its sides carry the switch, so when the first join has a match no row of it reaches
+    a shuffle. The store of a product-only match is the inventory's.
     """
     demand, inventory = align_keys(demand, inventory)
     exact = demand.join(inventory, KEYS, "inner")
-    any_match = demand.select(*KEYS).join(inventory.select(*KEYS), KEYS, "left_semi").limit(1)
+    nothing = ~demand.select(*KEYS).join(inventory.select(*KEYS), KEYS, "left_semi").limit(1).exists()
     by_product = (
-        demand.drop("store_id").where(~any_match.exists()).join(inventory, ["product_id"], "inner").select(*exact.columns)
+        demand.drop("store_id").where(nothing).join(inventory.where(nothing), ["product_id"], "inner").select(*exact.columns)
     )
     return exact.unionByName(by_product)
 
