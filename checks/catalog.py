@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.views import Views, with_views
+from larder.session import tune
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
-        return plain(self.job(Views(spark, folder)))
+        return plain(self.job(Views(tune(spark), folder)))
 
 
 CATALOG: dict[str, Query] = {}

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from larder.operators.columns import align_keys
 from larder.schemas import KEYS
-from larder.session import range_count, stage
+from larder.session import stage
 
 SALE, RESTOCK = "SALE", "RESTOCK"
 LOG_COLUMNS = ["event_id", "ts", *KEYS, "qty", "tx_type", "accepted", "reason", "stock_after"]
@@ -118,7 +118,7 @@ def settle(movements: DataFrame, stock: DataFrame) -> DataFrame:
     known, refused = _judged(movements, stock)
     order = [*KEYS, "ts", "event_id"]
     ranged = (
-        known.repartitionByRange(range_count(known.sparkSession), *order)
+        known.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_slot", _LOCAL_BITS).cast("int"))
@@ -155,7 +155,7 @@ def _chained(walked: DataFrame) -> DataFrame:
 
     def again(parts: dict[int, int]) -> DataFrame:
         rows = head_rows.where(F.col("_range").isin(list(parts)))
-        whole = rows.repartition(range_count(spark), "_range").sortWithinPartitions("_range", "_slot")
+        whole = rows.repartition("_range").sortWithinPartitions("_range", "_slot")
         return _walked(whole, parts)
 
     known: dict[tuple[int, int], int] = {}

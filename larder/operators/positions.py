@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.session import range_count, stage
+from larder.session import stage
 
 # monotonically_increasing_id keeps the partition number above this bit.
 _LOCAL_BITS = 33
@@ -19,10 +19,9 @@ def with_positions(df: DataFrame, order_by: list[str], position: str = "position
     several ranges. The sorted ranges are staged once; the offsets table has one row per
     range, which bounds what is broadcast by the shuffle width, not by the data.
     """
-    ranges = range_count(df.sparkSession)
     ordered = (
         df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(ranges, *order_by, "_tie")
+        .repartitionByRange(*order_by, "_tie")
         .sortWithinPartitions(*order_by, "_tie")
         .drop("_tie")
         .withColumn("_slot", F.monotonically_increasing_id())

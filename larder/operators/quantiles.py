@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.session import range_count, stage
+from larder.session import stage
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, shares: list[float]) -> dict[float, float | None]:
@@ -25,10 +25,7 @@ def exact_quantiles(df: DataFrame, value: Column | str, shares: list[float]) ->
         .groupBy("v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    spark = df.sparkSession
-    staged = stage(
-        counts.repartitionByRange(range_count(spark), "v").withColumn("part", F.spark_partition_id()), "quantiles"
-    )
+    staged = stage(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "quantiles")
     totals = sorted((r["part"], r["n"]) for r in staged.groupBy("part").agg(F.sum("c").alias("n")).collect())
     n = sum(size for _, size in totals)
     if n == 0:

@@ -161,25 +161,37 @@ def seasonal_decomposition(
         total = F.sum(value).over(wide)
         if even:
             total = total - (F.lag(value, half).over(w) + F.lead(value, half).over(w)) / 2
-        return {"trend": F.when(full, total / period), "_phase": F.col("_row") % period}
+        return {"trend": F.when(full, total / period), "_phase": F.col("_row") % period, "_first": F.col("_row") < period}
 
     trended = over_series(df, keys, order_by, columns, half, half, daily_grain, block_rows)
-    # (series, phase) means: summed on the map side, `period` rows per series
-    phases = trended.groupBy(*keys, "_phase").agg(
-        F.avg(F.col(value) - F.col("trend")).alias("_mean"), F.count(F.lit(1)).alias("_rows")
-    )
-    per_series = Window.partitionBy(*keys)
-    seasonal = phases.select(
-        *keys,
-        "_phase",
-        (F.col("_mean") - F.avg("_mean").over(per_series)).alias("_seasonal"),
-        F.sum("_rows").over(per_series).alias("_length"),
-    )
-    joined = null_safe_join(trended, seasonal, [*keys, "_phase"], "left").drop("_phase")
+    split = _phase_windows if daily_grain else _phase_join
     enough = F.col("_length") >= 2 * period
     return (
-        joined.withColumn("trend", F.when(enough, F.col("trend")))
+        split(trended, keys, F.col(value) - F.col("trend"))
+        .withColumn("trend", F.when(enough, F.col("trend")))
         .withColumn("seasonal", F.when(enough, F.col("_seasonal")))
         .withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal"))
-        .drop("_seasonal", "_length")
+        .drop("_seasonal", "_length", "_phase", "_first")
+    )
+
+
+def _phase_windows(trended: DataFrame, keys: list[str], detrended: Column) -> DataFrame:
+    """Centred phase means of short series: windows on the partitioning the trend has used, no further shuffle."""
+    whole = Window.partitionBy(*keys)
+    phase_mean = F.avg(detrended).over(Window.partitionBy(*keys, "_phase"))
+    means = trended.withColumns({"_mean": phase_mean, "_length": F.count(F.lit(1)).over(whole)})
+    centre = F.avg(F.when(F.col("_first"), F.col("_mean"))).over(whole)
+    return means.withColumn("_seasonal", F.col("_mean") - centre).drop("_mean")
+
+
+def _phase_join(trended: DataFrame, keys: list[str], detrended: Column) -> DataFrame:
+    """The same for series of any length: means are summed on the map side and joined back, one row per phase."""
+    phases = trended.groupBy(*keys, "_phase").agg(F.avg(detrended).alias("_mean"), F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*keys)
+    seasonal = phases.select(
+        *keys,
+        "_phase",
+        (F.col("_mean") - F.avg("_mean").over(whole)).alias("_seasonal"),
+        F.sum("_rows").over(whole).alias("_length"),
     )
+    return null_safe_join(trended, seasonal, [*keys, "_phase"], "left")

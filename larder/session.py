@@ -72,7 +72,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def range_count(spark: SparkSession) -> int:
-    """Number of ranges for a global sort: the cluster's own shuffle width."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

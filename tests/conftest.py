@@ -26,6 +26,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Keep small test tables in several ranges, as large ones are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.fixture
 def inventory(spark):
     rows = [("P1001", "S001", 50, 30, 7), ("P1002", "S001", 10, 20, 5), ("P1003", "S002", 75, 50, 3)]

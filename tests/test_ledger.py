@@ -47,7 +47,7 @@ def test_refused_sale_does_not_count(spark):
 
 
 @pytest.mark.parametrize("sale_share,hot_level,seed", [(0.55, 100, 1), (0.5, 0, 2), (0.3, 5, 3), (0.9, 4000, 4), (0.5, 30, 5)])
-def test_hot_key_over_several_ranges_equals_replay(spark, sale_share, hot_level, seed):
+def test_hot_key_over_several_ranges_equals_replay(spark, many_ranges, sale_share, hot_level, seed):
     rng = random.Random(seed)
     rows = [
         (i, rng.randrange(500), "HOT" if rng.random() < 0.7 else f"P{rng.randrange(12)}", "A", rng.randint(1, 30),

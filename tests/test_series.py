@@ -102,7 +102,7 @@ def test_decomposition(spark, period, block_rows):
     assert (short["trend"], short["seasonal"], short["residual"]) == (None, None, None)
 
 
-def test_positions_with_one_day_holding_most_rows(spark):
+def test_positions_with_one_day_holding_most_rows(spark, many_ranges):
     rows = [(dt.date(2024, 1, 2) if i % 3 else dt.date(2024, 1, 1 + i % 28), f"P{i % 5}") for i in range(500)]
     df = spark.createDataFrame(rows, "date date, product_id string")
     out = with_positions(df, ["date", "product_id"]).orderBy("position").collect()
@@ -110,7 +110,7 @@ def test_positions_with_one_day_holding_most_rows(spark):
     assert [(r["date"], r["product_id"]) for r in out] == sorted(rows)
 
 
-def test_holdout_and_folds(spark):
+def test_holdout_and_folds(spark, many_ranges):
     df = spark.range(103).selectExpr("date_add(date'2024-01-01', cast(id as int)) as date", "id")
     split = chronological_holdout(df, ["date"]).collect()
     assert sorted(r["id"] for r in split if r["is_test"]) == list(range(83, 103))
@@ -123,7 +123,7 @@ def test_holdout_and_folds(spark):
     assert {r["fold"] for r in tiny} == {0}
 
 
-def test_quantiles_match_numpy(spark):
+def test_quantiles_match_numpy(spark, many_ranges):
     rng = np.random.default_rng(5)
     values = np.r_[rng.normal(size=300), np.repeat(0.25, 200)]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
