@@ -92,13 +92,14 @@ def keyed_ledger(movements: DataFrame, stock: DataFrame) -> DataFrame:
     sale, restock = SALE, RESTOCK
 
     def apply(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")
+        batch = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")
         level, newest = state.get if state.exists else (None, None)
-        if level is None and rows["opening"].notna().any():
-            level = int(rows["opening"].dropna().iloc[0])
-        taken, reasons, levels, late = [], [], [], []
-        for ts, qty, kind in zip(rows["ts"], rows["qty"], rows["tx_type"]):
+        if level is None and batch["opening"].notna().any():
+            level = int(batch["opening"].dropna().iloc[0])
+        taken, reasons, after, late = [], [], [], []
+        for ts, qty, kind in zip(batch["ts"], batch["qty"], batch["tx_type"]):
             reason = None
+            delta = 0 if pd.isna(qty) else int(qty) * (-1 if kind == sale else 1)
             if not str(key[1] or "").strip():
                 reason = "invalid store id"
             elif pd.isna(qty):
@@ -107,20 +108,20 @@ def keyed_ledger(movements: DataFrame, stock: DataFrame) -> DataFrame:
                 reason = "unknown type"
             elif level is None:
                 reason = "unknown product and store"
-            elif kind == sale and qty > level:
+            elif delta < 0 and level + delta < 0:
                 reason = "not enough stock"
             else:
-                level += -int(qty) if kind == sale else int(qty)
+                level += delta
             micros = int(ts.value // 1000)
             late.append(newest is not None and micros < newest)
             newest = micros if newest is None else max(newest, micros)
             taken.append(reason is None)
             reasons.append(reason)
-            levels.append(level)
+            after.append(level)
         if level is not None:
             state.update((level, newest))
-        yield rows.drop(columns="opening").assign(
-            accepted=taken, reason=reasons, stock_after=pd.array(levels, dtype="Int64"), late=late
+        yield batch.drop(columns="opening").assign(
+            accepted=taken, reason=reasons, stock_after=pd.array(after, dtype="Int64"), late=late
         )[["event_id", "ts", "product_id", "store_id", "qty", "tx_type", "accepted", "reason", "stock_after", "late"]]
 
     return rows.groupBy(*KEYS).applyInPandasWithState(
