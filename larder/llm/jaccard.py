@@ -43,7 +43,7 @@ from larder.llm.wordhash import mix, shingle_set
 
 SKETCH_BITS, SLICES = 20, 64
 FILTER_BITS = 24
-SALT_ROWS, CHUNK_ROWS = 4096, 512
+SALT_ROWS, CHUNK_ROWS = 512, 512
 LONG_LIST_COST = 0.05  # DivideSkip's mu: price of a probe against that of a merge step
 
 
