@@ -14,6 +14,10 @@ least ``threshold`` (a fraction num/den). The join is exact and goes in four ste
    of inverted lists, and all members of the block search these lists. Pairs known to be
    connected are skipped, so a large group of copies costs no pair work.
 
+Before sets travel in steps 3 and 4, each document's bitmap does (two bits per shingle): a bit that
+only one of two documents has is a shingle that only it has, which bounds their overlap from
+above. Documents that no other of the block can reach stay behind.
+
 A search merges the short lists with a heap and probes the long ones by bisection (DivideSkip).
 Sets of equal digest (128 bit) are one node. Shingles are 64-bit hashes, 48 bits of them where
 sets are compared.
@@ -72,19 +76,19 @@ DEFAULT = Similarity()
 def jaccard_components(docs: DataFrame, sim: Similarity = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("binary").alias("text"))
-    profiled = stage(
-        texts.mapInArrow(partial(_profile, sim=sim), "doc_id long, n int, d1 long, d2 long, slice int, counts binary"), "jaccard-profile"
-    )
+    profiled = stage(texts.mapInArrow(partial(_profile, sim=sim), PROFILE_DDL), "jaccard-profile")
     sizes = profiled.filter("slice is null").select("doc_id", "n", "d1", "d2")
     named = sizes.filter("doc_id is not null")
     classes = named.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     rep_of = named.filter("n > 0").join(classes, ["d1", "d2"]).select("doc_id", "rep").distinct()
 
+    bits_of = classes.join(profiled.filter("n > 0").select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "bits"), ["rep", "d1", "d2"])
+    bits_of = bits_of.dropDuplicates(["rep", "d1", "d2"]).select(F.col("rep").alias("doc_id"), "n", "bits")
     levels = texts.sparkSession.sparkContext.broadcast(_levels(profiled.filter("slice is not null")))
     members = stage(_members(texts, sim, levels, rep_of), "jaccard-members")
-    first = _links(texts, sim, *_hub_blocks(members))
+    first = _links(texts, sim, *_hub_blocks(_reachable(*_hub_blocks(members), bits_of, sim)))
     known = components(first)
-    rest = _links(texts, sim, *_rest_blocks(members, known))
+    rest = _links(texts, sim, *_rest_blocks(members, known, bits_of, sim))
     # rows that share a doc_id with another text tie their classes together
     tied = rep_of.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     linked = components(stage(union_known(known, rest).unionByName(tied), "jaccard-links"))
@@ -110,11 +114,37 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(_signed(mix(a))[0]), int(_signed(mix(b))[0])
 
 
+PROFILE_DDL = "doc_id long, n int, d1 long, d2 long, bits binary, slice int, counts binary"
 PROFILE = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())]
+    [
+        ("doc_id", pa.int64()),
+        ("n", pa.int32()),
+        ("d1", pa.int64()),
+        ("d2", pa.int64()),
+        ("bits", pa.binary()),
+        ("slice", pa.int32()),
+        ("counts", pa.binary()),
+    ]
 )
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """At least two bits per shingle, a power of two of them; larger ones fold to smaller by halves."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    at = s & np.uint64(size - 1)
+    out = np.zeros(size, np.uint8)
+    out[at.astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps folded to ``words`` 64-bit words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
 def _profile(source: Iterator[pa.RecordBatch], sim: Similarity) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     held: list[np.ndarray] = []
@@ -124,7 +154,7 @@ def _profile(source: Iterator[pa.RecordBatch], sim: Similarity) -> Iterator[pa.R
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch, "text"), strict=True):
             s = shingle_set(text, sim.words)
-            rows.append((doc, len(s), *_digest(s), None, None))
+            rows.append((doc, len(s), *_digest(s), bitmap(s).tobytes(), None, None))
             held.append(s >> shift)
             size += len(s)
             if size >= 1 << 20:
@@ -135,7 +165,7 @@ def _profile(source: Iterator[pa.RecordBatch], sim: Similarity) -> Iterator[pa.R
         counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(counts)).astype(np.uint32)
     if counts.any():
         parts = counts.reshape(SLICES, -1)
-        yield from batches(((None, None, None, None, i, parts[i].tobytes()) for i in range(SLICES)), PROFILE)
+        yield from batches(((None, None, None, None, None, i, parts[i].tobytes()) for i in range(SLICES)), PROFILE)
 
 
 def _levels(slices: DataFrame) -> np.ndarray:
@@ -226,8 +256,8 @@ def _hub_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index, probes
 
 
-def _rest_blocks(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index rows: members not connected to their hub so far, in chunks. Probing rows: the whole block."""
+def _rest_blocks(members: DataFrame, known: DataFrame, bits_of: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """Blocks of members that may link beyond what is known."""
     of_hub = known.select(F.col("node").alias("hub"), F.col("component").alias("hub_label"))
     of_doc = known.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     labelled = (
@@ -236,15 +266,21 @@ def _rest_blocks(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataF
         .select("hub", "doc_id", F.coalesce("hub_label", "hub").alias("hub_label"), F.coalesce("label", "doc_id").alias("label"))
     )
     labelled = stage(labelled, "jaccard-labelled")
+    near = _reachable(*_stray_blocks(labelled), bits_of, sim)
+    return _stray_blocks(labelled.join(near, ["hub", "doc_id"], "left_semi"))
+
+
+def _stray_blocks(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index rows: members not connected to their hub so far, in chunks. Probing rows: the whole block."""
     parts = (
         labelled.groupBy("hub")
         .agg(F.count("*").alias("n"), F.count_if(F.expr("label <> hub_label")).alias("strays"))
         .filter("strays > 0 and n > 1")  # a lone member has been compared with its hub
         .select("hub", _pieces("strays", CHUNK_ROWS).alias("chunks"), _pieces("n", SALT_ROWS).alias("salts"))
     )
-    strays = labelled.filter("label <> hub_label")
     index = (
-        strays.join(parts, "hub")
+        labelled.filter("label <> hub_label")
+        .join(parts, "hub")
         .withColumn("chunk", _part("chunks"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .select("hub", "chunk", "salt", "doc_id", "label")
@@ -258,22 +294,80 @@ def _rest_blocks(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataF
     return index, probes
 
 
+def _dealt(index: DataFrame, probes: DataFrame, content: DataFrame) -> DataFrame:
+    """Rows with their content, parts of blocks together, index rows first."""
+    rows = index.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1)))
+    return rows.join(content, "doc_id").repartition("hub", "chunk", "salt").sortWithinPartitions("hub", "chunk", "salt", "role")
+
+
+def _reachable(index: DataFrame, probes: DataFrame, bits_of: DataFrame, sim: Similarity) -> DataFrame:
+    """(hub, doc_id) of members that, by their bitmaps, may link to another document of the block."""
+    dealt = _dealt(index, probes, bits_of).select("hub", "chunk", "salt", "role", "doc_id", "label", "n", "bits")
+    return stage(dealt.mapInArrow(partial(_compare_bits, sim=sim), "hub long, doc_id long").distinct(), "jaccard-reachable")
+
+
+class Bitmaps:
+    """Bitmaps of one chunk, by their size."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+        by_size: dict[int, list] = {}
+        for doc, label, n, data in rows:
+            by_size.setdefault(len(data) // 8, []).append((doc, label, n, data))
+        self.parts = []
+        for words, own in by_size.items():
+            bits = np.frombuffer(b"".join(r[3] for r in own), np.uint64).reshape(len(own), words)
+            self.parts.append((words, bits, *(np.array([r[i] for r in own], np.int64) for i in range(3))))
+
+    def near(self, sim: Similarity, doc: int, label: int, n: int, data: bytes) -> list[int]:
+        """Documents of the chunk with another label whose overlap bound reaches what is required."""
+        own = np.frombuffer(data, np.uint64)
+        found: list[int] = []
+        for words, bits, docs, labels, sizes in self.parts:
+            fit = (sizes * sim.den >= n * sim.num) & (n * sim.den >= sizes * sim.num) & (labels != label) & (docs != doc)
+            if not fit.any():
+                continue
+            common = min(words, len(own))
+            theirs, mine = folded(bits[fit], common), folded(own, common)
+            only_mine = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
+            only_theirs = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n - only_mine, sizes[fit] - only_theirs)
+            found += docs[fit][(sim.num + sim.den) * most >= sim.num * (n + sizes[fit])].tolist()
+        return found
+
+
+def _compare_bits(source: Iterator[pa.RecordBatch], sim: Similarity) -> Iterator[pa.RecordBatch]:
+    def rows():
+        block, waiting, index, seen = None, [], None, set()
+        for batch in source:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "chunk", "salt")), strict=True)
+            rest = zip(*(batch.column(c).to_pylist() for c in ("role", "doc_id", "label", "n", "bits")), strict=True)
+            for key, (role, *row) in zip(keys, rest, strict=True):
+                if key != block:
+                    block, waiting, index, seen = key, [], None, set()
+                if role == 0:
+                    waiting.append(row)
+                    continue
+                if index is None:
+                    index = Bitmaps(waiting)
+                if near := index.near(sim, *row):
+                    for doc in {row[0], *near} - seen:
+                        yield key[0], doc
+                    seen.update((row[0], *near))
+
+    yield from batches(rows(), pa.schema([("hub", pa.int64()), ("doc_id", pa.int64())]))
+
+
 def _links(texts: DataFrame, sim: Similarity, index: DataFrame, probes: DataFrame) -> DataFrame:
     """Links (a, b) found in the blocks; texts of documents in no block are not shuffled."""
-    rows = stage(index.withColumn("role", F.lit(0)).unionByName(probes.withColumn("role", F.lit(1))), "jaccard-blocks")
-    wanted = key_bitmap(rows.select(F.xxhash64("doc_id").alias("h")), FILTER_BITS)
+    needed = index.select("doc_id").unionByName(probes.select("doc_id"))
+    wanted = key_bitmap(needed.select(F.xxhash64("doc_id").alias("h")), FILTER_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
     sets = (
         texts.filter("doc_id is not null")
         .withColumn("slot", slot_of(F.xxhash64("doc_id"), FILTER_BITS))
         .mapInArrow(partial(_sets, sim=sim, wanted=shared), "doc_id long, n int, tokens binary")
     )
-    blocks = (
-        rows.join(sets, "doc_id")
-        .repartition("hub", "chunk", "salt")
-        .sortWithinPartitions("hub", "chunk", "salt", "role")
-        .select("hub", "chunk", "salt", "role", "doc_id", "label", "n", "tokens")
-    )
+    blocks = _dealt(index, probes, sets).select("hub", "chunk", "salt", "role", "doc_id", "label", "tokens")
     return blocks.mapInArrow(partial(_search_blocks, sim=sim), "a long, b long").distinct()
 
 
