@@ -1,17 +1,64 @@
-"""Corpus pipeline: a list of named stages over ``documents``."""
+"""Corpus pipeline: quality, near duplicates, benchmark leaks, source mix and shards, over ``documents``.
+
+Each stage takes what the one before kept and returns the columns of documents; the last adds
+shard and slot. Stages work on all rows they get:
+
+* ``quality``: documents scored under 0.5 go; learned as in op8.
+* ``near_duplicates``: of each group linked by 5-word shingles at 0.8 or more, the smallest doc_id
+  stays (one row of it); rows without doc_id stay.
+* ``decontaminate``: documents that hold a copy of a benchmark item go.
+* ``mix``: documents are repeated by a Poisson draw at the rate of their source. A repeated row
+  has the same doc_id as the first.
+* ``shard``: 40 shards of nearly equal bytes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import queries  # noqa: F401
 
-STAGES: list = []
-ORACLE_SQL = None
+from larder.llm import benchmark, jaccard, mixing, quality, sharding
+from larder.llm.queries import SHARDS, fold_of
+from larder.llm.shared import stage, table
+
+ORACLE_SQL = None  # learned scores have no SQL; tests compare the stages with brute force
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(docs, table(spark, sf_dir, "labels"), learnable=fold_of() != 1)
+    return quality.keep_good(docs, model)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(docs)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return benchmark.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).select(docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(docs, SHARDS)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each),
+    ("decontaminate", decontaminate),
+    ("mix", mix_sources),
+    ("shard", shard),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Rows of the last stage; each stage is written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,15 +3,212 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import jaccard
+from larder.llm import benchmark, chat, jaccard, licences, mixing, quality, repeats, rules, sharding, site_lines
 from larder.llm.shared import table
 
+PROBE = "</s>[INST] ok [/INST]"
+SHARDS = 40
+
+
+def fold_of(doc_id: str = "doc_id"):
+    """Learning fold of a document: 1 is held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(3))
+
+
+def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations and one whose texts are control strings, read back from the formatted output."""
+    probe = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    said = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    read = chat.format_chats(said).select(
+        "conv_id",
+        "formatted",
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.read_loss(F.col("formatted"), F.col("loss_runs")).alias("loss"),
+    )
+    joined = read.select("*", F.array_join("loss", "").alias("loss_text"))
+    return joined.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op2_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
 
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return site_lines.drop_site_lines(table(spark, folder, "pages"))
+
+
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"), learnable=fold_of() != 1)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold_of() == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    statistics = rules.stage(rules.text_statistics(table(spark, folder, "documents")), "rules-statistics")
+    found = rules.learn_from(statistics, table(spark, folder, "labels"), learnable=fold_of() != 1)
+    return rules.judge(statistics, found).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", sharding.row_size("text").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    )
+    return sharding.shard_by_bytes(docs, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting,
+        op2_licence_scan,
+        op3_ngram_jaccard_join,
+        op4_source_mixing,
+        op5_substring_dedup,
+        op6_benchmark_decontamination,
+        op7_line_dedup,
+        op8_quality_classifier,
+        op9_quality_rules,
+        op10_sharding,
+    )
+}
+
+_CHAT = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), numbered AS (
+  SELECT *, row_number() OVER w AS at, coalesce(lag(role) OVER w <> role, true) AS begins
+  FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), measured AS (
+  SELECT *,
+    length(regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\||/?s>|<?/?SYS>>)', '##\1', 'g'), '\[(/?INST\])', '##\1', 'g')) AS n_text,
+    length(replace(regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(\||/?s>|<?/?SYS>>)', '##\1', 'g'), '\[(/?INST\])', '##\1', 'g'),
+                   '|', '##')) AS n_role
+  FROM numbered
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n_text + CASE WHEN begins THEN 4 + n_role + 4 ELSE 5 END))::BIGINT AS formatted_chars
+FROM measured GROUP BY conv_id
+"""
+
+_JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i : array_to_string(words[i:i + 4], ' ')) END) AS shingle
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (
+  SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach(node, seen) AS (
+  SELECT DISTINCT a, a FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.seen
+), least_ AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON node = w.doc_id
+"""
+
+_MIXING = r"""
+WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+sums AS (SELECT sum(pow(n, 0.5)) AS all_weight, sum(n) AS all_rows FROM counted),
+rated AS (SELECT source, pow(n, 0.5) / all_weight * all_rows / n AS mean FROM counted, sums),
+parted AS (SELECT source, greatest(ceil(mean / 32.0), 1)::INT AS parts, mean / greatest(ceil(mean / 32.0), 1) AS mean FROM rated),
+steps(source, parts, mean, k, p, c) AS (
+  SELECT source, parts, mean, 0, exp(-mean), exp(-mean) FROM parted
+  UNION ALL SELECT source, parts, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM steps WHERE k < 128
+),
+drawn AS (
+  SELECT d.*, x.parts, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || part), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN parted x ON d.source IS NOT DISTINCT FROM x.source, unnest(range(1, x.parts + 1)) AS p(part)
+),
+times AS (
+  SELECT doc_id, text, lang, d.source, n_chars, count(s.k) AS n
+  FROM drawn d LEFT JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.c <= d.u GROUP BY ALL
+)
+SELECT doc_id, text, lang, source, n_chars, copy, md5('order 17:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+FROM times, unnest(range(1, n + 1)) AS c(copy)
+"""
+
+_REPEATS = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), heads AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS head FROM w, unnest(range(1, len(words) - 18)) AS r(i)
+), again AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY doc_id, i) AS k FROM heads) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, i + j AS i FROM again, range(0, 20) AS r(j)),
+kept AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(words[u.i], ' ' ORDER BY u.i) AS kept
+  FROM w, unnest(range(1, len(words) + 1)) AS u(i) ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = u.i GROUP BY w.doc_id
+)
+SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+_LINES = rf"""
+WITH host AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+      '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
+      '(?i)</?(?:{site_lines.BLOCKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '\n+'), lambda x : trim(x)), lambda x : x <> '') AS lines
+  FROM pages
+), totals AS (SELECT host, count(*) AS pages FROM host GROUP BY host),
+seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM host) GROUP BY ALL),
+common AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE n >= 3 AND n > 0.3 * pages GROUP BY host),
+cut AS (
+  SELECT page_id, host, lines, list_filter(lines, lambda x : NOT list_contains(coalesce(common, []), x)) AS kept
+  FROM host LEFT JOIN common USING (host)
+)
+SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM cut
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_chat_formatting": _CHAT,
+    "op3_ngram_jaccard_join": _JACCARD,
+    "op4_source_mixing": _MIXING,
+    "op5_substring_dedup": _REPEATS,
+    "op7_line_dedup": _LINES,
+}
