@@ -10,7 +10,7 @@ from larder.functions.encoders import factor_flags, one_hot
 from larder.functions.ratios import blend
 from larder.operators.columns import parse_date, with_defaults
 from larder.operators.matching import with_holidays
-from larder.operators.positions import chronological_holdout, expanding_folds
+from larder.operators.positions import chronological_holdout, expanding_folds, with_positions
 from larder.operators.quantiles import exact_quantiles
 from larder.operators.summaries import daily_total, level_list, top_n
 from larder.operators.windows import naive_forecast, over_series, lag_columns, rolling_mean, seasonal_decomposition
@@ -300,6 +300,34 @@ def _(v):
     return top_n(v.scored.select(*KEY, "prediction"), [F.desc("prediction"), *map(F.col, forecast.ORDER)], 100)
 
 
+@query(
+    "sorted_predictions",
+    "L02",
+    f"select {K}, prediction, row_number() over (order by prediction desc, dt, product_id, store_id) - 1 as position from scored",
+    "scored",
+)
+def _(v):
+    """The full order, as positions."""
+    rows = v.scored.select(*KEY, "prediction", (-F.col("prediction")).alias("_down"))
+    return with_positions(rows, ["_down", *forecast.ORDER]).drop("_down")
+
+
+@query(
+    "series_with_equal_dates",
+    "W01 W02",
+    """select product_id, dt::varchar as date, sales_quantity, n - 1 as row, lag(sales_quantity, 1) over (partition by product_id order by n) as lag_1
+       from (select product_id, date_trunc('month', dt)::date as dt, sales_quantity,
+               row_number() over (partition by product_id order by date_trunc('month', dt), sales_quantity, store_id, dt) as n from demand)""",
+    "demand",
+)
+def _(v):
+    """Long series by product whose months repeat: blocks, with a full order given."""
+    rows = v.demand.select("product_id", F.trunc("date", "month").alias("month"), "sales_quantity", "store_id", "date")
+    order = ["month", "sales_quantity", "store_id", "date"]
+    out = over_series(rows, ["product_id"], order, lambda w: {"row": F.col("_row"), "lag_1": F.lag("sales_quantity", 1).over(w)}, 1, block_rows=500)
+    return out.select("product_id", F.col("month").alias("date"), "sales_quantity", "row", "lag_1")
+
+
 @query(
     "high_demand_flags",
     "E19 A04 L02",

@@ -1,19 +1,21 @@
-"""Queries that fit models. SQL cannot say these; the driver checks rows only.
+"""Queries that fit models, and what of them SQL can say: keys, identities, dates, names.
 
-Rounds are kept small: the number of boosting rounds is a parameter of every job.
+The boosted models are trained with the setting ``CHECKED`` (see README): a higher rate and fewer rounds than
+the library's defaults, under the same stop rule.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.catalog import query
+from checks.catalog import query, rounded
+from checks.demand_queries import K, W
 from larder.operators.summaries import level_list
 from larder.plans import features, forecast
 from larder.session import stage
 
-QUICK = forecast.Boosting(rounds=3, rate=0.1, depth=4)
-QUICK_LEAFWISE = forecast.Boosting(rounds=3, rate=0.1, depth=5, min_leaf_rows=20)
+CHECKED = forecast.Boosting(rounds=12, patience=3, rate=0.3, depth=4)
+CHECKED_LEAFWISE = forecast.Boosting(rounds=12, patience=3, rate=0.3, depth=5, min_leaf_rows=20)
 KEY = ["product_id", "store_id", "date"]
 PREDICTED = [*KEY, "sales_quantity", "prediction", "pred_lower", "pred_upper"]
 
@@ -34,7 +36,7 @@ def _priced(v):
 @query("single_boosted_forecast", "M01")
 def _(v):
     flat = stage(features.flat_features(v.demand, _levels(v)), "flat")
-    model = forecast.fit_single(flat, QUICK)
+    model = forecast.fit_single(flat, CHECKED)
     return model.transform(flat).select(*KEY, "sales_quantity", "prediction")
 
 
@@ -46,25 +48,25 @@ def _(v):
 
 @query("fold_metrics", "M03 M04 W06")
 def _(v):
-    return forecast.cross_validate(_features(v), QUICK)
+    return forecast.cross_validate(_features(v), CHECKED, CHECKED_LEAFWISE)
 
 
 @query("ensemble_forecast", "M05 M03 M04 E20 E21")
 def _(v):
     rows = _features(v)
-    model = forecast.fit_ensemble(rows, QUICK, QUICK_LEAFWISE)
+    model = forecast.fit_ensemble(rows, CHECKED, CHECKED_LEAFWISE)
     return model.transform(rows).select(*PREDICTED)
 
 
 @query("ensemble_performance", "M14 M09")
 def _(v):
     rows = _features(v)
-    return forecast.performance(forecast.fit_ensemble(rows, QUICK, QUICK_LEAFWISE), rows)
+    return forecast.performance(forecast.fit_ensemble(rows, CHECKED, CHECKED_LEAFWISE), rows)
 
 
 @query("backtest", "M10 W05 M09")
 def _(v):
-    return forecast.backtest(_features(v), 0.2, QUICK, QUICK_LEAFWISE)
+    return forecast.backtest(_features(v), 0.2, CHECKED, CHECKED_LEAFWISE)
 
 
 @query("demand_outlook", "M07")
@@ -75,13 +77,13 @@ def _(v):
 @query("batch_scores", "M08 E19 L02")
 def _(v):
     rows = stage(_priced(v), "scoring")
-    return forecast.score(forecast.fit_scorer(rows, QUICK), rows).select(*KEY, "predicted_sales_quantity", "high_demand")
+    return forecast.score(forecast.fit_scorer(rows, CHECKED), rows).select(*KEY, "predicted_sales_quantity", "high_demand")
 
 
 @query("feature_importance", "M11 L04")
 def _(v):
     flat = stage(features.flat_features(v.demand, _levels(v)), "flat")
-    model = forecast.fit_single(flat, QUICK)
+    model = forecast.fit_single(flat, CHECKED)
     return forecast.top_features(forecast.gain_importance(model, forecast.feature_names(flat), v.spark))
 
 
@@ -94,10 +96,120 @@ def _(v):
 @query("permutation_importance", "M12 A13 L04")
 def _(v):
     flat = stage(features.flat_features(v.demand, _levels(v)), "flat")
-    return forecast.permutation_importance(forecast.fit_single(flat, QUICK), flat)
+    return forecast.permutation_importance(forecast.fit_single(flat, CHECKED), flat)
 
 
 @query("attribution_dependence", "M12")
 def _(v):
     rows = stage(v.demand.select(*KEY, "sales_quantity"), "history")
     return forecast.dependence(forecast.fit_trend(rows), rows, "t", "t_weekly_sin_1").withColumn("value", F.round("value", 9))
+
+
+@query("cover_importance", "M11")
+def _(v):
+    flat = stage(features.flat_features(v.demand, _levels(v)), "flat")
+    return forecast.cover_importance(forecast.fit_single(flat, CHECKED), forecast.feature_names(flat), v.spark)
+
+
+@query("boosted_dependence", "M12")
+def _(v):
+    flat = stage(features.flat_features(v.demand, _levels(v)), "flat")
+    return forecast.boosted_dependence(forecast.fit_single(flat, CHECKED), flat, "unit_price", "month")
+
+
+# --- what SQL can say about them ---
+
+FEATURE_ROWS = f"""select * from (select {K}, sales_quantity, lag(sales_quantity, 30) over ({W}) as back,
+    count(*) over ({W} rows between 30 preceding and 1 preceding) as there from demand) where back is not null and there = 30"""
+
+
+@query(
+    "ensemble_identities",
+    "M05 E20 E21",
+    f"select product_id, store_id, date, sales_quantity, true as blend_holds, true as bounds_hold from ({FEATURE_ROWS})",
+    "demand",
+)
+def _(v):
+    rows = _features(v)
+    scored = forecast.fit_ensemble(rows, CHECKED, CHECKED_LEAFWISE).transform(rows)
+    blend = 0.4 * F.col("trend_prediction") + 0.3 * F.col("boosted_prediction") + 0.3 * F.col("leafwise_prediction")
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(b))
+    p = F.col("prediction")
+    return scored.select(
+        *KEY,
+        "sales_quantity",
+        near(p, blend).alias("blend_holds"),
+        (near(F.col("pred_lower"), 0.9 * p) & near(F.col("pred_upper"), 1.1 * p)).alias("bounds_hold"),
+    )
+
+
+@query(
+    "trend_term_values",
+    "M02",
+    f"""select {K}, round(t, 9) as t, round(greatest(t - 0.32::double, 0), 9) as t_hinge_10, round(sin(2 * pi() * 1 * d / 7.0::double), 9) as t_weekly_sin_1,
+              round(cos(2 * pi() * 2 * d / 365.25::double), 9) as t_yearly_cos_2
+       from (select *, (dt - lo)::double as d, (dt - lo)::double / (hi - lo)::double as t from demand, (select min(dt) as lo, max(dt) as hi from demand))""",
+    "demand",
+)
+def _(v):
+    rows = stage(v.demand.select(*KEY), "history")
+    terms = forecast.trend_terms(*forecast._span(rows), forecast.SEASONS)
+    names = ["t", "t_hinge_10", "t_weekly_sin_1", "t_yearly_cos_2"]
+    return rounded(rows.select(*KEY, *[F.expr(terms[n]).alias(n) for n in names]), *names, digits=9)
+
+
+@query(
+    "outlook_dates",
+    "M07",
+    """select cast(dt as varchar) as ds, true as ordered from demand group by dt
+       union all select cast((select max(dt) from demand) + cast(i as integer) as varchar), true from range(1, 31) r(i)""",
+    "demand",
+)
+def _(v):
+    out = forecast.demand_outlook(stage(features.request_features(v.demand, _levels(v)), "outlook"), 30)
+    return out.select("ds", ((F.col("yhat_lower") < F.col("yhat")) & (F.col("yhat") < F.col("yhat_upper"))).alias("ordered"))
+
+
+@query("score_flags", "M08 E19", f"select {K}, true as flag_holds from demand", "demand")
+def _(v):
+    rows = stage(_priced(v), "scoring")
+    scored = forecast.score(forecast.fit_scorer(rows, CHECKED), rows)
+    cut = scored.agg(F.percentile("predicted_sales_quantity", 0.75).alias("cut")).scalar()
+    holds = F.col("high_demand") == (F.col("predicted_sales_quantity") > F.col("cut") + F.lit(1e-9))
+    near = F.abs(F.col("predicted_sales_quantity") - F.col("cut")) <= 1e-9
+    return scored.withColumn("cut", cut).select(*KEY, (holds | near).alias("flag_holds"))
+
+
+@query("backtest_size", "M10 W05", f"select cast(trunc(count(*) * 0.2::double) as bigint) as test_size, true as scored from ({FEATURE_ROWS})", "demand")
+def _(v):
+    out = forecast.backtest(_features(v), 0.2, CHECKED, CHECKED_LEAFWISE)
+    return out.select("test_size", (F.col("mae") > 0).alias("scored"))
+
+
+@query(
+    "fold_names",
+    "M03 M04 W06",
+    "select model, f::int as fold, true as scored from (values ('boosted'), ('leafwise')) m(model), range(1, 3) r(f) where exists (select 1 from lineitem)",
+)
+def _(v):
+    out = forecast.cross_validate(_features(v), CHECKED, CHECKED_LEAFWISE, folds=2)
+    return out.select("model", "fold", (F.col("mae") > 0).alias("scored"))
+
+
+@query(
+    "importance_sums",
+    "M11 L04 A13",
+    "select 'gain' as kind, true as holds from lineitem group by 1 union all select 'cover', true from lineitem group by 1 union all select 'trend', true from lineitem group by 1",
+)
+def _(v):
+    flat = stage(features.flat_features(v.demand, _levels(v)), "flat")
+    names = forecast.feature_names(flat)
+    model = forecast.fit_single(flat, CHECKED)
+    history = stage(v.demand.select(*KEY, "sales_quantity"), "history")
+    gain = forecast.gain_importance(model, names, v.spark).agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("holds"))
+    # a split covers no more rows than there are, and the first splits cover them all
+    n = float(flat.count())
+    cover = forecast.cover_importance(model, names, v.spark).agg(((F.max("importance") <= n) & (F.min("importance") >= 0)).alias("holds"))
+    trend = forecast.trend_attribution(forecast.fit_trend(history), history).agg((F.min("importance") >= 0).alias("holds"))
+    parts = [df.select(F.lit(kind).alias("kind"), "holds") for kind, df in (("gain", gain), ("cover", cover), ("trend", trend))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -13,7 +13,7 @@ from larder.operators.checks import profile, sample_rows, split_rejects, store_i
 from larder.operators.columns import attach_predictions, backfill_store, normal_forecast, stamped, tag
 from larder.operators.ledger import adjust, closing_stock, settle
 from larder.operators.matching import match, match_or_product, match_suffixed, members, product_filter
-from larder.operators.summaries import histogram, shares, stock_matrix, top_n
+from larder.operators.summaries import histogram, shares, stock_maps, stock_matrix, top_n
 from larder.plans import monitor, pricing, reorder, reports
 from larder.schemas import KEYS
 from larder.sources.tables import scan_table
@@ -252,6 +252,67 @@ def _(v):
     return store_ids(v.inventory)
 
 
+@query(
+    "stock_maps",
+    "A10",
+    "select product_id, string_agg(store_id || '=' || stock_levels, ',' order by store_id) as cells from inventory group by product_id",
+    "inventory",
+)
+def _(v):
+    cells = F.transform(F.map_entries("stock"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return stock_maps(v.inventory).select("product_id", F.array_join(F.array_sort(cells), ",").alias("cells"))
+
+
+_GAPS = """gaps as (select product_id, case when product_id % 7 = 0 then null when product_id % 11 = 0 then ' ' else store_id::varchar end as store_id,
+    stock_levels, reorder_point from inventory), wants as (select product_id, case when product_id % 5 = 0 then null else store_id::varchar end as store_id,
+    predicted_sales_quantity from forecast)"""
+
+
+def _with_gaps(v):
+    """Inventory and forecast some of whose store ids are null or blank."""
+    p, s = F.col("product_id"), F.col("store_id").cast("string")
+    stock = v.inventory.withColumn("store_id", F.when(p % 7 == 0, None).when(p % 11 == 0, " ").otherwise(s))
+    return v.forecast.withColumn("store_id", F.when(p % 5 == 0, None).otherwise(s)), stock
+
+
+@query(
+    "suggestions_without_bad_keys",
+    "F14 B02",
+    f""", {_GAPS} select g.product_id::varchar as product_id, g.store_id, stock_levels from gaps g join wants w on g.product_id = w.product_id and g.store_id = w.store_id
+       where trim(g.store_id) <> '' and stock_levels < greatest(reorder_point, predicted_sales_quantity)""",
+    "inventory forecast",
+)
+def _(v):
+    out = reorder.reorder_suggestions(*_with_gaps(v))
+    return out.select(F.col("product_id").cast("string").alias("product_id"), "store_id", "stock_levels")
+
+
+@query(
+    "suggestion_rejects",
+    "F14 B02",
+    f""", {_GAPS} select 'inventory' as table_name, product_id::varchar as product_id, store_id, 'empty store_id' as reject_reason from gaps
+         where store_id is null or trim(store_id) = ''
+       union all select 'forecast', product_id::varchar, store_id, 'empty store_id' from wants where store_id is null""",
+    "inventory forecast",
+)
+def _(v):
+    return reorder.suggestion_rejects(*_with_gaps(v))
+
+
+@query(
+    "audit_without_bad_keys",
+    "F14 B05",
+    f""", {_GAPS} select g.product_id::varchar as product_id, g.store_id, abs(stock_levels - predicted_sales_quantity)::double as stock_gap
+       from gaps g join wants w on g.product_id = w.product_id and g.store_id = w.store_id
+       where trim(g.store_id) <> '' and abs(stock_levels - predicted_sales_quantity) > 20""",
+    "inventory forecast",
+)
+def _(v):
+    wants, stock = _with_gaps(v)
+    out = pricing.audit(stock, wants)
+    return out.select(F.col("product_id").cast("string").alias("product_id"), "store_id", F.col("stock_gap").cast("double").alias("stock_gap"))
+
+
 @query(
     "stock_matrix",
     "A10",
@@ -371,13 +432,15 @@ def _(v):
 @query(
     "store_backfill_single",
     "P08",
-    """select product_id, '2' as store_id, predicted
+    """select product_id, case when (select count(distinct store_id) from inventory where store_id = (select max(store_id) from inventory)) = 1
+              then (select cast(max(store_id) as varchar) from inventory) else 'DEFAULT_STORE' end as store_id, predicted
        from (select product_id, sum(predicted_sales_quantity) as predicted from forecast group by 1)""",
-    "forecast",
+    "inventory forecast",
 )
 def _(v):
     central = v.forecast.groupBy("product_id").agg(F.sum("predicted_sales_quantity").alias("predicted"))
-    return backfill_store(central, v.inventory.where("store_id = 2"))
+    last = v.inventory.agg(F.max("store_id").alias("store_id"))
+    return backfill_store(central, v.inventory.join(last, "store_id", "left_semi"))
 
 
 @query(
@@ -889,12 +952,13 @@ def _(v):
 
 # --- stock movements ---
 
-LEDGER = """numbered as (
-    select m.*, o.stock_levels as opening, row_number() over (partition by m.product_id, m.store_id order by ts, event_id) as n
-    from movements m join opening o using (product_id, store_id)),
+def _ledger(movements: str, opening: str) -> str:
+    return f"""numbered as (
+    select m.*, o.stock_levels as first_level, row_number() over (partition by m.product_id, m.store_id order by ts, event_id) as n
+    from {movements} m join {opening} o using (product_id, store_id) where tx_type in ('SALE', 'RESTOCK')),
   walk as (
-    select event_id, product_id, store_id, qty, tx_type, n, tx_type = 'RESTOCK' or qty <= opening as accepted,
-           case when tx_type = 'RESTOCK' then opening + qty when qty <= opening then opening - qty else opening end as stock_after
+    select event_id, product_id, store_id, qty, tx_type, n, tx_type = 'RESTOCK' or qty <= first_level as accepted,
+           case when tx_type = 'RESTOCK' then first_level + qty when qty <= first_level then first_level - qty else first_level end as stock_after
     from numbered where n = 1
     union all
     select x.event_id, x.product_id, x.store_id, x.qty, x.tx_type, x.n, x.tx_type = 'RESTOCK' or x.qty <= w.stock_after,
@@ -902,24 +966,30 @@ LEDGER = """numbered as (
     from walk w join numbered x on x.product_id = w.product_id and x.store_id = w.store_id and x.n = w.n + 1)"""
 
 
-@query(
-    "movement_log",
-    "T01 T02 T03",
-    f"""+{LEDGER}
+def _log_sql(movements: str, opening: str) -> str:
+    return f"""+{_ledger(movements, opening)}
         select event_id, product_id, store_id, qty, tx_type, accepted, case when not accepted then 'not enough stock' end as reason, stock_after::double as stock_after from walk
         union all
-        select event_id, product_id, store_id, qty, tx_type, false, 'unknown product and store', null from movements anti join opening using (product_id, store_id)""",
-    "movements opening",
-    recursive=True,
-)
+        select event_id, product_id, store_id, qty, tx_type, false,
+               case when tx_type in ('SALE', 'RESTOCK') then 'unknown product and store' else 'unknown type' end, stock_levels::double
+        from {movements} left join {opening} using (product_id, store_id) where tx_type not in ('SALE', 'RESTOCK') or stock_levels is null"""
+
+
+@query("movement_log", "T01 T02 T03", _log_sql("movements", "opening"), "movements opening", recursive=True)
 def _(v):
     return _as_double(settle(v.movements, v.opening).drop("ts"), "stock_after")
 
 
+@query("hot_key_log", "T01 T02", _log_sql("hot_movements", "hot_opening"), "hot_movements hot_opening", recursive=True)
+def _(v):
+    """Few keys, whose movements span several ranges each."""
+    return _as_double(settle(v.hot_movements, v.hot_opening, ranges=24).drop("ts"), "stock_after")
+
+
 @query(
     "closing_stock",
     "T01 T02",
-    f"""+{LEDGER}, net as (select product_id, store_id, sum(case when tx_type = 'SALE' then -qty else qty end) as d from walk where accepted group by all)
+    f"""+{_ledger("movements", "opening")}, net as (select product_id, store_id, sum(case when tx_type = 'SALE' then -qty else qty end) as d from walk where accepted group by all)
         select product_id, store_id, cast(stock_levels + coalesce(d, 0) as bigint) as stock_levels from opening left join net using (product_id, store_id)""",
     "movements opening",
     recursive=True,

@@ -118,7 +118,7 @@ class Views:
         day = F.col("date")
         return self.demand.withColumns(
             {
-                "promotion_budget": F.col("sales_quantity") * 10,
+                "promotion_budget": F.col("unit_price") * F.when(F.col("promotions") == "Yes", 10).otherwise(2),
                 "promotion_days": F.day(day) % 8,
                 "weather_index": F.month(day) * 5 + 60,
                 "economic_index": F.day(day) + 85,
@@ -136,16 +136,25 @@ class Views:
 
     @cached_property
     def movements(self) -> DataFrame:
-        rows = self.table("events").where(F.col("event_type").isin("purchase", "signup"))
-        return rows.select(
+        """Every event; types other than purchase and signup are movements of an unknown kind."""
+        return self.table("events").select(
             "event_id",
             "ts",
             F.col("user_id").alias("product_id"),
             (F.col("user_id") % 5).cast("int").alias("store_id"),
             (F.floor("value") + 1).cast("long").alias("qty"),
-            F.when(F.col("event_type") == "purchase", "SALE").otherwise("RESTOCK").alias("tx_type"),
+            F.when(F.col("event_type") == "purchase", "SALE").when(F.col("event_type") == "signup", "RESTOCK").otherwise(F.col("event_type")).alias("tx_type"),
         )
 
+    @cached_property
+    def hot_movements(self) -> DataFrame:
+        """All movements on eight products of one store."""
+        return self.movements.withColumns({"product_id": F.col("product_id") % 8, "store_id": F.lit(1)})
+
+    @cached_property
+    def hot_opening(self) -> DataFrame:
+        return self.spark.range(8).select(F.col("id").alias("product_id"), F.lit(1).alias("store_id"), (F.col("id") * 40).alias("stock_levels"))
+
     @cached_property
     def opening(self) -> DataFrame:
         """Opening stock of every user id that is not a multiple of 17."""
@@ -199,7 +208,7 @@ SQL = {
              join customer on c_custkey = o_custkey
         group by p_brand, n_name, cast(l_shipdate as date)""",
     "demand_indexed": """
-        select *, sales_quantity * 10 as promotion_budget, cast(day(dt) % 8 as integer) as promotion_days,
+        select *, unit_price * (case when promotions = 'Yes' then 10 else 2 end) as promotion_budget, cast(day(dt) % 8 as integer) as promotion_days,
                cast(month(dt) * 5 + 60 as integer) as weather_index, cast(day(dt) + 85 as integer) as economic_index
         from demand""",
     "scored": """
@@ -209,8 +218,11 @@ SQL = {
     "movements": """
         select event_id, ts, user_id as product_id, cast(user_id % 5 as integer) as store_id,
                cast(floor(value) as bigint) + 1 as qty,
-               case event_type when 'purchase' then 'SALE' else 'RESTOCK' end as tx_type
-        from events where event_type in ('purchase', 'signup')""",
+               case event_type when 'purchase' then 'SALE' when 'signup' then 'RESTOCK' else event_type end as tx_type
+        from events""",
+    "hot_movements": """
+        select event_id, ts, product_id % 8 as product_id, 1 as store_id, qty, tx_type from movements""",
+    "hot_opening": "select r as product_id, 1 as store_id, r * 40 as stock_levels from range(0, 8) t(r)",
     "opening": """
         select distinct user_id as product_id, cast(user_id % 5 as integer) as store_id,
                (user_id * 13) % 200 as stock_levels
@@ -244,7 +256,7 @@ SQL = {
 }
 
 # What each CTE builds on.
-NEEDS = {"pricing": ["forecast"], "demand_indexed": ["demand"], "scored": ["demand"]}
+NEEDS = {"hot_movements": ["movements"], "pricing": ["forecast"], "demand_indexed": ["demand"], "scored": ["demand"]}
 
 
 def with_views(body: str, *names: str, recursive: bool = False) -> str:

@@ -87,9 +87,15 @@ def _walked(rows: DataFrame, openings: dict[int, int]) -> DataFrame:
     return base.mapInArrow(_walk(openings), schema)
 
 
+def opening_levels(stock: DataFrame, name: str) -> DataFrame:
+    """One level per product and store; a repeated key is an error."""
+    level = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("duplicate product and store in stock"))).otherwise(F.min("stock_levels"))
+    return stock.groupBy(*KEYS).agg(level.cast("long").alias(name))
+
+
 def _judged(movements: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(movements of known keys with their opening level, refused movements with the reason)."""
-    levels = stock.groupBy(*KEYS).agg(F.min("stock_levels").cast("long").alias("_opening"))
+    levels = opening_levels(stock, "_opening")
     movements, levels = align_keys(movements, levels)
     joined = movements.join(levels, KEYS, "left").withColumn(
         "reason",
@@ -109,16 +115,17 @@ def _judged(movements: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFram
     return known, refused
 
 
-def settle(movements: DataFrame, stock: DataFrame) -> DataFrame:
+def settle(movements: DataFrame, stock: DataFrame, ranges: int | None = None) -> DataFrame:
     """Log of every movement with ``accepted``, ``reason`` and the level after it.
 
     Movements of a key are taken in the order of (ts, event_id). A sale larger than
-    the level is refused; so are unknown keys, blank stores and unknown types.
+    the level is refused; so are unknown keys, blank stores and unknown types. ``ranges`` sets
+    the number of ranges; by default the shuffle width and AQE do.
     """
     known, refused = _judged(movements, stock)
     order = [*KEYS, "ts", "event_id"]
     ranged = (
-        known.repartitionByRange(*order)
+        (known.repartitionByRange(ranges, *order) if ranges else known.repartitionByRange(*order))
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_slot", _LOCAL_BITS).cast("int"))

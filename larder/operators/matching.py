@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.columns import align_keys
 from larder.schemas import KEYS
+from larder.session import stage
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -33,17 +34,15 @@ def match_suffixed(left: DataFrame, right: DataFrame, suffixes: tuple[str, str],
 def match_or_product(demand: DataFrame, inventory: DataFrame) -> DataFrame:
     """Join on product and store; if that finds nothing at all, on product alone.
 
-    The fallback branch is switched by an uncorrelated EXISTS over the key columns. Both
-    its sides carry the switch, so when the first join has a match no row of it reaches
-    a shuffle. The store of a product-only match is the inventory's.
+    The exact join is staged, so its sides are built once and the second join only where the
+    first is empty. Pass the columns that are needed, no more. The store of a product-only match
+    is the inventory's.
     """
     demand, inventory = align_keys(demand, inventory)
-    exact = demand.join(inventory, KEYS, "inner")
-    nothing = ~demand.select(*KEYS).join(inventory.select(*KEYS), KEYS, "left_semi").limit(1).exists()
-    by_product = (
-        demand.drop("store_id").where(nothing).join(inventory.where(nothing), ["product_id"], "inner").select(*exact.columns)
-    )
-    return exact.unionByName(by_product)
+    exact = stage(demand.join(inventory, KEYS, "inner"), "matched")
+    if not exact.isEmpty():
+        return exact
+    return demand.drop("store_id").join(inventory, ["product_id"], "inner").select(*exact.columns)
 
 
 def add_quantities(inventory: DataFrame, changes: DataFrame, qty: str = "reorder_qty", keys: list[str] = KEYS) -> DataFrame:
@@ -73,8 +72,8 @@ def unmatched_only(changes: DataFrame, inventory: DataFrame, keys: list[str] = K
 
 
 def with_holidays(df: DataFrame, calendar: DataFrame, date: str = "date") -> DataFrame:
-    """Left join to a holiday table; at most 366 rows a year, so it is broadcast."""
-    return df.join(F.broadcast(calendar.withColumnRenamed("date", date)), [date], "left")
+    """Left join to a holiday table. Its size decides whether it is broadcast."""
+    return df.join(calendar.withColumnRenamed("date", date), [date], "left")
 
 
 def product_filter(df: DataFrame, pattern: str | None, column: str = "product_id", literal: bool = False) -> DataFrame:

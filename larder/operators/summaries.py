@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A pivot or one-hot set wider than this is refused: each value becomes a column.
-MAX_COLUMNS = 1000
-
-
 def conditional_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """One row with the count of each condition, in a single pass."""
     return df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
@@ -60,17 +57,38 @@ def shares(df: DataFrame, bucket: Column, name: str = "bucket") -> DataFrame:
     return counted.withColumn("pct", F.col("items") * 100.0 / total.scalar())
 
 
-def level_list(df: DataFrame, column: str, limit: int = MAX_COLUMNS) -> list[str]:
+def level_list(df: DataFrame, column: str) -> list[str]:
     """Distinct values of a column that is to become one column per value, sorted.
 
-    Refuses a column with more than ``limit`` values instead of dropping some.
+    The result is as wide as the table made from it; for a column with very many values use
+    ``stock_maps`` or ``segment_vector``, which need no list.
     """
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} values; keep it as rows")
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted((r[0] for r in found), key=str)
 
 
+def stock_maps(inventory: DataFrame) -> DataFrame:
+    """The stock matrix for any number of stores: one row per product with a map from store to level.
+
+    A repeated key is an error.
+    """
+    cell = F.struct(F.col("store_id").cast("string").alias("store"), F.col("stock_levels").cast("long").alias("stock"))
+    cells = F.sort_array(F.collect_list(cell))
+    return inventory.groupBy("product_id").agg(F.map_from_entries(cells).alias("stock"))
+
+
+def segment_vector(df: DataFrame, column: str = "customer_segments", output: str = "segment_vector") -> DataFrame:
+    """0/1 features of a column with any number of levels as one sparse vector, levels in alphabetical order.
+
+    A null gives all zeros.
+    """
+    code = f"_{output}_code"
+    known = df.where(F.col(column).isNotNull())
+    index = StringIndexer(inputCol=column, outputCol=code, stringOrderType="alphabetAsc", handleInvalid="keep").fit(known)
+    encode = OneHotEncoder(inputCol=code, outputCol=output, dropLast=True).fit(index.transform(known))
+    return encode.transform(index.transform(df)).drop(code)
+
+
 def stock_matrix(inventory: DataFrame, stores: list | None = None) -> DataFrame:
     """Products down, stores across, stock level in the cells; a repeated key is an error."""
     stores = level_list(inventory, "store_id") if stores is None else stores

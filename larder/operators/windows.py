@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from larder.operators.matching import null_safe_join
 from larder.operators.positions import with_positions
-from larder.session import stage
 
-# A series longer than this is cut into blocks that are processed by separate tasks.
+# Rows of a series that one task takes at a time.
 BLOCK_ROWS = 500_000
 
 Columns = Callable[[WindowSpec], dict[str, Column]]
@@ -31,35 +30,31 @@ def over_series(
 
     ``columns`` gets the window and may use ``_row``, the 0-based row number in the
     series. A table at daily grain (one row per key and date) has series no longer
-    than the calendar, so one window partition per series is enough. For any other
-    table series longer than ``block_rows`` are found first and cut into blocks; each
-    block carries copies of the neighbouring rows its frames reach into.
+    than the calendar, so one window partition per series is enough; a repeated date is an
+    error then. Series of any other table are cut into blocks of ``block_rows`` at their
+    global positions; each block carries copies of the neighbouring rows its frames
+    reach into. Rows with equal order columns are taken in the order of a hash of the row.
     """
     if block_rows < before + after:
         raise ValueError("block_rows must cover the frame")
     if daily_grain:
         return _plain(df, keys, order_by, columns)
-    hot = stage(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).drop("_n"),
-        "long-series",
-    )
-    if hot.isEmpty():
-        return _plain(df, keys, order_by, columns)
-    short = _plain(null_safe_join(df, hot, keys, "left_anti"), keys, order_by, columns)
-    long = _blocked(null_safe_join(df, hot, keys, "left_semi"), keys, order_by, columns, before, after, block_rows)
-    return short.unionByName(long)
+    return _blocked(df, keys, order_by, columns, before, after, block_rows)
 
 
 def _plain(df: DataFrame, keys: list[str], order_by: list[str], columns: Columns) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order_by)
-    return df.withColumn("_row", (F.row_number().over(w) - 1).cast("long")).withColumns(columns(w)).drop("_row")
+    repeated = F.lag(F.struct(*order_by)).over(w) == F.struct(*order_by)
+    checked = F.when(repeated, F.raise_error(F.lit("not at daily grain: a series holds a date twice")))
+    rows = df.withColumn("_row", (F.row_number().over(w) - 1).cast("long"))
+    return rows.withColumns({name: checked.otherwise(c) for name, c in columns(w).items()}).drop("_row")
 
 
 def _blocked(
     df: DataFrame, keys: list[str], order_by: list[str], columns: Columns, before: int, after: int, block_rows: int
 ) -> DataFrame:
-    placed = with_positions(df, [*keys, *order_by], "_pos")
-    # one row per long series: at most n / block_rows of them
+    hashed = df.withColumn("_same", F.xxhash64(*df.columns))
+    placed = with_positions(hashed, [*keys, *order_by, "_same"], "_pos").drop("_same")
     starts = placed.groupBy(*keys).agg(F.min("_pos").alias("_start"))
     rows = null_safe_join(placed, starts, keys).select(*df.columns, (F.col("_pos") - F.col("_start")).alias("_row"))
     home = F.expr(f"_row div {block_rows}")

@@ -1,55 +1,81 @@
-"""The whole nightly run: forecast in, every report and the new stock table out."""
+"""The whole nightly run: demand or a forecast in, every report and the new stock table out."""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larder.operators.balance import redistributed_inventory
 from larder.operators.columns import normal_forecast, stamped, tag
+from larder.operators.windows import naive_forecast
 from larder.plans.monitor import inventory_report, report_lines
 from larder.plans.pricing import audit, overpriced, sales_impact, underpriced
-from larder.plans.reorder import apply_reorders, by_urgency, reorder_log, reorder_suggestions
+from larder.plans.reorder import apply_reorders, by_urgency, reorder_log, reorder_suggestions, suggestion_rejects
 from larder.schemas import KEYS
-from larder.sources.files import append_dataset, write_dataset, write_report
+from larder.sources.files import write_dataset, write_report
+
+
+def next_demand(demand: DataFrame, model: PipelineModel | None = None, prediction: str = "prediction") -> DataFrame:
+    """Forecast per product and store: the prediction for its latest date.
+
+    A fitted pipeline scores the rows; without one the mean of the last two days counts. ``demand`` is at daily
+    grain.
+    """
+    if model is None:
+        scored, prediction = naive_forecast(demand, KEYS, ["date"], daily_grain=True), "predicted_demand"
+    else:
+        scored = model.transform(demand)
+    return scored.groupBy(*KEYS).agg(F.max_by(prediction, "date").alias("predicted_demand"))
 
 
 def run_all(
-    inventory: DataFrame, forecast: DataFrame, pricing: DataFrame, out: str, as_of: str, audit_threshold: float = 20
+    inventory: DataFrame,
+    forecast: DataFrame | None,
+    pricing: DataFrame,
+    out: str,
+    as_of: str,
+    audit_threshold: float = 20,
+    demand: DataFrame | None = None,
+    model: PipelineModel | None = None,
 ) -> dict[str, str]:
     """Write every report below ``out`` and return their paths.
 
-    ``forecast`` holds predicted_sales_quantity or predicted_demand per product and
-    store. Suggestions are written first and read back by the steps that build on them;
-    inventory and forecast are persisted once for all steps.
+    The first step is the forecast: of ``demand`` by ``model`` (or the naive mean), unless a finished
+    ``forecast`` with predicted_sales_quantity or predicted_demand per product and store is
+    given. Forecast and suggestions are written first and read back by the steps that build
+    on them. Rows refused for their keys are written too. A run replaces what an earlier run of
+    the same ``as_of`` has written, its rows of the log included.
     """
     spark = inventory.sparkSession
     paths = {
         name: f"{out}/{name}"
         for name in (
-            "inventory_report", "reorder_suggestions", "reorder_log", "overpriced", "underpriced", "sales_impact",
+            "forecast", "inventory_report", "reorder_suggestions", "rejected_rows", "reorder_log", "overpriced", "underpriced", "sales_impact",
             "inventory_audit", "processed_reorders", "rejected_reorders", "updated_inventory", "redistributed_inventory",
         )
     }
-    inventory, forecast = inventory.persist(), forecast.persist()
-    try:
-        demand = normal_forecast(forecast)
-        as_sales = demand.withColumnRenamed("predicted_demand", "predicted_sales_quantity").select(
-            *KEYS, "predicted_sales_quantity"
-        )
-        write_report(report_lines(inventory_report(inventory, as_of)), paths["inventory_report"])
-        write_dataset(by_urgency(reorder_suggestions(demand, inventory)), paths["reorder_suggestions"])
-        suggestions = spark.read.parquet(paths["reorder_suggestions"])
-        append_dataset(reorder_log(suggestions, as_of), paths["reorder_log"])
-        write_dataset(overpriced(pricing), paths["overpriced"])
-        write_dataset(underpriced(pricing), paths["underpriced"])
-        write_dataset(sales_impact(pricing, as_sales), paths["sales_impact"])
-        write_dataset(audit(inventory, as_sales, audit_threshold), paths["inventory_audit"])
-        updated, processed, rejected = apply_reorders(suggestions, inventory, as_of)
-        write_dataset(processed, paths["processed_reorders"])
-        write_dataset(tag(rejected, rejected_at=stamped(as_of)), paths["rejected_reorders"])
-        write_dataset(updated, paths["updated_inventory"])
-        write_dataset(redistributed_inventory(inventory), paths["redistributed_inventory"])
-    finally:
-        inventory.unpersist()
-        forecast.unpersist()
+    if forecast is None:
+        if demand is None:
+            raise ValueError("run_all needs a forecast or demand to forecast from")
+        forecast = next_demand(demand, model)
+    write_dataset(normal_forecast(forecast), paths["forecast"])
+    predicted = spark.read.parquet(paths["forecast"])
+    as_sales = predicted.withColumnRenamed("predicted_demand", "predicted_sales_quantity").select(*KEYS, "predicted_sales_quantity")
+    write_report(report_lines(inventory_report(inventory, as_of)), paths["inventory_report"])
+    write_dataset(by_urgency(reorder_suggestions(predicted, inventory)), paths["reorder_suggestions"])
+    write_dataset(suggestion_rejects(predicted, inventory), paths["rejected_rows"])
+    suggestions = spark.read.parquet(paths["reorder_suggestions"])
+    write_dataset(reorder_log(suggestions, as_of), f"{paths['reorder_log']}/run={re.sub('[^0-9A-Za-z]+', '-', as_of)}")
+    write_dataset(overpriced(pricing), paths["overpriced"])
+    write_dataset(underpriced(pricing), paths["underpriced"])
+    write_dataset(sales_impact(pricing, as_sales), paths["sales_impact"])
+    write_dataset(audit(inventory, as_sales, audit_threshold), paths["inventory_audit"])
+    updated, processed, rejected = apply_reorders(suggestions, inventory, as_of)
+    write_dataset(processed, paths["processed_reorders"])
+    write_dataset(tag(rejected, rejected_at=stamped(as_of)), paths["rejected_reorders"])
+    write_dataset(updated, paths["updated_inventory"])
+    write_dataset(redistributed_inventory(inventory), paths["redistributed_inventory"])
     return paths

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +22,7 @@ from larder.operators.quantiles import exact_quantiles
 from larder.plans.evaluate import evaluate
 from larder.plans.reports import with_bounds
 from larder.schemas import KEYS
-from larder.session import stage
+from larder.session import shared_dir, stage
 
 ORDER = ["date", *KEYS]
 TARGET = "sales_quantity"
@@ -35,33 +39,67 @@ HIGH_DEMAND_SHARE = 0.75
 
 @dataclass(frozen=True)
 class Boosting:
-    """Settings of a boosted regressor; ``rounds`` is the knob that costs time."""
+    """Settings of a boosted regressor.
 
-    rounds: int = 50
+    ``rounds`` is the most trees grown; growing ends when the validation error has not fallen for
+    ``patience`` trees, and the model keeps the trees up to its best.
+    """
+
+    rounds: int = 1000
+    patience: int = 50
     rate: float = 0.01
     depth: int = 6
     row_share: float = 0.8
     column_share: float = 0.8
     min_leaf_rows: int = 1
+    bins: int = 64  # candidate cuts per feature
     seed: int = 42
 
-    def regressor(self, features: str, prediction: str, weight: str | None = None, validation: str | None = None):
+    def regressor(self, features: str, prediction: str, rounds: int | None = None, weight: str | None = None) -> GBTRegressor:
         model = GBTRegressor(
             featuresCol=features,
             labelCol=TARGET,
             predictionCol=prediction,
-            maxIter=self.rounds,
+            maxIter=rounds or self.rounds,
             stepSize=self.rate,
             maxDepth=self.depth,
             subsamplingRate=self.row_share,
             featureSubsetStrategy=str(self.column_share),
             minInstancesPerNode=self.min_leaf_rows,
             seed=self.seed,
-            maxBins=64,
+            maxBins=self.bins,
         )
-        if weight:
-            model = model.setWeightCol(weight)
-        return model.setValidationIndicatorCol(validation) if validation else model
+        return model.setWeightCol(weight) if weight else model
+
+    def fit(self, train: DataFrame, held: DataFrame, features: str, prediction: str, weight: str | None = None) -> GBTRegressionModel:
+        """Grow trees until ``patience`` of them bring nothing on ``held``, and keep those up to the best.
+
+        Trees of a seed do not depend on how many follow, so a longer run repeats the shorter one: the number of
+        rounds doubles until the stop rule is met, and the best prefix is grown once more.
+        """
+        rounds = min(self.rounds, 2 * self.patience)
+        while True:
+            model = self.regressor(features, prediction, rounds, weight).fit(train)
+            errors = model.evaluateEachIteration(held, "squared")
+            if any(math.isnan(e) for e in errors):  # no validation rows
+                return model if rounds == self.rounds else self.regressor(features, prediction, self.rounds, weight).fit(train)
+            best = _stop(errors, self.patience)
+            if best is not None or rounds == self.rounds:
+                break
+            rounds = min(self.rounds, 2 * rounds)
+        kept = 1 + (errors.index(min(errors)) if best is None else best)
+        return model if kept == rounds else self.regressor(features, prediction, kept, weight).fit(train)
+
+
+def _stop(errors: list[float], patience: int) -> int | None:
+    """Best tree when the error first fails to fall for ``patience`` trees; None if it has not yet."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best
+    return None
 
 
 BOOSTED = Boosting()
@@ -126,13 +164,14 @@ def weighted(rows: DataFrame) -> DataFrame:
 
 
 def fit_boosted(rows: DataFrame, names: list[str], settings: Boosting, prediction: str, features: str = "features") -> PipelineModel:
-    """Boosted model with early stopping on the rows marked ``is_validation``."""
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=names, outputCol=features),
-            settings.regressor(features, prediction, "row_weight", "is_validation"),
-        ]
-    ).fit(rows)
+    """Boosted model on the rows not marked ``is_validation``, stopped early on those that are."""
+    assemble = VectorAssembler(inputCols=names, outputCol=features)
+    ready = assemble.transform(rows).select(features, TARGET, "row_weight", "is_validation").persist(StorageLevel.DISK_ONLY)
+    try:
+        model = settings.fit(ready.where("not is_validation"), ready.where("is_validation"), features, prediction, "row_weight")
+    finally:
+        ready.unpersist()
+    return PipelineModel(stages=[assemble, model])
 
 
 def fit_ensemble(features: DataFrame, boosted: Boosting = BOOSTED, leafwise: Boosting = LEAFWISE) -> PipelineModel:
@@ -161,17 +200,17 @@ def blended(scored: DataFrame) -> DataFrame:
     return with_bounds(scored.withColumn("prediction", blend(BLEND)), share=BOUND_SHARE)
 
 
-def cross_validate(features: DataFrame, settings: Boosting = BOOSTED, folds: int = 5) -> DataFrame:
-    """Metrics of the boosted model per expanding fold."""
+def cross_validate(features: DataFrame, boosted: Boosting = BOOSTED, leafwise: Boosting = LEAFWISE, folds: int = 5) -> DataFrame:
+    """Metrics of both boosted models per expanding fold: (model, fold, metrics)."""
     names = feature_names(features)
     rows = stage(weighted(expanding_folds(features, ORDER, folds)), "folds")
-    out = None
+    parts = []
     for k in range(1, folds + 1):
         part = rows.where(F.col("fold") <= k).withColumn("is_validation", F.col("fold") == k)
-        scored = fit_boosted(part, names, settings, "prediction").transform(part.where("is_validation"))
-        metrics = evaluate(scored).withColumn("fold", F.lit(k))
-        out = metrics if out is None else out.unionByName(metrics)
-    return out
+        for name, settings in (("boosted", boosted), ("leafwise", leafwise)):
+            scored = fit_boosted(part, names, settings, "prediction").transform(part.where("is_validation"))
+            parts.append(evaluate(scored).withColumns({"model": F.lit(name), "fold": F.lit(k)}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def backtest(features: DataFrame, share: float = 0.2, boosted: Boosting = BOOSTED, leafwise: Boosting = LEAFWISE) -> DataFrame:
@@ -196,6 +235,7 @@ def fit_single(flat: DataFrame, settings: Boosting = BOOSTED, seed: int = 42) ->
 
 # --- batch scoring with label indexes ---
 
+SCORER = Boosting(rounds=100, rate=0.1)  # grown to the end: scoring has no validation rows
 INDEXED = ["store_id", "promotions", "seasonality_factors", "external_factors", "demand_trend", "customer_segments"]
 
 
@@ -204,17 +244,19 @@ def _scoring_rows(demand: DataFrame) -> DataFrame:
     return demand.na.drop("any").withColumns({"day": F.day(day), "month": F.month(day), "year": F.year(day)})
 
 
-def fit_scorer(demand: DataFrame, settings: Boosting = BOOSTED) -> PipelineModel:
+def fit_scorer(demand: DataFrame, settings: Boosting = SCORER) -> PipelineModel:
     """Label indexes (alphabetical, unknown labels are errors) and a boosted model in one pipeline."""
     rows = _scoring_rows(demand).withColumn("store_id", F.col("store_id").cast("string"))
     indexed = [f"{c}_index" for c in INDEXED]
-    inputs = [*indexed, "price", "day", "month", "year"]
+    inputs = [*[f"{c}_code" for c in indexed], "price", "day", "month", "year"]
     return Pipeline(
         stages=[
             StringIndexer(inputCols=INDEXED, outputCols=indexed, stringOrderType="alphabetAsc", handleInvalid="error"),
+            # a sum is a plain number: without the indexer's levels a tree cuts codes like any other feature
+            SQLTransformer(statement="SELECT *, " + ", ".join(f"{c} + 0.0D AS {c}_code" for c in indexed) + " FROM __THIS__"),
             VectorAssembler(inputCols=inputs, outputCol="features"),
-            settings.regressor("features", "predicted_sales_quantity").setMaxBins(256),
-            _drop_stage([*indexed, "features"]),
+            settings.regressor("features", "predicted_sales_quantity"),
+            _drop_stage([*indexed, *[f"{c}_code" for c in indexed], "features"]),
         ]
     ).fit(rows)
 
@@ -280,13 +322,32 @@ def demand_outlook(
 # --- importance and attribution ---
 
 
-def gain_importance(model: PipelineModel, names: list[str], spark) -> DataFrame:
-    """(feature, importance) of a boosted pipeline, by split gain; one row per feature."""
-    booster = next(s for s in model.stages if hasattr(s, "featureImportances"))
-    rows = [(n, float(v)) for n, v in zip(names, booster.featureImportances.toArray())]
+def _booster(model: PipelineModel, nth: int = 0):
+    return [s for s in model.stages if hasattr(s, "featureImportances")][nth]
+
+
+def gain_importance(model: PipelineModel, names: list[str], spark, nth: int = 0) -> DataFrame:
+    """(feature, importance) of the nth booster of a pipeline, by split gain; one row per feature."""
+    rows = [(n, float(v)) for n, v in zip(names, _booster(model, nth).featureImportances.toArray(), strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def cover_importance(model: PipelineModel, names: list[str], spark, nth: int = 0) -> DataFrame:
+    """(feature, importance): mean number of training rows (by weight) in the splits on each feature.
+
+    Counts stand in the node tables that a saved model consists of; 0 for a feature no split uses.
+    """
+    path = f"{shared_dir(spark)}/staged/cover-{uuid.uuid4().hex}"
+    _booster(model, nth).write().save(path)
+    node = spark.read.parquet(f"{path}/data")
+    fields = {f.name for f in node.schema}
+    flat = node.select("nodeData.*") if "nodeData" in fields else node
+    splits = flat.where("leftChild >= 0").select(F.col("split.featureIndex").alias("i"), F.col("rawCount").alias("rows"))
+    covered = splits.groupBy("i").agg(F.avg("rows").alias("importance"))
+    listed = spark.createDataFrame(list(enumerate(names)), "i int, feature string")
+    return listed.join(covered, "i", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+
+
 def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(k)
 
@@ -344,3 +405,25 @@ def dependence(model: PipelineModel, rows: DataFrame, feature: str, interaction:
     return terms.withColumn("_mean", mean).select(
         F.col(feature).alias("value"), ((F.col(feature) - F.col("_mean")) * F.lit(weight)).alias("attribution"), shown.alias("interaction")
     )
+
+
+def boosted_dependence(
+    model: PipelineModel, rows: DataFrame, feature: str, interaction: str | None = None, prediction: str = "prediction", against: int = 16
+) -> DataFrame:
+    """(value, attribution, interaction value) of one feature of a boosted model, per row.
+
+    The attribution is the prediction less its mean over ``against`` evenly spaced quantiles of the feature,
+    all else as in the row. Rows meet the quantiles in one pass: their number is fixed.
+    """
+    cuts = exact_quantiles(rows, feature, [(i + 0.5) / against for i in range(against)])
+    values = F.array(*[F.lit(float(v)) for v in cuts.values() if v is not None])
+    kept = rows.withColumns({"_own": F.col(feature).cast("double"), "_key": F.monotonically_increasing_id()})
+    kept = stage(kept, "dependence")
+    spread = kept.withColumn("_at", F.explode(F.concat(F.array(F.lit(None).cast("double")), values)))
+    spread = spread.withColumn(feature, F.coalesce("_at", "_own"))
+    scored = model.transform(spread)
+    shown = F.first(F.when(F.col("_at").isNull(), F.col(interaction).cast("double")), ignorenulls=True) if interaction else F.lit(None).cast("double")
+    own = F.max(F.when(F.col("_at").isNull(), F.col(prediction)))
+    others = F.avg(F.when(F.col("_at").isNotNull(), F.col(prediction)))
+    out = scored.groupBy("_key").agg(F.max("_own").alias("value"), (own - others).alias("attribution"), shown.alias("interaction"))
+    return out.drop("_key")

@@ -61,7 +61,12 @@ def stock_status(inventory: DataFrame, low: int = 10, over: int = 300) -> DataFr
 
 def kpis(inventory: DataFrame, product_id=None, store_id=None, as_of: str | None = None) -> DataFrame:
     """One row of dashboard KPIs for a product and store (or all): inclusive stockouts,
-    expiry within 30 days, capacity below 10."""
+    expiry within 30 days, capacity below 10.
+
+    Without a ``days_to_expiry`` column the expiry is counted from ``as_of``, which must be given.
+    """
+    if as_of is None and "days_to_expiry" not in inventory.columns:
+        raise ValueError("kpis needs as_of, or a days_to_expiry column")
     rows = inventory
     if product_id is not None:
         rows = rows.where(F.col("product_id") == product_id)

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from larder.functions.ratios import impact_label, pct_change, price_status, safe_ratio
 from larder.functions.stock import picked_demand, stock_gap
-from larder.operators.checks import require
+from larder.operators.checks import require, split_rejects
 from larder.operators.columns import trim_headings
 from larder.operators.matching import match, match_suffixed
 from larder.schemas import KEYS
 
 
 def audit(inventory: DataFrame, forecast: DataFrame, threshold: float = 20) -> DataFrame:
-    """Rows whose stock is further than ``threshold`` from the forecast, flagged Mismatch."""
+    """Rows whose stock is further than ``threshold`` from the forecast, flagged Mismatch.
+
+    Rows without a usable product and store are left out on both sides.
+    """
     require(inventory, [*KEYS, "stock_levels"], "inventory")
-    rows = match(inventory, forecast)
+    rows = match(split_rejects(inventory)[0], split_rejects(forecast)[0])
     gap = stock_gap(F.col("stock_levels"), picked_demand(forecast.columns))
     return rows.withColumn("stock_gap", gap).where(F.col("stock_gap") > threshold).withColumn("flag", F.lit("Mismatch"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.stock import SAFETY_SHARE, needs_reorder, picked_demand, reorder_qty, safety_stock
-from larder.operators.checks import require
+from larder.operators.checks import require, split_rejects
 from larder.operators.columns import backfill_store, stamped, tag
 from larder.operators.matching import add_quantities, match, match_or_product, matched_only, unmatched_only
 from larder.schemas import KEYS
@@ -20,7 +20,8 @@ def reorder_suggestions(
     """Rows whose stock is below the reorder point or the demand, with the quantity to order.
 
     Not sorted: see ``by_urgency``. ``fallback`` joins on the product alone when no
-    product-store pair matches at all.
+    product-store pair matches at all. Rows with a null or blank product or store take no
+    part on either side: see ``suggestion_rejects``.
     """
     require(inventory, STOCK_COLUMNS, "inventory")
     lead = "lead_time_days" in inventory.columns
@@ -28,7 +29,8 @@ def reorder_suggestions(
     if not lead:
         stock = stock.withColumn("lead_time_days", F.lit(None).cast("int"))
     forecast = backfill_store(forecast, inventory, first=True)
-    demand = forecast.select(*KEYS, picked_demand(forecast.columns).alias("predicted_demand"))
+    demand, _ = split_rejects(forecast.select(*KEYS, picked_demand(forecast.columns).alias("predicted_demand")))
+    stock, _ = split_rejects(stock)
     joined = match_or_product(demand, stock) if fallback else match(demand, stock)
     level, point, need = F.col("stock_levels"), F.col("reorder_point"), F.col("predicted_demand")
     return joined.where(needs_reorder(level, point, need)).select(
@@ -36,11 +38,21 @@ def reorder_suggestions(
         "stock_levels",
         "predicted_demand",
         "lead_time_days",
-        safety_stock(need, SAFETY_SHARE).alias("safety_stock"),
+        safety_stock(need, safety).alias("safety_stock"),
         reorder_qty(need, level, safety).alias("reorder_qty"),
     )
 
 
+def suggestion_rejects(forecast: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(table_name, product_id, store_id, reject_reason) of the rows ``reorder_suggestions`` refuses."""
+    forecast = backfill_store(forecast, inventory, first=True)
+    parts = []
+    for name, df in (("forecast", forecast), ("inventory", inventory)):
+        keys = [F.col(k).cast("string").alias(k) for k in KEYS]
+        parts.append(split_rejects(df.select(*keys))[1].select(F.lit(name).alias("table_name"), *KEYS, "reject_reason"))
+    return parts[0].unionByName(parts[1])
+
+
 def by_urgency(suggestions: DataFrame) -> DataFrame:
     """Lowest stock first, product and store as tie-breakers."""
     return suggestions.orderBy("stock_levels", *KEYS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def subfolders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders below ``path`` that a finished write has left behind."""
+def publish(spark: SparkSession, folder: str, target: str) -> None:
+    """Rename a folder in one step; an existing target is an error."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    source, to = fs.Path(folder), fs.Path(target)
+    none = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    none[0] = getattr(fs, "Options$Rename").valueOf("NONE")
+    context = fs.FileContext.getFileContext(to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri())
+    context.rename(source, to, none)
+
+
+def subfolders(spark: SparkSession, path: str, finished: bool = True) -> list[str]:
+    """Names of the folders below ``path``; ``finished``: only those a finished write has left behind."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
@@ -24,7 +36,7 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     done = []
     for status in fs.listStatus(hadoop):
         child = status.getPath()
-        if status.isDirectory() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(child, "_SUCCESS")):
+        if status.isDirectory() and (not finished or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(child, "_SUCCESS"))):
             done.append(child.getName())
     return sorted(done)
 
@@ -38,9 +50,43 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
     Headings may be the spelled-out or the snake_case ones. Values that do not parse
     are null; columns the file lacks are null; columns outside the schema are left out.
+    The files of a folder may differ in their columns and the order of them: files
+    with the same heading line are read together.
     """
+    parts = [_read_files(spark, files, schema) for files in _by_heading(spark, path).values()]
+    return reduce(DataFrame.unionByName, parts) if parts else empty(spark, schema)
+
+
+def _by_heading(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Data files at ``path`` by their heading line; the driver reads one line of each."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[str]] = {}
+    for status in fs.globStatus(hadoop) or []:
+        for file in sorted(_data_files(fs, status)):
+            stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(file))
+            reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            try:
+                line = reader.readLine()
+            finally:
+                reader.close()
+            if line is not None:
+                found.setdefault(line, []).append(file)
+    return found
+
+
+def _data_files(fs, status) -> list[str]:
+    """Files below a path that are not hidden; empty ones have no heading and no rows."""
+    if status.getPath().getName().startswith(("_", ".")):
+        return []
+    if not status.isDirectory():
+        return [status.getPath().toString()] if status.getLen() else []
+    return [file for child in fs.listStatus(status.getPath()) for file in _data_files(fs, child)]
+
+
+def _read_files(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
     names = {v: k for k, v in HEADINGS.items()}
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(files)
     by_name = {c.strip(): c for c in raw.columns}
     columns = []
     for field in schema.fields:
@@ -93,4 +139,4 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report(lines: DataFrame, path: str) -> None:
     """Write a one-column table of lines as text."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    lines.write.mode("overwrite").text(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from larder.schemas import KEYS
-from larder.sources.files import empty, read_csv, read_dataset, subfolders
+from larder.sources.files import empty, publish, read_csv, read_dataset, subfolders
 
 
 def load_table(spark: SparkSession, csv_path: str, schema: T.StructType, table: str = "inventory", managed: bool = False) -> DataFrame:
@@ -40,9 +41,9 @@ def scan_table(spark: SparkSession, table: str = "inventory") -> DataFrame:
 class VersionedTable:
     """A table that is rewritten as a whole while it may still be read.
 
-    Each write goes to a new folder; readers take the newest folder a write has
-    finished. Two writers that start from the same version collide on the folder
-    name, so no update is lost silently.
+    Each write goes to a folder of its own and is published by renaming that folder to the next version,
+    which fails if the version exists. So a writer that dies leaves nothing a reader or a later
+    writer would meet, and of two writers that start from the same version one fails.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
@@ -59,10 +60,17 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
 
     def write(self, df: DataFrame, version: int | None = None) -> int:
-        version = (self.version() or 0) + 1 if version is None else version
-        df.select(*self.schema.names).write.mode("error").parquet(f"{self.path}/v={version}")
+        version = self._next() if version is None else version
+        unpublished = f"{self.path}/_writing-{uuid.uuid4().hex}"
+        df.select(*self.schema.names).write.mode("error").parquet(unpublished)
+        publish(self.spark, unpublished, f"{self.path}/v={version}")
         return version
 
+    def _next(self) -> int:
+        """After every version folder there is, finished or not."""
+        names = [n for n in subfolders(self.spark, self.path, finished=False) if n.startswith("v=")]
+        return max((int(n[2:]) for n in names), default=0) + 1
+
     def update(self, change: Callable[[DataFrame], DataFrame]) -> int:
         """Read, change, write the next version."""
         return self.write(change(self.read()))

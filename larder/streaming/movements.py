@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from larder.operators.columns import align_keys
-from larder.operators.ledger import RESTOCK, SALE, closing_stock, settle
+from larder.operators.ledger import RESTOCK, SALE, closing_stock, opening_levels, settle
 from larder.plans.reorder import reorder_suggestions
 from larder.schemas import KEYS, MOVEMENTS
 from larder.sources.tables import VersionedTable
@@ -84,7 +84,7 @@ def keyed_ledger(movements: DataFrame, stock: DataFrame) -> DataFrame:
     marked ``late``. A key's rows of one micro-batch are held together, so the source's
     batch cap bounds them; ``settle_batches`` has no such bound.
     """
-    levels = stock.groupBy(*KEYS).agg(F.min("stock_levels").cast("long").alias("opening"))
+    levels = opening_levels(stock, "opening")
     movements, levels = align_keys(movements, levels)
     rows = movements.withColumns({k: F.col(k).cast("string") for k in KEYS}).join(
         levels.withColumns({k: F.col(k).cast("string") for k in KEYS}), KEYS, "left"

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+from dataclasses import replace
 
 import pytest
 from conftest import rows_of
@@ -10,7 +11,7 @@ from larder.plans import features, forecast
 from larder.plans.evaluate import evaluate
 from larder.sources.models import load_model, save_model
 
-QUICK = forecast.Boosting(rounds=2, rate=0.1, depth=3)
+QUICK = forecast.Boosting(rounds=2, patience=1, rate=0.1, depth=3)
 LEVELS = ["Premium", "Regular"]
 
 
@@ -115,5 +116,49 @@ def test_attribution_of_trend_terms(demand):
 
 
 def test_fold_metrics(table):
-    out = forecast.cross_validate(table, QUICK, folds=2)
-    assert sorted(r["fold"] for r in out.collect()) == [1, 2]
+    out = forecast.cross_validate(table, QUICK, QUICK, folds=2)
+    assert sorted(rows_of(out, "model", "fold")) == [("boosted", 1), ("boosted", 2), ("leafwise", 1), ("leafwise", 2)]
+
+
+def test_defaults_grow_many_trees_and_beat_the_trend(demand):
+    """Default rate, patience and stop rule; the most rounds cut so that the test ends soon."""
+    rows = features.flat_features(demand, LEVELS).withColumn("level", F.substring("product_id", 2, 1).cast("int"))
+    held = rows.where("date >= date'2023-04-10'")
+    model = forecast.fit_single(rows.where("date < date'2023-04-10'"), replace(forecast.BOOSTED, rounds=60, rate=0.05, depth=4))
+    booster = model.stages[-1]
+    assert booster.getNumTrees > 20
+    trend = forecast.fit_trend(demand.where("date < date'2023-04-10'"))
+    own = evaluate(model.transform(held)).first()["mae"]
+    other = evaluate(trend.transform(demand.where("date >= date'2023-04-10'")), predicted="trend_prediction").first()["mae"]
+    assert own < other
+
+
+def test_stop_rule_keeps_the_best_prefix():
+    assert forecast._stop([5.0, 4.0, 3.0, 3.5, 3.4], 2) == 2
+    assert forecast._stop([5.0, 4.0, 3.0, 3.5, 2.0], 2) is None
+    assert forecast._stop([5.0, 4.99, 4.98, 4.97], 1) is None  # small gains do not end it
+
+
+def test_scorer_takes_more_labels_than_bins(spark):
+    rows = spark.range(800).selectExpr(
+        "concat('S', id % 400) as store_id", "concat('P', id % 3) as product_id", "date_add(date'2023-01-01', cast(id % 60 as int)) as date",
+        "cast(id % 17 as double) as sales_quantity", "cast(id % 5 as double) as price", "'Yes' as promotions", "'None' as seasonality_factors",
+        "'None' as external_factors", "'Stable' as demand_trend", "'A' as customer_segments",
+    )
+    assert forecast.score(forecast.fit_scorer(rows, QUICK), rows).count() == 800
+
+
+def test_cover_and_boosted_dependence(spark, demand):
+    flat = features.flat_features(demand, LEVELS).withColumn("level", F.substring("product_id", 2, 1).cast("int")).persist()
+    names = forecast.feature_names(flat)
+    model = forecast.fit_single(flat, QUICK)
+    cover = {r["feature"]: r["importance"] for r in forecast.cover_importance(model, names, spark).collect()}
+    gain = {r["feature"]: r["importance"] for r in forecast.gain_importance(model, names, spark).collect()}
+    assert set(cover) == set(names) and {f for f in names if cover[f] > 0} == {f for f in names if gain[f] > 0}
+    assert max(cover.values()) <= flat.count()
+    best = max(gain, key=gain.get)
+    shown = forecast.boosted_dependence(model, flat, best, "month").collect()
+    assert len(shown) == flat.count() and {r["interaction"] for r in shown} == {1.0, 2.0, 3.0, 4.0}
+    assert max(abs(r["attribution"]) for r in shown) > 0
+    unused = next(f for f in names if gain[f] == 0)
+    assert all(abs(r["attribution"]) < 1e-9 for r in forecast.boosted_dependence(model, flat, unused).collect())

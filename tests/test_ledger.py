@@ -74,3 +74,9 @@ def test_adjustments_have_no_stock_check(spark):
     after, rejected = adjust(stock, changes)
     assert rows_of(after) == [("P1", "A", -1)]
     assert rows_of(rejected, "product_id", "amount") == [("P2", 4)]
+
+
+def test_repeated_stock_keys_are_an_error(spark):
+    stock = stock_of(spark, {"P1": 5}).union(stock_of(spark, {"P1": 9}))
+    with pytest.raises(Exception, match="duplicate product and store"):
+        settle(movements(spark, [(1, 1, "P1", "A", 7, "SALE")]), stock).collect()

@@ -13,7 +13,7 @@ from larder.functions.encoders import SEASON_CODES, coded, factor_flags, one_hot
 from larder.operators.matching import with_holidays
 from larder.operators.positions import chronological_holdout, expanding_folds, with_positions
 from larder.operators.quantiles import exact_quantiles
-from larder.operators.windows import naive_forecast, seasonal_decomposition, with_history
+from larder.operators.windows import lag_columns, naive_forecast, over_series, seasonal_decomposition, with_history
 from larder.plans import evaluate, features
 from larder.schemas import KEYS
 
@@ -188,3 +188,12 @@ def test_metrics(spark):
     assert m["total_business_impact"] == pytest.approx(15 + 5 + 1)
     plain = evaluate.evaluate(df.drop("unit_price", "is_high_value"))
     assert "revenue_loss" not in plain.columns and "high_value_mae" not in plain.columns
+
+
+def test_a_false_claim_of_daily_grain_is_an_error(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("b", 1, 3.0)], "k string, d int, v double")
+    with pytest.raises(Exception, match="daily grain"):
+        over_series(rows, ["k"], ["d"], lag_columns("v", [1]), 1, daily_grain=True).collect()
+    out = over_series(rows, ["k"], ["d"], lag_columns("v", [1]), 1, block_rows=2)
+    again = over_series(rows.repartition(3), ["k"], ["d"], lag_columns("v", [1]), 1, block_rows=2)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))

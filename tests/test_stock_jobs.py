@@ -19,7 +19,7 @@ from larder.operators.columns import (
     with_defaults,
 )
 from larder.operators.matching import match, match_or_product, match_suffixed, product_filter
-from larder.operators.summaries import histogram, level_list, shares, stock_matrix
+from larder.operators.summaries import histogram, level_list, segment_vector, shares, stock_maps, stock_matrix
 from larder.plans import monitor, pricing, reorder, reports
 
 
@@ -279,11 +279,32 @@ def test_histogram_edges(spark):
     assert histogram(same.where("x is null"), "x", 4).count() == 0
 
 
-def test_levels_over_the_limit_are_refused(spark):
-    df = spark.range(5).selectExpr("cast(id as string) as c")
-    assert level_list(df, "c", 5) == list("01234")
-    with pytest.raises(ValueError):
-        level_list(df, "c", 4)
+def test_no_limit_on_levels_or_stores(spark):
+    wide = spark.range(3000).selectExpr("'P' as product_id", "cast(id as string) as store_id", "id as stock_levels")
+    assert len(level_list(wide, "store_id")) == 3000
+    assert len(stock_maps(wide).first()["stock"]) == 3000
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        stock_maps(wide.union(wide)).collect()
+    vectors = segment_vector(wide.unionByName(wide.limit(1).withColumn("store_id", F.lit(None).cast("string"))), "store_id", "v")
+    sizes = {(r["v"].size, r["v"].numNonzeros()) for r in vectors.collect()}
+    assert sizes == {(3000, 1), (3000, 0)}
+
+
+def test_rows_without_usable_keys_are_refused(spark, inventory, forecast):
+    bad = spark.createDataFrame([("P1001", None, 5, 50, 1), ("P1002", " ", 5, 50, 1)], inventory.schema)
+    lost = spark.createDataFrame([("P1003", None, 500.0)], forecast.schema)
+    good = rows_of(reorder.reorder_suggestions(forecast, inventory))
+    assert sorted(rows_of(reorder.reorder_suggestions(forecast.union(lost), inventory.union(bad)))) == sorted(good)
+    assert reorder.reorder_suggestions(lost, inventory).count() == 0
+    rejects = reorder.suggestion_rejects(forecast.union(lost), inventory.union(bad))
+    assert sorted(rows_of(rejects, "table_name", "product_id")) == [("forecast", "P1003"), ("inventory", "P1001"), ("inventory", "P1002")]
+
+
+def test_kpis_need_a_date_and_safety_counts(inventory, forecast):
+    with pytest.raises(ValueError, match="as_of"):
+        monitor.kpis(inventory)
+    out = reorder.reorder_suggestions(forecast, inventory, safety=0.0)
+    assert {r["safety_stock"] for r in out.collect()} == {0}
 
 
 def test_profile_and_schema(spark):
