@@ -114,7 +114,7 @@ WITH said AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), numbered AS (
-  SELECT *, row_number() OVER w AS at, coalesce(lag(role) OVER w <> role, true) AS begins
+  SELECT *, row_number() OVER w AS nr, coalesce(lag(role) OVER w <> role, true) AS begins
   FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), measured AS (
   SELECT *,
@@ -124,9 +124,9 @@ WITH said AS (
   FROM numbered
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nr)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY nr) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (3 + sum(n_text + CASE WHEN begins THEN 4 + n_role + 4 ELSE 5 END))::BIGINT AS formatted_chars
 FROM measured GROUP BY conv_id
 """
@@ -205,10 +205,31 @@ cut AS (
 SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM cut
 """
 
+_SHARDING = r"""
+WITH RECURSIVE step(b, k, c) AS (
+  SELECT b, 0, b FROM range(0, 256) r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+keyed AS (
+  SELECT doc_id, strlen(text) + 16 AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text), 1, 15) AS k,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        string_split(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda h : ('0x' || h)::BIGINT)),
+      lambda c, x : xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, crc
+), placed AS (
+  SELECT *, ((sum(size) OVER (ORDER BY k RANGE UNBOUNDED PRECEDING) - sum(size) OVER (PARTITION BY k)) * 40 // sum(size) OVER ())::INT AS shard
+  FROM keyed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k) - 1 AS slot, NULL::INT AS grown_shard
+FROM placed
+"""
+
 ORACLE_SQL = {
     "op1_chat_formatting": _CHAT,
     "op3_ngram_jaccard_join": _JACCARD,
     "op4_source_mixing": _MIXING,
     "op5_substring_dedup": _REPEATS,
     "op7_line_dedup": _LINES,
+    "op10_sharding": _SHARDING,
 }
