@@ -77,25 +77,40 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     ).withColumn("kept", F.col("kept").cast("string"))
 
 
-def _runs(text: bytes, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes; anchor, first window and number of windows of each run of windows with one anchor."""
+def _runs(text: bytes, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words and of grams; anchor, first window and number of windows of each run of windows with one anchor."""
     words = word_hashes(text)
     if len(words) < window:
         empty = np.empty(0, np.int64)
-        return words, np.empty(0, np.uint64), empty, empty
-    least = sliding_min(grams(words, anchor), window - anchor + 1)
+        return words, words[:0], words[:0], empty, empty
+    hashes = grams(words, anchor)
+    least = sliding_min(hashes, window - anchor + 1)
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return words, least[starts], starts, np.diff(np.append(starts, len(least)))
+    return words, hashes, least[starts], starts, np.diff(np.append(starts, len(least)))
+
+
+def _times(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, reach: int) -> np.ndarray:
+    """How often a run's anchor counts: twice if the run may hold equal windows, as texts with a short period do.
+
+    Equal windows of one run are at most ``reach`` apart, or the run is longer than one occurrence allows; in
+    the first case some gram of the run comes again that near.
+    """
+    again = np.zeros(len(hashes), bool)
+    for d in range(1, min(reach, len(hashes))):
+        again[:-d] |= hashes[:-d] == hashes[d:]
+    upto = np.concatenate([[0], np.cumsum(again)])
+    inside = upto[np.minimum(starts + lengths + reach - 1, len(hashes))] > upto[starts]
+    return 1 + (inside | (lengths > reach)).astype(np.int32)
 
 
 def _anchors(source: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Runs per anchor; a run longer than one occurrence can make counts twice."""
+    """Runs per anchor."""
     for batch in source:
         keys, ns = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
         for text in bytes_of(batch, "text"):
-            _, key, _, length = _runs(text, window, anchor)
+            _, hashes, key, starts, lengths = _runs(text, window, anchor)
             keys.append(key)
-            ns.append(1 + (length > window - anchor + 1).astype(np.int32))
+            ns.append(_times(hashes, starts, lengths, window - anchor + 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ns))], names=["key", "n"])
 
 
@@ -121,7 +136,7 @@ def _suffixes(source: Iterator[pa.RecordBatch], shared, window: int, anchor: int
         later: list[tuple[int, int, int]] = []
         ids, text_keys = batch.column("pos_id").to_pylist(), batch.column("text_key").to_pylist()
         for pos_id, text_key, text in zip(ids, text_keys, bytes_of(batch, "text"), strict=True):
-            words, keys, starts, lengths = _runs(text, window, anchor)
+            words, _, keys, starts, lengths = _runs(text, window, anchor)
             if not len(keys):
                 continue
             hits = np.flatnonzero(repeated.hit(keys))

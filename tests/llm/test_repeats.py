@@ -18,6 +18,8 @@ def corpus(prose):
         for _ in range(rng.randrange(3)):
             parts += [rng.choice(passages), prose(rng.randrange(0, 20), 10 * i + 7)]
         rows.append((i * 3 % 61, rng.choice([" ", "\n", " \t "]).join(parts)))
+    rows += [(200 + i, "".join(f"r{i}x{k} " * (18 + (i + k) % 9) for k in range(6))) for i in range(12)]
+    rows += [(300 + p, " ".join(f"p{p}y{k % p}" for k in range(20 + 2 * p))) for p in range(1, 16)]
     rows += [(100, "again " * 90), (101, "x y " * 30), (102, rows[0][1]), (103, ""), (104, "one two three")]
     return rows
 
