@@ -22,7 +22,7 @@ from larder.operators.quantiles import exact_quantiles
 from larder.plans.evaluate import evaluate
 from larder.plans.reports import with_bounds
 from larder.schemas import KEYS
-from larder.session import shared_dir, stage
+from larder.session import stage, staged_dir
 
 ORDER = ["date", *KEYS]
 TARGET = "sales_quantity"
@@ -337,7 +337,7 @@ def cover_importance(model: PipelineModel, names: list[str], spark, nth: int = 0
 
     Counts stand in the node tables that a saved model consists of; 0 for a feature no split uses.
     """
-    path = f"{shared_dir(spark)}/staged/cover-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/cover-{uuid.uuid4().hex}"
     _booster(model, nth).write().save(path)
     node = spark.read.parquet(f"{path}/data")
     fields = {f.name for f in node.schema}

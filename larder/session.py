@@ -54,21 +54,32 @@ def shared_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="larder-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
 
 
+def staged_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged; for the end of a job, when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where several passes must see the very same rows in the same ranges.
-    Parquet keeps the later passes column-pruned.
+    Parquet keeps the later passes column-pruned. The folders of an application lie together and are
+    removed by ``clear_staged``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from larder.operators.columns import align_keys
-from larder.operators.ledger import RESTOCK, SALE, closing_stock, opening_levels, settle
+from larder.operators.ledger import RESTOCK, SALE, opening_levels, settle
+from larder.operators.matching import add_quantities
 from larder.plans.reorder import reorder_suggestions
 from larder.schemas import KEYS, MOVEMENTS
 from larder.sources.tables import VersionedTable
@@ -36,6 +38,40 @@ def touched_reorders(batch: DataFrame, stock: DataFrame, forecast: DataFrame) ->
     return reorder_suggestions(forecast, rows.join(keys, KEYS, "left_semi"), fallback=False)
 
 
+MERGE_EVERY = 20
+
+
+def stock_after(stock: VersionedTable, batches: int, merge_every: int = MERGE_EVERY, keys: DataFrame | None = None) -> DataFrame:
+    """Stock table after the first ``batches`` micro-batches (of ``keys`` only, if given).
+
+    It is the last merged version and the changes of the batches since: at most ``merge_every`` small folders.
+    """
+    version = batches // merge_every
+    base = stock.read(version)
+    if keys is not None:
+        own, rows = align_keys(keys, base)
+        base = rows.join(own, KEYS, "left_semi")
+    changes = _changes(stock, range(version * merge_every, batches))
+    return base if changes is None else add_quantities(base, changes, qty="change")
+
+
+def newest_before(stock: VersionedTable, batches: int, merge_every: int = MERGE_EVERY) -> DataFrame | None:
+    """(product_id, store_id, newest): time of the last movement of each key in the first ``batches`` micro-batches."""
+    version = batches // merge_every
+    parts = [] if version == 0 else [stock.spark.read.parquet(f"{stock.path}/newest/v={version}").select(*KEYS, "newest")]
+    changes = _changes(stock, range(version * merge_every, batches))
+    if changes is not None:
+        parts.append(changes.select(*KEYS, "newest"))
+    if not parts:
+        return None
+    return reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(F.max("newest").alias("newest"))
+
+
+def _changes(stock: VersionedTable, batches: range) -> DataFrame | None:
+    paths = [f"{stock.path}/changes/batch={b}" for b in batches]
+    return stock.spark.read.parquet(*paths) if paths else None
+
+
 def settle_batches(
     movements: DataFrame,
     stock: VersionedTable,
@@ -45,25 +81,47 @@ def settle_batches(
     suggestions_path: str | None = None,
     trigger: Trigger = ONCE,
     on_batch: Callable[[int], None] | None = None,
+    merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
-    """Settle every micro-batch against the stock table and start the query.
-
-    Batch b reads stock version b and writes version b + 1, its log to its own folder
-    and, with a forecast, the suggestions for the keys it moved. A batch that is run
-    again after a failure overwrites its own folders from the same version, so each movement
-    counts once. The stock must have been written as version 0. A hot key is split the way
-    ``settle`` splits it.
+    """Settle every micro-batch against the stock and start the query.
+
+    A batch reads and writes the keys it moves only: its log, and the net change and last time of each
+    key. After every ``merge_every`` batches the changes are merged into the next version of the stock
+    table; ``stock_after`` gives the stock at any batch. With a forecast, suggestions for the
+    moved keys are written too. A batch that is run again after a failure overwrites its own folders from the
+    same state, so each movement counts once. The stock must have been written as version 0. A hot key
+    is split the way ``settle`` splits it. A movement older than one of an earlier batch is applied
+    and marked ``late``, as ``keyed_ledger`` does.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        before = stock.read(batch_id)
+        spark = batch.sparkSession
+        before = stock_after(stock, batch_id, merge_every, touched(batch))
+        settled = settle(batch, before)
+        newest = newest_before(stock, batch_id, merge_every)
+        if newest is None:
+            marked = settled.withColumn("late", F.lit(False))
+        else:
+            settled, newest = align_keys(settled, newest)
+            marked = settled.join(newest, KEYS, "left").withColumn("late", F.coalesce(F.col("ts") < F.col("newest"), F.lit(False))).drop("newest")
         out = f"{log_path}/batch={batch_id}"
-        settle(batch, before).write.mode("overwrite").parquet(out)
-        log = batch.sparkSession.read.parquet(out)
-        target = f"{stock.path}/v={batch_id + 1}"
-        closing_stock(before, log).select(*stock.schema.names).write.mode("overwrite").parquet(target)
+        marked.write.mode("overwrite").parquet(out)
+        log = spark.read.parquet(out)
+        signed = F.when(F.col("tx_type") == SALE, -F.col("qty")).otherwise(F.col("qty"))
+        net = log.groupBy(*KEYS).agg(F.coalesce(F.sum(F.when(F.col("accepted"), signed)), F.lit(0)).alias("change"), F.max("ts").alias("newest"))
+        net.write.mode("overwrite").parquet(f"{stock.path}/changes/batch={batch_id}")
+        done = batch_id + 1
+        if done % merge_every == 0:
+            version = done // merge_every
+            merged = add_quantities(stock.read(version - 1), _changes(stock, range(done - merge_every, done)), qty="change")
+            merged.select(*stock.schema.names).write.mode("overwrite").parquet(f"{stock.path}/v={version}")
+            times = [_changes(stock, range(done - merge_every, done)).select(*KEYS, "newest")]
+            if version > 1:
+                times.append(spark.read.parquet(f"{stock.path}/newest/v={version - 1}").select(*KEYS, "newest"))
+            latest = reduce(DataFrame.unionByName, times).groupBy(*KEYS).agg(F.max("newest").alias("newest"))
+            latest.write.mode("overwrite").parquet(f"{stock.path}/newest/v={version}")
         if forecast is not None and suggestions_path:
-            after = stock.read(batch_id + 1)
+            after = stock_after(stock, done, merge_every, touched(log))
             touched_reorders(log, after, forecast).write.mode("overwrite").parquet(f"{suggestions_path}/batch={batch_id}")
         if on_batch:
             on_batch(batch_id)
@@ -79,10 +137,9 @@ LEVELS = "event_id long, ts timestamp, product_id string, store_id string, qty l
 def keyed_ledger(movements: DataFrame, stock: DataFrame) -> DataFrame:
     """Streaming log with the stock level kept as state per product and store.
 
-    Within a micro-batch a key's movements are taken in the order of (ts, event_id);
+    A key's movements come in Arrow batches, and each of these is taken in the order of (ts, event_id);
     one that arrives after a later one has been applied is applied on arrival and
-    marked ``late``. A key's rows of one micro-batch are held together, so the source's
-    batch cap bounds them; ``settle_batches`` has no such bound.
+    marked ``late``. One Arrow batch is held at a time.
     """
     levels = opening_levels(stock, "opening")
     movements, levels = align_keys(movements, levels)
@@ -92,37 +149,38 @@ def keyed_ledger(movements: DataFrame, stock: DataFrame) -> DataFrame:
     sale, restock = SALE, RESTOCK
 
     def apply(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")
         level, newest = state.get if state.exists else (None, None)
-        if level is None and batch["opening"].notna().any():
-            level = int(batch["opening"].dropna().iloc[0])
-        taken, reasons, after, late = [], [], [], []
-        for ts, qty, kind in zip(batch["ts"], batch["qty"], batch["tx_type"]):
-            reason = None
-            delta = 0 if pd.isna(qty) else int(qty) * (-1 if kind == sale else 1)
-            if not str(key[1] or "").strip():
-                reason = "invalid store id"
-            elif pd.isna(qty):
-                reason = "invalid quantity"
-            elif kind not in (sale, restock):
-                reason = "unknown type"
-            elif level is None:
-                reason = "unknown product and store"
-            elif delta < 0 and level + delta < 0:
-                reason = "not enough stock"
-            else:
-                level += delta
-            micros = int(ts.value // 1000)
-            late.append(newest is not None and micros < newest)
-            newest = micros if newest is None else max(newest, micros)
-            taken.append(reason is None)
-            reasons.append(reason)
-            after.append(level)
+        for part in parts:
+            batch = part.sort_values(["ts", "event_id"], kind="stable")
+            if level is None and batch["opening"].notna().any():
+                level = int(batch["opening"].dropna().iloc[0])
+            taken, reasons, after, late = [], [], [], []
+            for ts, qty, kind in zip(batch["ts"], batch["qty"], batch["tx_type"], strict=True):
+                reason = None
+                delta = 0 if pd.isna(qty) else int(qty) * (-1 if kind == sale else 1)
+                if not str(key[1] or "").strip():
+                    reason = "invalid store id"
+                elif pd.isna(qty):
+                    reason = "invalid quantity"
+                elif kind not in (sale, restock):
+                    reason = "unknown type"
+                elif level is None:
+                    reason = "unknown product and store"
+                elif delta < 0 and level + delta < 0:
+                    reason = "not enough stock"
+                else:
+                    level += delta
+                micros = int(ts.value // 1000)
+                late.append(newest is not None and micros < newest)
+                newest = micros if newest is None else max(newest, micros)
+                taken.append(reason is None)
+                reasons.append(reason)
+                after.append(level)
+            yield batch.drop(columns="opening").assign(accepted=taken, reason=reasons, stock_after=pd.array(after, dtype="Int64"), late=late)[
+                ["event_id", "ts", "product_id", "store_id", "qty", "tx_type", "accepted", "reason", "stock_after", "late"]
+            ]
         if level is not None:
             state.update((level, newest))
-        yield batch.drop(columns="opening").assign(
-            accepted=taken, reason=reasons, stock_after=pd.array(after, dtype="Int64"), late=late
-        )[["event_id", "ts", "product_id", "store_id", "qty", "tx_type", "accepted", "reason", "stock_after", "late"]]
 
     return rows.groupBy(*KEYS).applyInPandasWithState(
         apply, LEVELS, "level long, newest long", "append", GroupStateTimeout.NoTimeout

@@ -1,10 +1,13 @@
+from pathlib import Path
+
 import pytest
 from conftest import rows_of
 from test_ledger import movements, replay, stock_of
 
 from larder.schemas import KEYS, MOVEMENTS
 from larder.sources.tables import VersionedTable
-from larder.streaming.movements import append_log, keyed_ledger, movement_source, settle_batches
+from larder.session import clear_staged, stage, staged_dir
+from larder.streaming.movements import REFRESH, append_log, keyed_ledger, movement_source, settle_batches, stock_after
 
 ROWS = [
     (1, 10, "P1", "A", 4, "SALE"), (2, 11, "P2", "A", 1, "SALE"), (3, 12, "P1", "A", 7, "SALE"), (4, 13, "P9", "A", 1, "SALE"),
@@ -21,7 +24,8 @@ def folder(spark, tmp_path):
     return path
 
 
-def test_batches_settle_like_one_replay(spark, tmp_path, folder):
+@pytest.mark.parametrize("merge_every", [1, 2, 20])
+def test_batches_settle_like_one_replay(spark, tmp_path, folder, merge_every):
     stock = stock_of(spark, LEVELS).selectExpr("*", "8 as reorder_point")
     table = VersionedTable(spark, str(tmp_path / "stock"), stock.schema)
     table.write(stock, version=0)
@@ -29,7 +33,7 @@ def test_batches_settle_like_one_replay(spark, tmp_path, folder):
     seen = []
     query = settle_batches(
         movement_source(spark, folder, files_per_batch=1), table, str(tmp_path / "log"), str(tmp_path / "check"),
-        forecast, str(tmp_path / "orders"), on_batch=seen.append,
+        forecast, str(tmp_path / "orders"), on_batch=seen.append, merge_every=merge_every,
     )
     assert query.awaitTermination(120)
     assert query.exception() is None
@@ -37,7 +41,9 @@ def test_batches_settle_like_one_replay(spark, tmp_path, folder):
     log = spark.read.parquet(str(tmp_path / "log"))
     expected, closing = replay(ROWS, LEVELS)
     assert {r["event_id"]: (r["accepted"], r["stock_after"]) for r in log.collect()} == expected
-    assert dict(rows_of(table.read(), "product_id", "stock_levels")) == closing
+    assert dict(rows_of(stock_after(table, 2, merge_every), "product_id", "stock_levels")) == closing
+    assert table.version() == 2 // merge_every
+    assert log.where("late").count() == 0
     orders = spark.read.parquet(str(tmp_path / "orders"))
     last = orders.where("batch = 1")
     assert sorted(rows_of(last, "product_id", "stock_levels", "reorder_qty")) == [("P1", 4, 20), ("P2", 7, 0)]
@@ -65,3 +71,26 @@ def test_late_movement_is_applied_and_marked(spark, tmp_path):
     marked = {r["late"] for r in out.collect()}
     assert out.count() == 2 and out.agg({"stock_after": "min"}).first()[0] == 1 and marked == {False, True}
     assert set(KEYS) <= set(out.columns)
+
+
+@pytest.mark.parametrize("merge_every", [1, 20])
+def test_batches_mark_late_movements_too(spark, tmp_path, merge_every):
+    path = str(tmp_path / "events")
+    for part in ([(1, 50, "P1", "A", 4, "SALE")], [(2, 10, "P1", "A", 5, "SALE"), (3, 11, "P2", "A", 1, "SALE")]):
+        movements(spark, part).select(*MOVEMENTS.names).coalesce(1).write.mode("append").parquet(path)
+    table = VersionedTable(spark, str(tmp_path / "stock"), stock_of(spark, LEVELS).schema)
+    table.write(stock_of(spark, LEVELS), version=0)
+    query = settle_batches(movement_source(spark, path, 1), table, str(tmp_path / "log"), str(tmp_path / "check"), merge_every=merge_every)
+    assert query.awaitTermination(120) and query.exception() is None
+    assert sorted(rows_of(spark.read.parquet(str(tmp_path / "log")), "event_id", "late")) == [(1, False), (2, True), (3, False)]
+
+
+def test_refresh_runs_every_five_minutes():
+    assert REFRESH == {"processingTime": "5 minutes"}
+
+
+def test_staged_folders_of_an_application_are_removed(spark):
+    kept = stage(spark.range(3), "tidy")
+    assert kept.count() == 3
+    clear_staged(spark)
+    assert not Path(staged_dir(spark).removeprefix("file:")).exists()
