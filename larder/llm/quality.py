@@ -5,7 +5,8 @@ vector is the sum of the index vectors of the words around it in the training te
 word stands its shape (letters, capitals, digits and signs, runs collapsed), which has vectors of
 the same kind, so unseen words still carry how they are written.
 *Pooling.* A document is the mean word vector, the mean shape vector, the norms of both, how
-alike neighbouring vectors are, and the logarithm of its length. The whole text counts.
+alike neighbouring vectors are, how often the index vectors of words one and two apart are the same,
+and the logarithm of its length. The whole text counts.
 *Network.* One hidden layer, trained with Adam in numpy on the driver, on at most ``rows`` labelled
 documents; a temperature is fitted on documents the network has not seen. Vectors are integer sums,
 so the fit does not depend on how the rows were dealt.
@@ -34,7 +35,7 @@ DIMS, REACH = 32, 2
 WORD_BITS, SHAPE_BITS = 15, 12
 WORDS = 1 << WORD_BITS
 VOCABULARY = WORDS + (1 << SHAPE_BITS)
-N_FEATURES = 2 * DIMS + 5
+N_FEATURES = 2 * DIMS + 7
 CHUNK = 1 << 16  # words pooled at once
 
 
@@ -140,7 +141,8 @@ def pool(text: bytes, vectors: np.ndarray) -> np.ndarray:
             last = rows[-1]
     means = sums / n
     out[: 2 * DIMS] = means.ravel()
-    out[2 * DIMS :] = (*np.sqrt((means**2).sum(axis=1)), *(alike / max(n - 1, 1)), np.log1p(n) / 10)
+    same = [float((words[d:] == words[:-d]).mean()) if n > d else 0.0 for d in (1, 2)]
+    out[2 * DIMS :] = (*np.sqrt((means**2).sum(axis=1)), *(alike / max(n - 1, 1)), *same, np.log1p(n) / 10)
     return out
 
 
