@@ -4,7 +4,8 @@ Every document is repeated k times, k drawn from a Poisson distribution whose me
 rate of its source: target weight x rows wanted / rows of the source. The draw inverts the distribution
 at a uniform number hashed from seed and document, so a rerun gives the same corpus. Means above
 ``CHUNK_MEAN`` are drawn as sums of independent parts, since exp(-mean) would vanish. Copies are then
-shuffled globally: ordered by a hash of document and copy over range partitions.
+shuffled globally: ordered by a hash of document and copy over range partitions. Rows meet the rates of
+their source in place, by a broadcast, unless there are very many sources.
 
 Without weights, sources are tempered: weight ~ rows ** ``temper``. Sources without a given weight get none.
 
@@ -18,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.shared import column
+from larder.llm.shared import column, stage
 
 CHUNK_MEAN = 32.0
 TERMS = 128  # terms of a chunk's distribution; the rest has a mass under 1e-30
+BROADCAST_SOURCES = 10_000  # a row has about a kilobyte; more sources are joined by a shuffle
 UNIT_DIGITS = 13  # 52 bits, exact in a double
 
 
@@ -77,7 +79,9 @@ def mix(
     ``total``: rows wanted in expectation (as many as there are, by default).
     """
     own = [c for c in docs.columns if c not in (copy_name, order_name)]
-    rates = repetition_rates(docs, weights, total, temper, source_col)
+    rates = stage(repetition_rates(docs, weights, total, temper, source_col), "mixing-rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     rows = docs.select(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(own)]).alias("row"), column(source_col).alias("_source"), column(id_col).alias("_id"))
     rated = rows.join(rates, F.col("_source").eqNullSafe(F.col("source")))
 
