@@ -14,8 +14,8 @@ from larder.operators.summaries import level_list
 from larder.plans import features, forecast
 from larder.session import stage
 
-CHECKED = forecast.Boosting(rounds=12, patience=3, rate=0.3, depth=4)
-CHECKED_LEAFWISE = forecast.Boosting(rounds=12, patience=3, rate=0.3, depth=5, min_leaf_rows=20)
+CHECKED = forecast.Boosting(rounds=8, patience=2, rate=0.3, depth=4)
+CHECKED_LEAFWISE = forecast.Boosting(rounds=8, patience=2, rate=0.3, depth=5, min_leaf_rows=20)
 KEY = ["product_id", "store_id", "date"]
 PREDICTED = [*KEY, "sales_quantity", "prediction", "pred_lower", "pred_upper"]
 
