@@ -79,7 +79,8 @@ def jaccard_components(docs: DataFrame, sim: Similarity = DEFAULT, id_col: str =
     profiled = stage(texts.mapInArrow(partial(_profile, sim=sim), PROFILE_DDL), "jaccard-profile")
     sizes = profiled.filter("slice is null").select("doc_id", "n", "d1", "d2")
     named = sizes.filter("doc_id is not null")
-    classes = named.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # staged, so that the join below has a plain exchange on either side and AQE can split a large group of copies
+    classes = stage(named.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     rep_of = named.filter("n > 0").join(classes, ["d1", "d2"]).select("doc_id", "rep").distinct()
 
     bits_of = classes.join(profiled.filter("n > 0").select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "bits"), ["rep", "d1", "d2"])
