@@ -4,8 +4,9 @@ A line of a page is boilerplate if more than ``ratio`` of the pages of its host
 ``least`` of them do). Boilerplate lines are dropped from every page of the host.
 
 Distinct lines are counted per host with map-side combine; a host's boilerplate is a short list, at most
-(mean distinct lines of its pages) / ``ratio`` of them, so it joins the pages as one row per host. Pages of
-a host of any size stay spread: the join is on the host, and large hosts are split by their page.
+(mean distinct lines of its pages) / ``ratio`` of them, so it joins the pages as one row per host. Pages stay
+where they are while all lists together are small enough to be broadcast; else the join is on the
+host, where AQE splits a large one.
 
 Lines are compared after trimming blanks, by a 128-bit hash; blank lines are kept and not counted. Pages
 of HTML are cut into lines at line breaks and at block tags, tags are removed.
@@ -19,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.shared import column
+from larder.llm.shared import column, stage
 
 BLOCKS = "p|div|li|ul|ol|nav|h1|h2|h3|h4|h5|h6|br|hr|tr|td|th|table|article|section|header|footer|aside|main|title|head|body|html|pre|blockquote|form"
 
+BROADCAST_LINES = 100_000  # of about 50 bytes each
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host, without user and port."""
@@ -55,7 +58,9 @@ def drop_site_lines(
     totals = lines.groupBy("host").agg(F.count("*").alias("pages"))
     counted = hashed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     common = counted.join(totals, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
-    listed = common.groupBy("host").agg(F.collect_list("key").alias("common"))
+    listed = stage(common.groupBy("host").agg(F.collect_list("key").alias("common")), "site-lines")
+    if (listed.agg(F.sum(F.size("common"))).first()[0] or 0) <= BROADCAST_LINES:
+        listed = F.broadcast(listed)
     kept = F.filter("lines", lambda line: ~F.array_contains(F.coalesce(F.col("common"), F.array().cast("array<string>")), F.md5(line)))
     out = lines.join(listed, "host", "left").select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select(
