@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. All ``seed``-word n-grams of the test items are counted over all documents. Of each item the
-   rare ones stay as seeds: those at most a few times as frequent as its rarest, and at least half
-   of them, so an item that was copied thousands of times keeps its seeds.
+1. All ``seed``-word n-grams of a test item are its seeds, however frequent: the n-grams that survive
+   in a copy that was made often are frequent for that reason.
 2. A document that contains a seed of an item is aligned with it around the seeds: match, mismatch
    and gap scores per word, best local alignment. Its score is divided by that of a full copy.
+   Stretches with too few of the item's words for the least score are passed over.
 
 Words are lower-cased runs of letters and digits, so case and punctuation do not hide a copy.
-Both passes are map-only over the documents; counts of seeds are all that is gathered. Items are
-broadcast in blocks of at most ``ITEM_BYTES`` of text, one scan per block.
+The pass is map-only over the documents. Items are broadcast in blocks of at most ``ITEM_BYTES`` of
+text, one scan per block.
 
 Rows: null or empty texts match nothing; items of fewer than ``seed`` words have no seed and match
 nothing; repeated documents and items each give their own rows; null ids are carried as null.
@@ -58,8 +58,10 @@ class Items:
     seeds: np.ndarray  # sorted distinct hashes
     places: list[list[tuple[int, int]]]  # per seed: (item, position)
     quick: np.ndarray = field(init=False)  # 2**20 flags that rule out nearly all other n-grams
+    sets: list[frozenset[int]] = field(init=False)  # distinct words of each item
 
     def __post_init__(self):
+        self.sets = [frozenset(w) for w in self.words]
         self.quick = np.zeros(1 << 20, bool)
         self.quick[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
@@ -90,7 +92,7 @@ class Items:
         return at[same], which[same]
 
     def rare(self, counts: np.ndarray) -> Items:
-        """The block with each item's rare seeds only."""
+        """The block with each item's rare seeds only. Searches use all seeds: edited copies may hold none of the rare ones."""
         of_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for s, places in enumerate(self.places):
             for i in {i for i, _ in places}:
@@ -130,7 +132,7 @@ def find_leaks(
     schema = "doc_id long, item_id long, score double, n_matches int, first_word int, n_words int"
     parts = [
         texts.mapInArrow(partial(_leaks, shared=shared, scoring=scoring), schema)
-        for shared in _rare_blocks(texts, bench, scoring, item_id_col, item_text_col, item_bytes)
+        for shared in _shared_blocks(bench, scoring, item_id_col, item_text_col, item_bytes)
     ]
     return union_all(parts) if parts else texts.sparkSession.createDataFrame([], schema)
 
@@ -145,32 +147,15 @@ def decontaminate(
     item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no copy of a test item. Map-only: rows stay where they are."""
-    texts = docs.select(column(text_col).alias("text"))
-    for shared in list(_rare_blocks(texts, bench, scoring, item_id_col, item_text_col, item_bytes)):
+    for shared in _shared_blocks(bench, scoring, item_id_col, item_text_col, item_bytes):
         docs = docs.mapInArrow(partial(_clean, shared=shared, scoring=scoring, text_col=text_col), docs.schema)
     return docs
 
 
-def _rare_blocks(texts, bench, scoring, id_col, text_col, limit):
-    sc = texts.sparkSession.sparkContext
+def _shared_blocks(bench, scoring, id_col, text_col, limit):
+    sc = bench.sparkSession.sparkContext
     for items in blocks(bench, scoring, id_col, text_col, limit):
-        shared = sc.broadcast(items)
-        seen = texts.select("text").mapInArrow(partial(_count, shared=shared, seed=scoring.seed), "seed int, n long")
-        counts = np.zeros(len(items.seeds), np.int64)
-        for row in seen.groupBy("seed").agg(F.sum("n").alias("n")).collect():  # one row per seed of the block at most
-            counts[row["seed"]] = row["n"]
-        yield sc.broadcast(items.rare(counts))
-
-
-def _count(source: Iterator[pa.RecordBatch], shared, seed: int) -> Iterator[pa.RecordBatch]:
-    items: Items = shared.value
-    counts = np.zeros(len(items.seeds), np.int64)
-    for batch in source:
-        for text in batch.column("text").to_pylist():
-            _, which = items.hits(plain_words(text), seed)
-            counts[np.unique(which)] += 1
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["seed", "n"])
+        yield sc.broadcast(items)
 
 
 LEAK = pa.schema(
@@ -210,12 +195,14 @@ def matches_in(words: np.ndarray, items: Items, scoring: Scoring) -> Iterator[tu
         best = (0, 0, 0, 0)
         for low, high in _clusters(sorted(starts[item]), len(target)):
             begin = max(0, low - pad)
-            text = words[begin : high + len(target) + pad].tolist()
-            common = sum((Counter(text) & Counter(target)).values())
-            if common * scoring.match < scoring.least * scoring.match * len(target):
-                continue  # not even all common words in order would do
-            score, matches, start, end = align(text, target, scoring)
-            best = max(best, (score, matches, -(begin + start), begin + end))
+            near = words[begin : high + len(target) + pad].tolist()
+            for first, last in _stretches(near, items.sets[item], len(target), scoring):
+                text = near[first:last]
+                common = sum((Counter(text) & Counter(target)).values())
+                if common < scoring.least * len(target):
+                    continue  # not even all common words in order would do
+                score, matches, start, end = align(text, target, scoring)
+                best = max(best, (score, matches, -(begin + first + start), begin + first + end))
         share = best[0] / (scoring.match * len(target))
         if best[0] and share >= scoring.least:
             yield item, share, best[1], -best[2], best[3]
@@ -232,6 +219,21 @@ def _clusters(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield low, last
 
 
+def _stretches(text: list[int], own: frozenset[int], size: int, scoring: Scoring) -> Iterator[tuple[int, int]]:
+    """Ranges of a text that hold every alignment of the least score with an item of ``size`` words.
+
+    Such an alignment has ``least * size`` words of the item, and its gaps cost no more than a full copy has to spare.
+    """
+    spare = scoring.match * size * (1 - scoring.least)
+    width = min(len(text), size + int(spare / -scoring.gap) + 1) if scoring.gap < 0 else len(text)
+    if not width:
+        return
+    sums = np.concatenate([[0], np.cumsum(np.fromiter((w in own for w in text), np.int64, len(text)))])
+    dense = np.flatnonzero(sums[width:] - sums[:-width] >= scoring.least * size).tolist()
+    for low, high in _clusters(dense, width) if dense else ():
+        yield low, high + width
+
+
 def align(text: list[int], target: list[int], scoring: Scoring = DEFAULT) -> tuple[int, int, int, int]:
     """Best local alignment (Smith-Waterman): score, matched words, start and end in ``text``.
 

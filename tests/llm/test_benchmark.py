@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from larder.llm import benchmark
 
@@ -80,3 +81,29 @@ def test_every_item_keeps_half_of_its_seeds():
     rare = items.rare(counts)
     assert {i for places in rare.places for i, _ in places} == {0, 1}
     assert sum(any(i == 0 for i, _ in p) for p in rare.places) >= 3
+
+
+@pytest.mark.parametrize("n", [15, 17, 1000])
+def test_copies_of_an_edited_item_are_found_however_many(spark, make_docs, prose, n):
+    words = [f"q{i}" for i in range(40)]
+    edited = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(words))
+    tests = bench(spark, [(1, " ".join(words)), (2, prose(40, 700))])
+    half = " ".join(prose(40, 700).split()[:20])
+    docs = make_docs([(i, f"{prose(30, i)} {edited} {prose(30, n + i)} {half}") for i in range(n)] + [(-1, prose(100, 5))])
+    out = benchmark.find_leaks(docs, tests).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in out) == [(i, k) for i in range(n) for k in (1, 2)]
+    assert all(r["score"] >= 0.5 for r in out)
+    assert [r["doc_id"] for r in benchmark.decontaminate(docs, tests).collect()] == [-1]
+
+
+def test_frequent_seeds_all_over_a_long_text(prose):
+    """Chained seeds make one wide range; it is cut to the dense stretches, with the score of the full table."""
+    rng = random.Random(4)
+    target = ["one", "of", "the", *(f"t{i}" for i in range(27))]
+    text = [w for _ in range(200) for w in ("one", "of", "the", *(f"w{rng.randrange(99)}" for _ in range(17)))]
+    text[800:800] = [w if i % 5 != 4 else "x" for i, w in enumerate(target)]
+    items = benchmark.Items.of([(1, " ".join(target))], 3)
+    found = list(benchmark.matches_in(benchmark.plain_words(" ".join(text)), items, benchmark.DEFAULT))
+    assert [f[1] for f in found] == [smith_waterman(text, target) / 60]
+    spans = list(benchmark._stretches(text, frozenset(target), 30, benchmark.DEFAULT))
+    assert sum(b - a for a, b in spans) < len(text) / 4 and any(a <= 800 and 830 <= b for a, b in spans)
