@@ -7,6 +7,10 @@ words; its temperature is fitted on edits it has not seen, and a family is named
 probability on. A finding must also share ``agree`` of its bigrams with a template of that family, three
 at least. That condition lets a scan pass over lines with fewer template bigrams.
 
+A line that is as a whole one of the short notices (headings, tags, 'All rights reserved.') is a finding with
+probability and agreement 1; two words are enough. Such lines are looked up, not classified, as they have too few
+bigrams to be told from prose by a share of them.
+
 The corpus gives at most ``SAMPLE_ROWS`` documents, chosen by hash, as examples of other lines; every line of
 every document is scanned. The scan is map-only.
 
@@ -100,6 +104,27 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 
+# Names and SPDX identifiers of licences, by family; a heading or tag is made of one of them.
+NAMES: dict[str, tuple[str, ...]] = {
+    "agpl": ("GNU Affero General Public License", "GNU AGPL", "AGPL", "AGPLv3", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "apache": ("Apache", "Apache Software License", "Apache 2.0", "Apache-2.0"),
+    "bsd": ("BSD", "BSD 2-Clause", "BSD 3-Clause", "BSD-2-Clause", "BSD-3-Clause", "0BSD"),
+    "cc-by": ("Creative Commons Attribution", "Creative Commons Attribution 4.0 International", "CC BY", "CC BY 3.0", "CC BY 4.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial", "Creative Commons Attribution-NonCommercial 4.0 International", "CC BY-NC", "CC BY-NC 3.0", "CC BY-NC 4.0"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-ShareAlike 4.0 International", "CC BY-SA", "CC BY-SA 3.0", "CC BY-SA 4.0"),
+    "cc0": ("CC0", "CC0 1.0", "CC0 1.0 Universal"),
+    "gpl": ("GNU General Public License", "GNU GPL", "GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "lgpl": ("GNU Lesser General Public License", "GNU LGPL", "LGPL", "LGPLv3", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "mit": ("MIT",),
+    "mpl": ("Mozilla Public License", "Mozilla Public License 2.0", "MPL", "MPL 2.0", "MPL-2.0"),
+}
+FORMS = ("{}", "{} License", "The {} License", "License: {}", "Licensed under {}", "Licensed under the {} License", "SPDX-License-Identifier: {}")
+
+# Whole lines that are findings by themselves; forms of fewer than two words are left out.
+SHORT: dict[str, tuple[str, ...]] = {f: tuple(x for n in names for form in FORMS if len(plain_words(x := form.format(n))) > 1) for f, names in NAMES.items()}
+SHORT["mit"] += ("MIT License (MIT)", "The MIT License (MIT)")
+SHORT["proprietary"] = ("All rights reserved.", "© All rights reserved.", "Copyright. All rights reserved.", "Copyright (c). All rights reserved.")
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -125,6 +150,8 @@ class Scanner:
     temperature: float
     pairs: np.ndarray  # sorted hashes of template bigrams
     templates: dict[str, list[set[int]]]  # bigrams of each template
+    short: dict[bytes, str]  # family of the words of each short notice
+    heads: np.ndarray  # sorted hashes of the first bigrams of short notices
 
     def features(self, words: np.ndarray) -> np.ndarray:
         seen = np.unique(np.concatenate(_grams(words)))
@@ -176,7 +203,11 @@ def fit(other_lines: list[str], plan: Plan = DEFAULT) -> Scanner:
     vocabulary = np.unique(np.concatenate([np.concatenate(_grams(w)) for ws in own.values() for w in ws]))
     pairs = np.unique(np.concatenate([_grams(w)[1] for ws in own.values() for w in ws]))
     templates = {f: [set(_grams(w)[1].tolist()) for w in ws] for f, ws in own.items()}
-    scanner = Scanner(families, vocabulary, np.zeros((len(vocabulary) + 1, len(families))), 1.0, pairs, templates)
+    notices = [(plain_words(t), f) for f, ts in SHORT.items() for t in ts]
+    long = {w.tobytes() for ws in own.values() for w in ws}  # templates keep the probability of the classifier
+    short = {w.tobytes(): f for w, f in notices if w.tobytes() not in long}
+    heads = np.unique(np.concatenate([_grams(w)[1][:1] for w, _ in notices]))
+    scanner = Scanner(families, vocabulary, np.zeros((len(vocabulary) + 1, len(families))), 1.0, pairs, templates, short, heads)
 
     rng = random.Random(plan.seed)
     filler = [w for line in other_lines if len(w := plain_words(line)) > 2]
@@ -232,30 +263,40 @@ def _scan(source: Iterator[pa.RecordBatch], shared, plan: Plan) -> Iterator[pa.R
     def rows():
         for batch in source:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for i, words in _lines_near(text or "", scanner.pairs, quick):
+                for i, words in _lines_near(text or "", scanner.pairs, quick, scanner.heads):
                     if found := classify(scanner, words, plan):
                         yield doc, i, *found
 
     yield from batches(rows(), FOUND)
 
 
-def _lines_near(text: str, pairs: np.ndarray, quick: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and words of the lines with at least three template bigrams, as every finding has."""
+def _lines_near(text: str, pairs: np.ndarray, quick: np.ndarray, heads: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and words of the lines a finding can be on: those with three template bigrams, and those that begin with one of ``heads``."""
     marked = text.lower().replace(BREAK, " ").replace("\n", f" {BREAK} ")
     words = word_hashes(marked.encode("utf-8", "replace"), LINED)
     hashes = grams(words, 2)
-    at = np.flatnonzero(quick[(hashes >> np.uint64(44)).astype(np.int64)])
-    if len(at) < 3:
-        return
-    at = at[pairs[np.minimum(np.searchsorted(pairs, hashes[at]), len(pairs) - 1)] == hashes[at]]
     breaks = np.flatnonzero(words == BREAK_HASH)
+    at = np.flatnonzero(quick[(hashes >> np.uint64(44)).astype(np.int64)])
+    at = at[_among(hashes[at], pairs)]
     lines, counts = np.unique(np.searchsorted(breaks, at), return_counts=True)
-    for i in lines[counts >= 3].tolist():
+    lines = lines[counts >= 3]
+    if heads is not None:
+        starts = np.concatenate([[0], breaks + 1])
+        starts = starts[starts < len(hashes)]  # breaks are words too, so only the last line can be cut off
+        lines = np.union1d(lines, np.flatnonzero(_among(hashes[starts], heads)))
+    for i in lines.tolist():
         yield i, words[breaks[i - 1] + 1 if i else 0 : breaks[i] if i < len(breaks) else len(words)]
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 def classify(scanner: Scanner, words: np.ndarray, plan: Plan = DEFAULT) -> tuple[str, float, float] | None:
     """Family, probability and agreement of a licence line, or nothing."""
+    if family := scanner.short.get(words.tobytes()):
+        return family, 1.0, 1.0
     probability = scanner.probabilities(words)
     best = int(np.argmax(probability))
     family = scanner.families[best]

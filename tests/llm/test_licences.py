@@ -54,3 +54,21 @@ def test_nulls_repeats_and_clashing(spark, make_docs):
     assert licences.scan(make_docs([])).count() == 0
     docs = spark.createDataFrame([(1, "x\n" * 100_000 + notice, "f", 2)], "doc_id long, text string, family string, line int")
     assert [(r["line"], r["family"]) for r in licences.scan(docs).collect()] == [(100_000, "mit")]
+
+
+def test_lines_of_two_and_three_words_are_found(spark, make_docs, prose):
+    short = {"All rights reserved.": "proprietary", "MIT License": "mit", "# The MIT License": "mit", "// SPDX-License-Identifier: MIT": "mit"}
+    short |= {"Apache License": "apache", "BSD License": "bsd", "GNU GPL": "gpl", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl", "License: CC0": "cc0"}
+    others = ["All rights", "rights reserved", "All rights reserved seats", "Drivers License", "SPDX-License-Identifier: Zlib", "License", "MIT", "apache", "", "CC"]
+    rows = [(i, f"{prose(30, i)}\n\n{line}\n{prose(9, 90 + i)}") for i, line in enumerate([*short, *others])]
+    rows += [(100 + i, line) for i, line in enumerate([*short, *others])]
+    out = {(r["doc_id"], r["line"], r["family"]) for r in licences.scan(make_docs(rows)).collect()}
+    assert out == {(i, 2, f) for i, f in enumerate(short.values())} | {(100 + i, 0, f) for i, f in enumerate(short.values())}
+
+
+def test_every_short_notice_has_one_family_and_is_found():
+    scanner = licences.fit([])
+    quick = np.zeros(1 << 20, bool)
+    notices = [(n, f) for f, ns in licences.SHORT.items() for n in ns]
+    found = {i: licences.classify(scanner, w) for i, w in licences._lines_near("\n".join(n for n, _ in notices), scanner.pairs, quick, scanner.heads)}
+    assert {i: f for i, (_, f) in enumerate(notices)} == {i: x and x[0] for i, x in found.items()}
