@@ -4,8 +4,10 @@ Each stage takes what the one before kept and returns the columns of documents;
 shard and slot. Stages work on all rows they get:
 
 * ``quality``: documents scored under 0.5 go; learned as in op8.
-* ``near_duplicates``: of each group linked by 5-word shingles at 0.8 or more, the smallest doc_id
-  stays (one row of it); rows without doc_id stay.
+* ``near_duplicates``: of each group of texts linked by 5-word shingles at 0.8 or more, the smallest
+  doc_id stays (one row of it); rows without doc_id stay. A doc_id that stands for several texts is
+  a document for each of them, so it ties no groups together (ids and texts are told apart by a
+  64-bit hash of both).
 * ``decontaminate``: documents that hold a copy of a benchmark item go.
 * ``mix``: documents are repeated by a Poisson draw at the rate of their source. A repeated row
   has the same doc_id as the first.
@@ -15,7 +17,7 @@ shard and slot. Stages work on all rows they get:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 from larder.llm import benchmark, jaccard, mixing, quality, sharding
 from larder.llm.queries import SHARDS, fold_of
@@ -23,6 +25,8 @@ from larder.llm.shared import stage, table
 
 ORACLE_SQL = None  # learned scores have no SQL; tests compare the stages with brute force
 
+KEY = "id_and_text"
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), learnable=fold_of() != 1)
@@ -30,9 +34,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    keyed = docs.filter("doc_id is not null").withColumn(KEY, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = jaccard.jaccard_components(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id").distinct()
+    pairs = keyed.select("doc_id", KEY).distinct().join(found, KEY)
+    kept = pairs.groupBy("component_id").agg(F.min(F.struct("doc_id", KEY)).alias("least")).select(f"least.{KEY}")
+    return keyed.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY).unionByName(docs.filter("doc_id is null")).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

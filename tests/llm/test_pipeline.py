@@ -55,3 +55,11 @@ def test_rows_without_id_and_repeated_rows(spark, make_docs, prose):
     empty = make_docs([])
     for name, apply in corpus_pipeline.STAGES[1:]:
         assert apply(spark, empty, FOLDER).count() == 0, name
+
+
+def test_groups_that_share_an_id_each_keep_a_text(spark, make_docs, prose):
+    a, b, c = (prose(60, i) for i in (1, 2, 3))
+    near = b + " and some"
+    docs = make_docs([(1, a), (2, a), (1, near), (3, b), (1, near), (5, c), (4, c), (6, None), (6, "")])
+    out = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.keep_one_of_each(spark, docs, FOLDER).collect())
+    assert out == sorted([(1, a), (1, near), (4, c), (6, "")])
