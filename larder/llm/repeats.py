@@ -1,11 +1,11 @@
-"""Substring dedup: prefix-partitioned suffix trees over words, cut at a depth of ``window`` words.
+"""Substring dedup: heads of ``window`` words of all suffixes, compared in hash groups.
 
 A suffix starts at every word; what matters of it is its first ``window`` words, so a tree of
 depth ``window`` is enough: two suffixes share a node at that depth exactly where a repeat of
 ``window`` words or more begins. Every occurrence but the first (smallest doc_id, then smallest
 start) is removed, and runs of such nodes along a text are its maximal repeats.
 
-The tree is never built whole. Suffixes are split into groups that are built one at a time:
+No tree is built: its nodes at that depth are the equal heads. Suffixes are split into groups that are compared one at a time:
 
 * The group of a suffix is its *anchor*, the smallest hash of the ``anchor``-word grams in its first
   ``window`` words. Equal suffix heads have equal anchors, and neighbours in a text mostly share
