@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import benchmark, chat, jaccard, licences, mixing, quality, repeats, rules, sharding, site_lines
+from larder.llm import benchmark, chat, jaccard, licences, merkle, mixing, quality, repeats, rules, sharding, site_lines
 from larder.llm.shared import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -92,6 +92,16 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all rows; where 5 divides the id's checksum, the text is presented in lower case."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    proved = merkle.manifest(table(spark, folder, "documents"), shown={"text": lower}, altered=altered)
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +115,7 @@ QUERIES = {
         op8_quality_classifier,
         op9_quality_rules,
         op10_sharding,
+        op12_merkle_manifest,
     )
 }
 
@@ -225,6 +236,58 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 FROM placed
 """
 
+_MERKLE = r"""
+WITH RECURSIVE step(b, k, c) AS (
+  SELECT b, 0, b FROM range(0, 256) r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
+), crc AS (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
+written AS (
+  SELECT doc_id, source, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        string_split(regexp_replace(hex(encode(doc_id::VARCHAR)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda h : ('0x' || h)::BIGINT)),
+      lambda c, x : xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 5 = 0, false) AS altered
+  FROM documents, crc
+), hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN altered THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+  FROM written
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n
+  FROM hashed
+), nodes(tree, lvl, pos, n, node) AS (
+  SELECT tree, 0, pos, n, leaf FROM placed
+  UNION ALL SELECT tree, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 16, n
+), subs AS MATERIALIZED (SELECT tree, node AS subroot FROM nodes WHERE n = 1),
+uppers(lvl, pos, n, node) AS (
+  SELECT 0, tree, (SELECT count(*) FROM subs), subroot FROM subs
+  UNION ALL SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM uppers WHERE n > 1 GROUP BY lvl, pos // 16, n
+), sides AS (
+  SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') || '|'
+    || coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS side
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL
+), over_sides AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') || '|'
+    || coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS side
+  FROM uppers a JOIN uppers b ON a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY ALL
+), way AS (
+  SELECT p.tree, p.pos, list(s.side ORDER BY s.lvl) AS sides
+  FROM placed p JOIN sides s ON s.tree = p.tree AND s.pos = p.pos // (16 ** s.lvl)::BIGINT GROUP BY ALL
+), over_way AS (
+  SELECT u.tree, list(s.side ORDER BY s.lvl) AS sides
+  FROM subs u JOIN over_sides s ON s.pos = u.tree // (16 ** s.lvl)::BIGINT GROUP BY ALL
+), whole AS (
+  SELECT p.doc_id, p.leaf, subroot, (SELECT node FROM uppers WHERE n = 1) AS root, coalesce(other, leaf) AS shown,
+    coalesce(way.sides, []) || coalesce(over_way.sides, []) AS sides
+  FROM placed p JOIN subs USING (tree) LEFT JOIN way USING (tree, pos) LEFT JOIN over_way USING (tree)
+), folded AS (
+  SELECT *, list_reduce(list_prepend(shown, sides), lambda h, s : sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(sides, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 ORACLE_SQL = {
     "op1_chat_formatting": _CHAT,
     "op3_ngram_jaccard_join": _JACCARD,
@@ -232,4 +295,5 @@ ORACLE_SQL = {
     "op5_substring_dedup": _REPEATS,
     "op7_line_dedup": _LINES,
     "op10_sharding": _SHARDING,
+    "op12_merkle_manifest": _MERKLE,
 }
