@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import benchmark, chat, jaccard, licences, merkle, mixing, quality, repeats, rules, sharding, site_lines
+from larder.llm import benchmark, chat, jaccard, licences, merkle, mixing, negatives, pii, quality, repeats, rules, sharding, site_lines
 from larder.llm.shared import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -92,6 +92,18 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digest of the plain spans, and all spans, of every text."""
+    found = pii.with_spans(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[pii.count_of(base, kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Proofs of all rows; where 5 divides the id's checksum, the text is presented in lower case."""
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -102,6 +114,13 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth row; every seventh row first takes the next label."""
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), anchors=F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,7 +134,9 @@ QUERIES = {
         op8_quality_classifier,
         op9_quality_rules,
         op10_sharding,
+        op11_pii,
         op12_merkle_manifest,
+        op13_hard_negatives,
     )
 }
 
@@ -288,6 +309,23 @@ uppers(lvl, pos, n, node) AS (
 SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(sides, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
 
+_NEGATIVES = r"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x : floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT p.anchor, p.other AS positive, p.score AS positive_score, s.other AS negative, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, negative AS negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 ORACLE_SQL = {
     "op1_chat_formatting": _CHAT,
     "op3_ngram_jaccard_join": _JACCARD,
@@ -296,4 +334,5 @@ ORACLE_SQL = {
     "op7_line_dedup": _LINES,
     "op10_sharding": _SHARDING,
     "op12_merkle_manifest": _MERKLE,
+    "op13_hard_negatives": _NEGATIVES,
 }

@@ -107,3 +107,16 @@ def test_op10_columns_and_law(spark, duck):
         below += size[d]
     assert {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"]) for r in out} == {d: (size[d], zlib.crc32(t.encode()), shard[d]) for d, t in texts.items()}
     assert {(r["law"], r["grown_shard"]) for r in out} == {("bytes", None)}
+
+
+def test_op11_matches_the_plain_patterns(spark, duck):
+    from .test_pii import plain
+
+    out = {r["doc_id"]: r for r in queries.op11_pii(spark, str(FOLDER)).collect()}
+    texts = dict(documents(duck))
+    assert set(out) == set(texts)
+    for d, text in texts.items():
+        found = plain(text)
+        assert [out[d][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in found) for k in ("email", "ip", "card", "phone")]
+        written = ",".join(f"{k}:{s}:{e}" for k, s, e in found)
+        assert out[d]["base_sha256"] == brute.sha(written) and set(filter(None, written.split(","))) <= set(out[d]["spans"].split(","))
