@@ -7,12 +7,15 @@ best; documents it covers are set aside and the next rule is grown. All counting
 over all labelled documents, and only counts per (statistic, step) come to the driver. The list is
 emitted as one ordered ``CASE`` expression.
 
-Thresholds lie on fixed steps (hundredths of a share, eighths of a power of two), so counts and rules do not
+Thresholds lie on fixed steps (hundredths of a share, 64ths of a power of two above ten, eighths of one for lengths), so counts and rules do not
 depend on how rows were dealt.
 
+A list may have any number of rules and a rule any number of tests: covering ends when no junk is left that some rule tells
+well enough.
+
 Rows: null and empty texts have zero statistics and fail the base rules; documents labelled both ways and
 null labels are not learned from; without labels of both kinds the list is empty; repeated rows are judged
-one by one.
+one by one; texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -101,9 +104,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
+LINEAR = 1000  # hundredths up to here are steps of their own
+
+
 def _share(part: str, whole: str) -> Column:
-    """Whole hundredths, rounded down; 0 where there is nothing."""
-    return F.when(F.col(whole) > 0, F.least(F.floor(100 * F.col(part) / F.col(whole)), F.lit(1000))).otherwise(0).cast("int")
+    """Whole hundredths, rounded down, up to ``LINEAR``; beyond it steps of about 1 %, so their number stays small; 0 where there is nothing."""
+    hundredths = 100 * F.col(part) / F.col(whole)
+    wide = F.lit(LINEAR) + F.floor(64 * F.log2(hundredths / LINEAR))
+    return F.when(F.col(whole) > 0, F.when(hundredths < LINEAR, F.floor(hundredths)).otherwise(wide)).otherwise(0).cast("int")
 
 
 def _size(of: str) -> Column:
@@ -111,8 +119,6 @@ def _size(of: str) -> Column:
     return F.floor(8 * F.log2(F.col(of) + 1)).cast("int")
 
 
-
-
 def steps() -> dict[str, Column]:
     """Steps of each statistic that rules may test."""
     return {
@@ -151,8 +157,6 @@ Rule = tuple[Test, ...]
 
 @dataclass(frozen=True)
 class Covering:
-    max_rules: int = 8
-    max_tests: int = 3
     min_precision: float = 0.9
     min_covered: int = 2
 
@@ -168,16 +172,22 @@ def _all(tests: Rule) -> Column:
 
 
 def learn(marked: DataFrame, plan: Covering = DEFAULT) -> list[Rule]:
-    """Ordered junk rules from a table of steps with ``junk`` (boolean) and ``grow`` (boolean)."""
+    """Ordered junk rules from a table of steps with ``junk`` (boolean) and ``grow`` (boolean).
+
+    Ends when no junk is left to cover, or when a rule has been tried from every statistic and none stood pruning.
+    """
     rules: list[Rule] = []
-    rest = marked
-    while len(rules) < plan.max_rules:
-        rule = _pruned(_grown(rest.filter("grow"), plan), rest.filter("not grow"), plan)
-        if not rule:
-            break
-        rules.append(rule)
-        rest = rest.filter(~_all(rule))
-    return rules
+    rest, refused = marked, frozenset()
+    while True:
+        grown = _grown(rest.filter("grow"), plan, refused)
+        if not grown:
+            return rules
+        rule = _pruned(grown, rest.filter("not grow"), plan)
+        if rule:
+            rules.append(rule)
+            rest, refused = rest.filter(~_all(rule)), frozenset()
+        else:
+            refused |= {(grown[0].name, grown[0].at_least)}
 
 
 def _histogram(rows: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
@@ -186,7 +196,7 @@ def _histogram(rows: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
     cells = rows.select("junk", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("step")) for n in names])).alias("c"))
     out: dict[str, dict[int, tuple[int, int]]] = {n: {} for n in names}
     counted = cells.groupBy("c.name", "c.step").agg(F.count_if("junk").alias("p"), F.count_if(~F.col("junk")).alias("n"))
-    for row in counted.collect():  # steps are bounded: about a thousand per statistic
+    for row in counted.collect():  # steps are bounded: a few thousand per statistic
         out[row["name"]][row["step"]] = (row["p"], row["n"])
     return out
 
@@ -195,10 +205,13 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _grown(rows: DataFrame, plan: Covering) -> Rule:
-    """Tests added by largest information gain until only junk is covered."""
+def _grown(rows: DataFrame, plan: Covering, refused: frozenset[tuple[str, bool]] = frozenset()) -> Rule:
+    """Tests added by largest information gain until only junk is covered.
+
+    ``refused`` names statistics and directions that the first test may not use.
+    """
     rule: Rule = ()
-    while len(rule) < plan.max_tests:
+    while True:
         seen = _histogram(rows.filter(_all(rule)))
         best: tuple[float, Test | None] = (1e-9, None)
         clean = True
@@ -211,6 +224,8 @@ def _grown(rows: DataFrame, plan: Covering) -> Rule:
             for step in sorted(cells):  # rows below each step, rows from it on
                 for at_least, covered in ((True, (p0 - p, n0 - n)), (False, (p, n))):
                     gain = _gain(*covered, p0, n0)
+                    if not rule and (name, at_least) in refused:
+                        continue
                     if covered[0] >= plan.min_covered and gain > best[0] + 1e-9:
                         best = (gain, Test(name, at_least, step))
                 p, n = p + cells[step][0], n + cells[step][1]
