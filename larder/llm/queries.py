@@ -229,7 +229,7 @@ WITH host AS (
   FROM pages
 ), totals AS (SELECT host, count(*) AS pages FROM host GROUP BY host),
 seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM host) GROUP BY ALL),
-common AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE n >= 3 AND n > 0.3 * pages GROUP BY host),
+common AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE n >= 2 AND n > 0.3 * pages GROUP BY host),
 cut AS (
   SELECT page_id, host, lines, list_filter(lines, lambda x : NOT list_contains(coalesce(common, []), x)) AS kept
   FROM host LEFT JOIN common USING (host)

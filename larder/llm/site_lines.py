@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
 A line of a page is boilerplate if more than ``ratio`` of the pages of its host hold it (and at least
-``least`` of them do). Boilerplate lines are dropped from every page of the host.
+``least`` of them do: with one page alone there is nothing to compare). Boilerplate lines are dropped from every page of the host.
 
 Distinct lines are counted per host with map-side combine; a host's boilerplate is a short list, at most
 (mean distinct lines of its pages) / ``ratio`` of them, so it joins the pages as one row per host. Pages stay
@@ -43,17 +43,18 @@ def html_lines(html: Column) -> Column:
 def drop_site_lines(
     pages: DataFrame,
     ratio: float = 0.3,
-    least: int = 3,
+    least: int = 2,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text): text of the lines that stay, one row per page."""
-    lines = pages.select(
+    cut = pages.select(
         column(id_col).alias("page_id"),
         host_of(column(url_col)).alias("host"),
         F.filter(html_lines(column(html_col)), lambda line: line != "").alias("lines"),
     )
+    lines = stage(cut, "site-pages")  # read three times: HTML is cut once
     hashed = lines.select("host", F.array_distinct(F.transform("lines", lambda line: F.md5(line))).alias("keys"))
     totals = lines.groupBy("host").agg(F.count("*").alias("pages"))
     counted = hashed.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
