@@ -19,7 +19,8 @@ Counting covers all documents. What is broadcast has a fixed size: a bitmap of r
 (a full one costs shuffle, not results) and at most ``HOT_KEYS`` anchors of large groups.
 
 Rows: null or empty text has no words; a row without doc_id sorts before all others; rows that share
-a doc_id are one document, whose equal starts are no earlier occurrence of each other.
+a doc_id are one document, whose equal starts are no earlier occurrence of each other (their texts are told
+apart by 64-bit hashes); texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = docs.select(
         column(id_col).cast("long").alias("doc_id"),
         F.coalesce(column(id_col).cast("long"), F.lit(NO_ID)).alias("pos_id"),
-        F.hash(column(text_col)).alias("text_key"),
+        F.xxhash64(column(text_col)).alias("text_key"),
         column(text_col).cast("binary").alias("text"),
     )
     size = dict(window=window, anchor=anchor)
@@ -62,12 +63,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     shared = texts.sparkSession.sparkContext.broadcast((repeated, np.sort(hot)))
 
     suffixes = texts.select("pos_id", "text_key", "text").mapInArrow(
-        partial(_suffixes, shared=shared, **size), "key long, pos_id long, text_key int, start int, n int, heads array<long>"
+        partial(_suffixes, shared=shared, **size), "key long, pos_id long, text_key long, start int, n int, heads array<long>"
     )
     spans = (
         suffixes.repartition("key")
         .sortWithinPartitions("key", "pos_id", "start")
-        .mapInArrow(_deep_nodes, "pos_id long, text_key int, span long")
+        .mapInArrow(_deep_nodes, "pos_id long, text_key long, span long")
         .groupBy("pos_id", "text_key")
         .agg(F.collect_list("span").alias("spans"))
     )
@@ -115,7 +116,7 @@ def _anchors(source: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iter
 
 
 SUFFIX = pa.schema(
-    [("key", pa.int64()), ("pos_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("heads", pa.list_(pa.int64()))]
+    [("key", pa.int64()), ("pos_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("heads", pa.list_(pa.int64()))]
 )
 
 
@@ -231,7 +232,7 @@ def _deep_nodes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_key.append(text_key)
                 out_span.append(begun << 32 | start + n - begun)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out_id, pa.int64()), pa.array(out_key, pa.int32()), pa.array(out_span, pa.int64())], names=["pos_id", "text_key", "span"]
+            [pa.array(out_id, pa.int64()), pa.array(out_key, pa.int64()), pa.array(out_span, pa.int64())], names=["pos_id", "text_key", "span"]
         )
 
 
