@@ -191,7 +191,7 @@ def matches_in(words: np.ndarray, items: Items, scoring: Scoring) -> Iterator[tu
             starts[item].add(pos - place)
     for item in sorted(starts):
         target = items.words[item]
-        pad = len(target) // 2 + scoring.seed
+        pad = _reach(len(target), scoring)
         best = (0, 0, 0, 0)
         for low, high in _clusters(sorted(starts[item]), len(target)):
             begin = max(0, low - pad)
@@ -219,6 +219,12 @@ def _clusters(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield low, last
 
 
+def _reach(size: int, scoring: Scoring) -> int:
+    """Gaps that an alignment of the least score with an item of ``size`` words can afford, and a seed's length."""
+    spare = scoring.match * size * (1 - scoring.least)
+    return int(spare / -scoring.gap) + scoring.seed if scoring.gap < 0 else size
+
+
 def _stretches(text: list[int], own: frozenset[int], size: int, scoring: Scoring) -> Iterator[tuple[int, int]]:
     """Ranges of a text that hold every alignment of the least score with an item of ``size`` words.
 

@@ -129,5 +129,5 @@ def test_rows_nulls_clashes_and_masks(spark):
     assert sorted((r["doc_id"] or 0, r["w"]) for r in out) == [(0, ""), (1, "email:0:7"), (1, "email:0:7"), (2, ""), (3, "email:200000:200012")]
     masked = pii.redact(docs)
     assert masked.columns == docs.columns
-    assert sorted(r["text"][-10:] for r in masked.where("doc_id <> 2").collect()) == ["[email]", "[email]", "z z [email]"[-10:]]
+    assert sorted(r["text"][-10:] for r in masked.where("doc_id <> 2").collect()) == [" z [email]", "[email]", "[email]"]
     assert pii.with_spans(docs.limit(0)).collect() == [] and pii.redact(docs.limit(0)).collect() == []
