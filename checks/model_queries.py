@@ -15,7 +15,7 @@ from larder.plans import features, forecast
 from larder.session import stage
 
 CHECKED = forecast.Boosting(rounds=8, patience=2, rate=0.3, depth=4)
-CHECKED_LEAFWISE = forecast.Boosting(rounds=8, patience=2, rate=0.3, depth=5, min_leaf_rows=20)
+CHECKED_LEAFWISE = forecast.Boosting(rounds=8, patience=2, rate=0.3, depth=None, leaves=31, min_leaf_rows=20, shrink=0.0)
 KEY = ["product_id", "store_id", "date"]
 PREDICTED = [*KEY, "sales_quantity", "prediction", "pred_lower", "pred_upper"]
 

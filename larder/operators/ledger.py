@@ -32,6 +32,26 @@ LOG_COLUMNS = ["event_id", "ts", *KEYS, "qty", "tx_type", "accepted", "reason",
 _LOCAL_BITS = 33
 
 
+def take_in_order(opening: int, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level after each movement, whether it was taken) of one stretch that opens at ``opening``.
+
+    Up to the first sale that might be refused, and in stretches without one, levels are running sums.
+    """
+    levels = opening + np.cumsum(delta)
+    taken = np.ones(len(delta), dtype=bool)
+    short = np.flatnonzero(levels < 0)
+    if len(short):
+        at = int(short[0])
+        now = int(levels[at - 1]) if at else opening
+        for i, d in enumerate(delta[at:].tolist(), at):
+            if d >= 0 or now + d >= 0:
+                now += d
+            else:
+                taken[i] = False
+            levels[i] = now
+    return levels, taken
+
+
 def _walk(openings: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Task function over rows sorted by range and position.
 
@@ -60,15 +80,9 @@ def _walk(openings: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
             sums -= np.repeat(sums[starts] - delta[starts], sizes)
             levels = np.repeat(opening, sizes) + sums
             taken = np.ones(batch.num_rows, dtype=bool)
-            # a stretch that never falls below zero refuses nothing; the others go row by row
             for i in np.flatnonzero(np.minimum.reduceat(levels, starts) < 0):
-                at, now = starts[i], int(opening[i])
-                for j, d in enumerate(delta[at : at + sizes[i]].tolist(), at):
-                    if d >= 0 or now + d >= 0:
-                        now += d
-                    else:
-                        taken[j] = False
-                    levels[j] = now
+                part_of = slice(starts[i], starts[i] + sizes[i])
+                levels[part_of], taken[part_of] = take_in_order(int(opening[i]), delta[part_of])
             totals = sums + np.repeat(before, sizes)
             last, level, total = (part[-1].as_py(), group[-1].as_py()), levels[-1], totals[-1]
             keep = [n for n in batch.schema.names if n not in ("stock_after", "accepted", "_total")]

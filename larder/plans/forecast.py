@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +16,11 @@ from larder.functions.calendar import FLOATING, SET_DATES, us_holiday
 from larder.functions.ratios import blend
 from larder.operators.positions import chronological_holdout, expanding_folds, with_positions
 from larder.operators.quantiles import exact_quantiles
+from larder.plans.boosting import Growth, TreeModel, fit_trees
 from larder.plans.evaluate import evaluate
 from larder.plans.reports import with_bounds
 from larder.schemas import KEYS
-from larder.session import stage, staged_dir
+from larder.session import stage
 
 ORDER = ["date", *KEYS]
 TARGET = "sales_quantity"
@@ -43,25 +41,33 @@ class Boosting:
     """Settings of a boosted regressor.
 
     ``rounds`` is the most trees grown; growing ends when the validation error has not fallen for
-    ``patience`` trees, and the model keeps the trees up to its best.
+    ``patience`` trees, and the model keeps the trees up to its best. ``leaves`` limits a tree that grows
+    best-first; without it ``depth`` alone does.
     """
 
     rounds: int = 1000
     patience: int = 50
     rate: float = 0.01
-    depth: int = 6
+    depth: int | None = 6
+    leaves: int | None = None
     row_share: float = 0.8
     column_share: float = 0.8
     min_leaf_rows: int = 1
+    shrink: float = 1.0  # added to the weight of a leaf
     bins: int = 64  # candidate cuts per feature
     seed: int = 42
 
-    def regressor(self, features: str, prediction: str, rounds: int | None = None, weight: str | None = None) -> GBTRegressor:
-        model = GBTRegressor(
+    @property
+    def growth(self) -> Growth:
+        return Growth(self.rate, self.depth, self.leaves, self.min_leaf_rows, self.shrink, self.row_share, self.column_share, self.seed)
+
+    def regressor(self, features: str, prediction: str) -> GBTRegressor:
+        """Spark ML's booster, for models without validation rows."""
+        return GBTRegressor(
             featuresCol=features,
             labelCol=TARGET,
             predictionCol=prediction,
-            maxIter=rounds or self.rounds,
+            maxIter=self.rounds,
             stepSize=self.rate,
             maxDepth=self.depth,
             subsamplingRate=self.row_share,
@@ -70,41 +76,11 @@ class Boosting:
             seed=self.seed,
             maxBins=self.bins,
         )
-        return model.setWeightCol(weight) if weight else model
-
-    def fit(self, train: DataFrame, held: DataFrame, features: str, prediction: str, weight: str | None = None) -> GBTRegressionModel:
-        """Grow trees until ``patience`` of them bring nothing on ``held``, and keep those up to the best.
-
-        Trees of a seed do not depend on how many follow, so a longer run repeats the shorter one: the number of
-        rounds doubles until the stop rule is met, and the best prefix is grown once more.
-        """
-        rounds = min(self.rounds, 2 * self.patience)
-        while True:
-            model = self.regressor(features, prediction, rounds, weight).fit(train)
-            errors = model.evaluateEachIteration(held, "squared")
-            if any(math.isnan(e) for e in errors):  # no validation rows
-                return model if rounds == self.rounds else self.regressor(features, prediction, self.rounds, weight).fit(train)
-            best = _stop(errors, self.patience)
-            if best is not None or rounds == self.rounds:
-                break
-            rounds = min(self.rounds, 2 * rounds)
-        kept = 1 + (errors.index(min(errors)) if best is None else best)
-        return model if kept == rounds else self.regressor(features, prediction, kept, weight).fit(train)
-
-
-def _stop(errors: list[float], patience: int) -> int | None:
-    """Best tree when the error first fails to fall for ``patience`` trees; None if it has not yet."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            return best
-    return None
 
 
+# As many leaves and as few rows in each as the second model has.
 BOOSTED = Boosting()
-LEAFWISE = Boosting(depth=5, min_leaf_rows=20)
+LEAFWISE = Boosting(depth=None, leaves=31, min_leaf_rows=20, shrink=0.0)
 
 
 def feature_names(df: DataFrame) -> list[str]:
@@ -164,15 +140,13 @@ def weighted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_weight", F.when(F.col("is_high_value") == 1, HIGH_VALUE_WEIGHT).otherwise(1.0))
 
 
-def fit_boosted(rows: DataFrame, names: list[str], settings: Boosting, prediction: str, features: str = "features") -> PipelineModel:
-    """Boosted model on the rows not marked ``is_validation``, stopped early on those that are."""
-    assemble = VectorAssembler(inputCols=names, outputCol=features)
-    ready = assemble.transform(rows).select(features, TARGET, "row_weight", "is_validation").persist(StorageLevel.DISK_ONLY)
-    try:
-        model = settings.fit(ready.where("not is_validation"), ready.where("is_validation"), features, prediction, "row_weight")
-    finally:
-        ready.unpersist()
-    return PipelineModel(stages=[assemble, model])
+def fit_boosted(rows: DataFrame, names: list[str], settings: Boosting, prediction: str, saved: str | None = None) -> PipelineModel:
+    """Boosted model on the rows not marked ``is_validation``, stopped early on those that are.
+
+    ``saved``: a shared folder from which a fit that broke off goes on.
+    """
+    fit = fit_trees(rows, names, settings.growth, settings.rounds, settings.patience, TARGET, "row_weight", "is_validation", prediction, settings.bins, saved)
+    return PipelineModel(stages=[fit])
 
 
 def fit_ensemble(features: DataFrame, boosted: Boosting = BOOSTED, leafwise: Boosting = LEAFWISE) -> PipelineModel:
@@ -185,15 +159,14 @@ def fit_ensemble(features: DataFrame, boosted: Boosting = BOOSTED, leafwise: Boo
     folds = weighted(expanding_folds(features, ORDER)).withColumn("is_validation", F.col("fold") == 5)
     rows = stage(folds.drop("position"), "training")
     trend = fit_trend(rows)
-    first = fit_boosted(rows, names, boosted, "boosted_prediction", "boosted_features")
-    second = fit_boosted(rows, names, leafwise, "leafwise_prediction", "leafwise_features")
+    first = fit_boosted(rows, names, boosted, "boosted_prediction")
+    second = fit_boosted(rows, names, leafwise, "leafwise_prediction")
     total = " + ".join(f"{c} * {w}D" for c, w in BLEND.items())
     combine = SQLTransformer(statement=f"SELECT *, {total} AS prediction FROM __THIS__")
     bounds = SQLTransformer(
         statement=f"SELECT *, prediction * {1 - BOUND_SHARE}D AS pred_lower, prediction * {1 + BOUND_SHARE}D AS pred_upper FROM __THIS__"
     )
-    helpers = ["trend_features", "boosted_features", "leafwise_features"]
-    return PipelineModel(stages=[trend, first, second, combine, bounds, _drop_stage(helpers)])
+    return PipelineModel(stages=[trend, first, second, combine, bounds, _drop_stage(["trend_features"])])
 
 
 def blended(scored: DataFrame) -> DataFrame:
@@ -323,30 +296,40 @@ def demand_outlook(
 # --- importance and attribution ---
 
 
-def _booster(model: PipelineModel, nth: int = 0):
-    return [s for s in model.stages if hasattr(s, "featureImportances")][nth]
+def _boosters(model) -> list[TreeModel]:
+    """Tree models of a pipeline, in order; pipelines may hold pipelines."""
+    if isinstance(model, TreeModel):
+        return [model]
+    return [t for s in getattr(model, "stages", []) for t in _boosters(s)]
 
 
 def gain_importance(model: PipelineModel, names: list[str], spark, nth: int = 0) -> DataFrame:
     """(feature, importance) of the nth booster of a pipeline, by split gain; one row per feature."""
-    rows = [(n, float(v)) for n, v in zip(names, _booster(model, nth).featureImportances.toArray(), strict=True)]
+    rows = [(n, float(v)) for n, v in zip(names, _boosters(model)[nth].featureImportances.toArray(), strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
 def cover_importance(model: PipelineModel, names: list[str], spark, nth: int = 0) -> DataFrame:
-    """(feature, importance): mean number of training rows (by weight) in the splits on each feature.
+    """(feature, importance): mean number of training rows (by weight) in the splits on each feature; 0 for a feature no split uses."""
+    rows = [(n, float(v)) for n, v in zip(names, _boosters(model)[nth].covers, strict=True)]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+def row_attributions(model: PipelineModel, rows: DataFrame, nth: int = 0) -> DataFrame:
+    """``rows`` with ``attributions``, exact Shapley values of the nth booster per feature, and ``expected``, its mean prediction.
 
-    Counts stand in the node tables that a saved model consists of; 0 for a feature no split uses.
+    They sum to the prediction less ``expected``.
     """
-    path = f"{staged_dir(spark)}/cover-{uuid.uuid4().hex}"
-    _booster(model, nth).write().save(path)
-    node = spark.read.parquet(f"{path}/data")
-    fields = {f.name for f in node.schema}
-    flat = node.select("nodeData.*") if "nodeData" in fields else node
-    splits = flat.where("leftChild >= 0").select(F.col("split.featureIndex").alias("i"), F.col("rawCount").alias("rows"))
-    covered = splits.groupBy("i").agg(F.avg("rows").alias("importance"))
-    listed = spark.createDataFrame(list(enumerate(names)), "i int, feature string")
-    return listed.join(covered, "i", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+    booster = _boosters(model)[nth]
+    return booster.attributions(rows).withColumn("expected", F.lit(booster.expected))
+
+
+def mean_attribution(model: PipelineModel, rows: DataFrame, nth: int = 0) -> DataFrame:
+    """(feature, importance): mean absolute attribution of each feature over ``rows``."""
+    names = _boosters(model)[nth].getOrDefault("names")
+    sums = row_attributions(model, rows, nth).agg(*[F.avg(F.abs(F.get("attributions", F.lit(i)))).alias(f"a{i}") for i in range(len(names))])
+    pairs = [F.struct(F.lit(n).alias("feature"), F.col(f"a{i}").alias("importance")) for i, n in enumerate(names)]
+    return sums.select(F.inline(F.array(*pairs)))
 
 
 def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
@@ -410,23 +393,9 @@ def dependence(model: PipelineModel, rows: DataFrame, feature: str, interaction:
     )
 
 
-def boosted_dependence(
-    model: PipelineModel, rows: DataFrame, feature: str, interaction: str | None = None, prediction: str = "prediction", against: int = 16
-) -> DataFrame:
-    """(value, attribution, interaction value) of one feature of a boosted model, per row.
-
-    The attribution is the prediction less its mean over ``against`` evenly spaced quantiles of the feature,
-    all else as in the row. Rows meet the quantiles in one pass: their number is fixed.
-    """
-    cuts = exact_quantiles(rows, feature, [(i + 0.5) / against for i in range(against)])
-    values = F.array(*[F.lit(float(v)) for v in cuts.values() if v is not None])
-    kept = rows.withColumns({"_own": F.col(feature).cast("double"), "_key": F.monotonically_increasing_id()})
-    kept = stage(kept, "dependence")
-    spread = kept.withColumn("_at", F.explode(F.concat(F.array(F.lit(None).cast("double")), values)))
-    spread = spread.withColumn(feature, F.coalesce("_at", "_own"))
-    scored = model.transform(spread)
-    shown = F.first(F.when(F.col("_at").isNull(), F.col(interaction).cast("double")), ignorenulls=True) if interaction else F.lit(None).cast("double")
-    own = F.max(F.when(F.col("_at").isNull(), F.col(prediction)))
-    others = F.avg(F.when(F.col("_at").isNotNull(), F.col(prediction)))
-    out = scored.groupBy("_key").agg(F.max("_own").alias("value"), (own - others).alias("attribution"), shown.alias("interaction"))
-    return out.drop("_key")
+def boosted_dependence(model: PipelineModel, rows: DataFrame, feature: str, interaction: str | None = None, nth: int = 0) -> DataFrame:
+    """(value, attribution, interaction value) of one feature of a boosted model, per row, in one pass over the rows."""
+    at = _boosters(model)[nth].getOrDefault("names").index(feature)
+    shown = F.col(interaction).cast("double") if interaction else F.lit(None).cast("double")
+    explained = row_attributions(model, rows, nth)
+    return explained.select(F.col(feature).cast("double").alias("value"), F.get("attributions", F.lit(at)).alias("attribution"), shown.alias("interaction"))

@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # state with lists and timers, kept on disk, as the streaming ledger needs
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -83,3 +85,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Remove the folder of a staged table that is not read any more."""
+    spark = df.sparkSession
+    below = f"/staged/{spark.sparkContext.applicationId}/"
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        if below in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from larder.operators.columns import align_keys
-from larder.operators.ledger import RESTOCK, SALE, opening_levels, settle
+from larder.operators.ledger import RESTOCK, SALE, opening_levels, settle, take_in_order
 from larder.operators.matching import add_quantities
 from larder.plans.reorder import reorder_suggestions
 from larder.schemas import KEYS, MOVEMENTS
@@ -132,59 +132,117 @@ def settle_batches(
 
 
 LEVELS = "event_id long, ts timestamp, product_id string, store_id string, qty long, tx_type string, accepted boolean, reason string, stock_after long, late boolean"
-
-
-def keyed_ledger(movements: DataFrame, stock: DataFrame) -> DataFrame:
-    """Streaming log with the stock level kept as state per product and store.
-
-    A key's movements come in Arrow batches, and each of these is taken in the order of (ts, event_id);
-    one that arrives after a later one has been applied is applied on arrival and
-    marked ``late``. One Arrow batch is held at a time.
+HEARTBEAT = "HEARTBEAT"
+WAITING = "event_id long, micros long, qty long, tx_type string, late boolean"
+
+
+class _Ledger(StatefulProcessor):
+    """One key's ledger: its stock level, and the movements that wait for the watermark."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.level = handle.getValueState("level", "level long")
+        self.alarm = handle.getValueState("alarm", "at long")
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        level = self.level.get() if self.level.exists() else None
+        first = None
+        for part in rows:
+            part = part[part["tx_type"].ne(HEARTBEAT)]
+            if part.empty:
+                continue
+            micros = part["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            if level is None and part["opening"].notna().any():
+                level = (int(part["opening"].dropna().iloc[0]),)
+                self.level.update(level)
+            qty = [None if pd.isna(q) else int(q) for q in part["qty"]]
+            kind = [None if pd.isna(k) else k for k in part["tx_type"]]
+            ids = [None if pd.isna(i) else int(i) for i in part["event_id"]]
+            self.waiting.appendList(list(zip(ids, micros.tolist(), qty, kind, (micros < passed).tolist(), strict=True)))
+            first = int(micros.min()) if first is None else min(first, int(micros.min()))
+        if first is not None:
+            self._wake(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.alarm.exists() or self.alarm.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return iter([])
+        self.alarm.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get())
+        due = sorted((r for r in rows if r[1] < passed), key=lambda r: (r[1], r[0] is not None, r[0] or 0))
+        rest = [tuple(r) for r in rows if r[1] >= passed]
+        if rest:
+            self.waiting.put(rest)
+            self._wake(min(r[1] for r in rest))
+        else:
+            self.waiting.clear()
+        return iter([self._applied(key, due)] if due else [])
+
+    def _wake(self, micros: int) -> None:
+        """One timer a key, at the first millisecond that lies after its earliest waiting movement."""
+        at = micros // 1000 + 1
+        if self.alarm.exists():
+            if self.alarm.get()[0] <= at:
+                return
+            self.handle.deleteTimer(self.alarm.get()[0])
+        self.alarm.update((at,))
+        self.handle.registerTimer(at)
+
+    def _applied(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        level = self.level.get()[0] if self.level.exists() else None
+        ids, micros, qty, kinds, late = zip(*rows, strict=True)
+        reasons = [self._refusal(key, q, k, level) for q, k in zip(qty, kinds, strict=True)]
+        delta = np.array([0 if r else q * (-1 if k == SALE else 1) for q, k, r in zip(qty, kinds, reasons, strict=True)], np.int64)
+        levels, taken = take_in_order(level or 0, delta)
+        if level is not None:
+            self.level.update((int(levels[-1]),))
+        reasons = [r or (None if t else "not enough stock") for r, t in zip(reasons, taken, strict=True)]
+        return pd.DataFrame(
+            {
+                "event_id": pd.array(ids, dtype="Int64"),
+                "ts": pd.to_datetime(np.array(micros, np.int64), unit="us"),
+                "product_id": key[0],
+                "store_id": key[1],
+                "qty": pd.array(qty, dtype="Int64"),
+                "tx_type": pd.Series(kinds, dtype=object),
+                "accepted": [r is None for r in reasons],
+                "reason": pd.Series(reasons, dtype=object),
+                "stock_after": pd.array(levels if level is not None else [None] * len(levels), dtype="Int64"),
+                "late": list(late),
+            }
+        )
+
+    @staticmethod
+    def _refusal(key: tuple, qty: int | None, kind: str | None, level: int | None) -> str | None:
+        if not str(key[1] or "").strip():
+            return "invalid store id"
+        if qty is None:
+            return "invalid quantity"
+        if kind not in (SALE, RESTOCK):
+            return "unknown type"
+        return "unknown product and store" if level is None else None
+
+
+def keyed_ledger(movements: DataFrame, stock: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Streaming log in event-time order, with the stock level kept as state per product and store.
+
+    A movement waits in its key's state until the watermark, the latest time seen less ``delay``, has passed it. A timer
+    then releases all that are due, in the order of (ts, event_id), however they came in and in however many
+    batches. One that arrives behind the watermark is taken with the next release and marked ``late``. Rows of type
+    ``HEARTBEAT`` move the watermark on and are not logged, so that the last movements of a quiet stream come out. A release holds the due
+    movements of one key in memory: at most those of ``delay`` and one micro-batch. Movements without a time are dropped.
     """
     levels = opening_levels(stock, "opening")
-    movements, levels = align_keys(movements, levels)
-    rows = movements.withColumns({k: F.col(k).cast("string") for k in KEYS}).join(
+    # the watermark sits on a column of its own: a late row must not be filtered out before it is marked
+    timed = movements.where("ts is not null").withColumn("_seen", F.col("ts")).withWatermark("_seen", delay).drop("_seen")
+    timed, levels = align_keys(timed, levels)
+    rows = timed.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in KEYS}).join(
         levels.withColumns({k: F.col(k).cast("string") for k in KEYS}), KEYS, "left"
     )
-    sale, restock = SALE, RESTOCK
-
-    def apply(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        level, newest = state.get if state.exists else (None, None)
-        for part in parts:
-            batch = part.sort_values(["ts", "event_id"], kind="stable")
-            if level is None and batch["opening"].notna().any():
-                level = int(batch["opening"].dropna().iloc[0])
-            taken, reasons, after, late = [], [], [], []
-            for ts, qty, kind in zip(batch["ts"], batch["qty"], batch["tx_type"], strict=True):
-                reason = None
-                delta = 0 if pd.isna(qty) else int(qty) * (-1 if kind == sale else 1)
-                if not str(key[1] or "").strip():
-                    reason = "invalid store id"
-                elif pd.isna(qty):
-                    reason = "invalid quantity"
-                elif kind not in (sale, restock):
-                    reason = "unknown type"
-                elif level is None:
-                    reason = "unknown product and store"
-                elif delta < 0 and level + delta < 0:
-                    reason = "not enough stock"
-                else:
-                    level += delta
-                micros = int(ts.value // 1000)
-                late.append(newest is not None and micros < newest)
-                newest = micros if newest is None else max(newest, micros)
-                taken.append(reason is None)
-                reasons.append(reason)
-                after.append(level)
-            yield batch.drop(columns="opening").assign(accepted=taken, reason=reasons, stock_after=pd.array(after, dtype="Int64"), late=late)[
-                ["event_id", "ts", "product_id", "store_id", "qty", "tx_type", "accepted", "reason", "stock_after", "late"]
-            ]
-        if level is not None:
-            state.update((level, newest))
-
-    return rows.groupBy(*KEYS).applyInPandasWithState(
-        apply, LEVELS, "level long, newest long", "append", GroupStateTimeout.NoTimeout
-    )
+    return rows.groupBy(*KEYS).transformWithStateInPandas(_Ledger(), LEVELS, "append", "EventTime")
 
 
 def append_log(log: DataFrame, path: str, checkpoint: str, trigger: Trigger = ONCE) -> StreamingQuery:

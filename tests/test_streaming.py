@@ -1,13 +1,15 @@
+import random
 from pathlib import Path
 
 import pytest
 from conftest import rows_of
 from test_ledger import movements, replay, stock_of
 
+from larder.operators.ledger import settle
 from larder.schemas import KEYS, MOVEMENTS
 from larder.sources.tables import VersionedTable
 from larder.session import clear_staged, stage, staged_dir
-from larder.streaming.movements import REFRESH, append_log, keyed_ledger, movement_source, settle_batches, stock_after
+from larder.streaming.movements import HEARTBEAT, REFRESH, append_log, keyed_ledger, movement_source, settle_batches, stock_after
 
 ROWS = [
     (1, 10, "P1", "A", 4, "SALE"), (2, 11, "P2", "A", 1, "SALE"), (3, 12, "P1", "A", 7, "SALE"), (4, 13, "P9", "A", 1, "SALE"),
@@ -49,28 +51,70 @@ def test_batches_settle_like_one_replay(spark, tmp_path, folder, merge_every):
     assert sorted(rows_of(last, "product_id", "stock_levels", "reorder_qty")) == [("P1", 4, 20), ("P2", 7, 0)]
 
 
-def test_keyed_state_settles_like_one_replay(spark, tmp_path, folder):
-    log = keyed_ledger(movement_source(spark, folder, files_per_batch=1), stock_of(spark, LEVELS))
-    query = append_log(log, str(tmp_path / "log"), str(tmp_path / "check"))
-    assert query.awaitTermination(120)
+def streamed(spark, tmp_path, parts, levels, delay="10 minutes"):
+    """Log of ``keyed_ledger`` over one file per part, after a heartbeat far ahead."""
+    path, log = str(tmp_path / "events"), str(tmp_path / "log")
+    for part in (*parts, [(None, 10**7, None, None, None, HEARTBEAT)]):
+        movements(spark, part).select(*MOVEMENTS.names).coalesce(1).write.mode("append").parquet(path)
+    query = append_log(keyed_ledger(movement_source(spark, path, 1), stock_of(spark, levels), delay), log, str(tmp_path / "check"))
+    assert query.awaitTermination(300) and query.exception() is None
+    return spark.read.parquet(log)
+
+
+def test_keyed_state_settles_like_one_replay(spark, tmp_path):
+    out = streamed(spark, tmp_path, [ROWS[:4], ROWS[4:]], LEVELS)
     expected, _ = replay(ROWS, LEVELS)
-    out = spark.read.parquet(str(tmp_path / "log"))
     assert {r["event_id"]: (r["accepted"], r["stock_after"]) for r in out.collect()} == expected
-    assert out.where("late").count() == 0
+    assert out.where("late").count() == 0 and set(KEYS) <= set(out.columns)
     reasons = dict(rows_of(out.where("not accepted"), "event_id", "reason"))
     assert reasons[4] == "unknown product and store" and reasons[3] == "not enough stock"
 
 
-def test_late_movement_is_applied_and_marked(spark, tmp_path):
-    path = str(tmp_path / "events")
-    for part in ([(1, 50, "P1", "A", 4, "SALE")], [(2, 10, "P1", "A", 5, "SALE")]):
-        movements(spark, part).select(*MOVEMENTS.names).coalesce(1).write.mode("append").parquet(path)
-    query = append_log(keyed_ledger(movement_source(spark, path, 1), stock_of(spark, LEVELS)), str(tmp_path / "log"), str(tmp_path / "check"))
-    assert query.awaitTermination(120)
-    out = spark.read.parquet(str(tmp_path / "log"))
-    marked = {r["late"] for r in out.collect()}
-    assert out.count() == 2 and out.agg({"stock_after": "min"}).first()[0] == 1 and marked == {False, True}
-    assert set(KEYS) <= set(out.columns)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order_within_the_watermark_gives_the_batch_result(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(500), f"P{rng.randrange(4)}", "A", rng.randrange(1, 9), rng.choice(["SALE", "SALE", "RESTOCK"])) for i in range(400)]
+    rng.shuffle(rows)
+    levels = {f"P{k}": 10 for k in range(3)}
+    out = streamed(spark, tmp_path, [rows[i::4] for i in range(4)], levels)
+    batch = settle(movements(spark, rows), stock_of(spark, levels))
+    picked = ["event_id", "accepted", "reason", "stock_after"]
+    assert sorted(map(repr, rows_of(out, *picked))) == sorted(map(repr, rows_of(batch, *picked)))
+    assert out.where("late").count() == 0 and any(not r["accepted"] for r in out.collect())
+
+
+def test_fifty_thousand_movements_of_one_key_in_reverse(spark, tmp_path):
+    rows = spark.range(50_000).selectExpr(
+        "id as event_id", "timestamp_seconds(50000 - id) as ts", "'P1' as product_id", "'A' as store_id", "cast(id % 7 + 1 as long) as qty",
+        "if(id % 3 = 0, 'RESTOCK', 'SALE') as tx_type",
+    )
+    path, log = str(tmp_path / "events"), str(tmp_path / "log")
+    rows.select(*MOVEMENTS.names).coalesce(1).write.parquet(path)
+    movements(spark, [(None, 10**7, None, None, None, HEARTBEAT)]).select(*MOVEMENTS.names).coalesce(1).write.mode("append").parquet(path)
+    query = append_log(keyed_ledger(movement_source(spark, path, 1), stock_of(spark, {"P1": 5}), "1 day"), log, str(tmp_path / "check"))
+    assert query.awaitTermination(300) and query.exception() is None
+    out, batch = spark.read.parquet(log), settle(rows, stock_of(spark, {"P1": 5}))
+    picked = ["event_id", "accepted", "stock_after"]
+    assert out.count() == 50_000 and out.where("late").count() == 0
+    assert out.select(*picked).exceptAll(batch.select(*picked)).count() == 0
+
+
+def test_movement_behind_the_watermark_is_applied_and_marked(spark, tmp_path):
+    parts = [[(1, 5000, "P1", "A", 4, "SALE")], [(2, 9000, "P2", "A", 1, "SALE")], [(3, 10, "P1", "A", 5, "SALE"), (4, 9100, "P1", "A", 2, "SALE")]]
+    out = {r["event_id"]: (r["stock_after"], r["late"]) for r in streamed(spark, tmp_path, parts, LEVELS, "1 minute").collect()}
+    assert out == {1: (6, False), 2: (4, False), 3: (1, True), 4: (1, False)}
+
+
+def test_blank_unknown_and_null_movements_are_refused(spark, tmp_path):
+    rows = [
+        (1, 1, "P1", " ", 1, "SALE"), (2, 2, "P1", "A", None, "SALE"), (3, 3, "P1", "A", 1, "GIFT"), (4, 4, "P1", "A", 1, None),
+        (5, 5, None, "A", 1, "SALE"), (6, 6, "P1", None, 1, "SALE"), (None, 7, "P1", "A", 1, "SALE"),
+    ]
+    out = {r["event_id"]: (r["reason"], r["stock_after"]) for r in streamed(spark, tmp_path, [rows], LEVELS).collect()}
+    assert out == {
+        1: ("invalid store id", None), 2: ("invalid quantity", 10), 3: ("unknown type", 10), 4: ("unknown type", 10),
+        5: ("unknown product and store", None), 6: ("invalid store id", None), None: (None, 9),
+    }
 
 
 @pytest.mark.parametrize("merge_every", [1, 20])
