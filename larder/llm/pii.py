@@ -57,7 +57,7 @@ AT_WORDS, DOT_WORDS = "at|arroba|arobase|klammeraffe", "dot|punkt|point|punto"
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_DOTTED = re.compile(r"[0-9][0-9]*(?:\.[0-9]+)*")  # a pattern that begins with one set of characters passes over the rest of a text quickly
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -85,7 +85,17 @@ def _ips(text: str) -> list[Span]:
         part = part.lstrip("0")
         return len(part) <= 3 and int(part or "0") <= 255
 
-    return [m.span() for m in _IP.finditer(text) if all(map(small, m.groups()))]
+    out = []
+    for m in _DOTTED.finditer(text):
+        parts = m.group().split(".")
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            if all(map(small, four)):
+                out.append((at, at + size))
+            at += size + 1
+    return out
 
 
 def luhn(digits: str) -> bool:
@@ -170,16 +180,18 @@ def plain_characters(text: str) -> list[Edit]:
     if text.isascii():
         return []
     table, pattern = _characters()
+    if table.keys().isdisjoint(set(text)):
+        return []
     return [(m.start(), m.end(), table[m.group()]) for m in pattern.finditer(text)]
 
 
-_NEAR = re.compile(r"[0-9][OoIl]|[OoIl][0-9]")
 _MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OoIl]*+(?![A-Za-z0-9]))[0-9OoIl]*[OoIl][0-9OoIl]*")
 
 
 def digit_letters(text: str) -> list[Edit]:
     """O and l between digits of a word that consists of mostly digits."""
-    if not _NEAR.search(text):
+    beside = "".join(text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1] for m in _DOTTED.finditer(text))
+    if not any(c in beside for c in "OoIl"):
         return []
     out = []
     for m in _MIXED.finditer(text):
@@ -189,9 +201,26 @@ def digit_letters(text: str) -> list[Edit]:
     return out
 
 
+_TOKEN = re.compile(r"\w+")
+
+
+@lru_cache(maxsize=2)
+def words_of(text: str) -> frozenset[str]:
+    """Distinct words in lower case; kept for the transducers that look at the same text."""
+    return frozenset(_TOKEN.findall(text.lower()))
+
+
+def _numbers_meet(text: str) -> bool:
+    """Whether a number word stands next to another one, a number, ``plus`` or ``dot``."""
+    words = _TOKEN.findall(text.lower())
+    kinds = [2 if w in _SPELLED else w in _DOT_SET or w.isdigit() for w in words]
+    return any(a and b and a + b > 2 for a, b in zip(kinds, kinds[1:]))
+
+
+_AT_SET, _DOT_SET = frozenset(AT_WORDS.split("|")), frozenset(DOT_WORDS.split("|"))
+_SPELLED = frozenset(DIGIT_WORDS) | {"plus"}
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _WORD = re.compile(rf"(?<!\w)(?:(plus)|({_DIGIT})|(\d+)|({DOT_WORDS}))(?!\w)", re.IGNORECASE)
-_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT}|plus)(?!\w)", re.IGNORECASE)
 _GAP = re.compile(r"[ \t]{0,3}[,-]?[ \t]{0,3}")
 _DOT_GAP = re.compile(r"[ \t]{0,3}[\[({<]?[ \t]{0,3}")
 _AFTER_DOT = re.compile(r"[ \t]{0,3}[\])}>]?[ \t]{0,3}")
@@ -199,7 +228,7 @@ _AFTER_DOT = re.compile(r"[ \t]{0,3}[\])}>]?[ \t]{0,3}")
 
 def spelled_digits(text: str) -> list[Edit]:
     """Digits written as words, where two or more number words, or a number word and ``plus`` or ``dot``, follow each other."""
-    if not _SPELLED.search(text):
+    if _SPELLED.isdisjoint(words_of(text)) or not _numbers_meet(text):
         return []
     out: list[Edit] = []
     run: list[tuple[int, int, str, bool]] = []  # start, end, written as, was a word
@@ -232,16 +261,19 @@ def spelled_digits(text: str) -> list[Edit]:
     return out
 
 
-_BRACKETED = re.compile(rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:({AT_WORDS}|@|ät)|{DOT_WORDS}|\.)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}", re.IGNORECASE)
+_BRACKETED = re.compile(rf"[\[({{<][ \t]{{0,3}}(?:({AT_WORDS}|@|ät)|{DOT_WORDS}|\.)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}", re.IGNORECASE)
 
 
 def bracketed_signs(text: str) -> list[Edit]:
     """``[at]``, ``(dot)`` and the like between letters or digits."""
-    out = []
+    out, done = [], 0
     for m in _BRACKETED.finditer(text):
         start, end = m.span()
-        if start and end < len(text) and text[start - 1].isalnum() and text[end].isalnum():
+        while start > max(done, m.start() - 3) and text[start - 1] in " \t":
+            start -= 1
+        if start > done and end < len(text) and text[start - 1].isalnum() and text[end].isalnum():
             out.append((start, end, "@" if m.group(1) else "."))
+        done = end
     return out
 
 
@@ -256,6 +288,9 @@ def spoken_signs(text: str) -> list[Edit]:
 
     A bare ``at`` before plain dots counts only after a name with a digit, dot or underscore.
     """
+    words = words_of(text)
+    if _AT_SET.isdisjoint(words) and ("@" not in text or _DOT_SET.isdisjoint(words)):
+        return []
     out: list[Edit] = []
     done = 0
     for m in _AT.finditer(text):
