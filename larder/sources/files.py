@@ -41,6 +41,12 @@ def subfolders(spark: SparkSession, path: str, finished: bool = True) -> list[st
     return sorted(done)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, if there is one."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

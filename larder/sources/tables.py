@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from larder.schemas import KEYS
-from larder.sources.files import empty, publish, read_csv, read_dataset, subfolders
+from larder.sources.files import empty, path_exists, publish, read_csv, read_dataset, remove, subfolders, touch
 
 
 def load_table(spark: SparkSession, csv_path: str, schema: T.StructType, table: str = "inventory", managed: bool = False) -> DataFrame:
@@ -38,6 +38,10 @@ def scan_table(spark: SparkSession, table: str = "inventory") -> DataFrame:
     return spark.table(table)
 
 
+class ForeignVersion(RuntimeError):
+    """A version that this writer was about to publish has been published by another one."""
+
+
 class VersionedTable:
     """A table that is rewritten as a whole while it may still be read.
 
@@ -59,13 +63,40 @@ class VersionedTable:
             return empty(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
 
-    def write(self, df: DataFrame, version: int | None = None) -> int:
+    def write(self, df: DataFrame, version: int | None = None, owner: str | None = None) -> int:
+        """Publish ``df`` as the next or the given version.
+
+        With an ``owner`` a write may be run again: a version the same owner has published stays as it is. A version of
+        anyone else is an error.
+        """
         version = self._next() if version is None else version
+        target = f"{self.path}/v={version}"
+        if owner is not None and path_exists(self.spark, target):
+            return self._owned(target, version, owner)
         unpublished = f"{self.path}/_writing-{uuid.uuid4().hex}"
         df.select(*self.schema.names).write.mode("error").parquet(unpublished)
-        publish(self.spark, unpublished, f"{self.path}/v={version}")
+        if owner is not None:
+            touch(self.spark, f"{unpublished}/_owner-{owner}")
+        try:
+            publish(self.spark, unpublished, target)
+        except Exception:
+            if owner is None or not path_exists(self.spark, target):
+                raise
+            remove(self.spark, unpublished)
+            return self._owned(target, version, owner)
         return version
 
+    def _owned(self, target: str, version: int, owner: str) -> int:
+        if not path_exists(self.spark, f"{target}/_owner-{owner}"):
+            raise ForeignVersion(f"version {version} of {self.path} was published by another writer")
+        return version
+
+    def retire(self, below: int) -> None:
+        """Remove the versions below ``below``; no reader may use them any more."""
+        for name in subfolders(self.spark, self.path):
+            if name.startswith("v=") and int(name[2:]) < below:
+                remove(self.spark, f"{self.path}/{name}")
+
     def _next(self) -> int:
         """After every version folder there is, finished or not."""
         names = [n for n in subfolders(self.spark, self.path, finished=False) if n.startswith("v=")]

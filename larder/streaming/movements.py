@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,6 +17,7 @@ from larder.operators.ledger import RESTOCK, SALE, opening_levels, settle, take_
 from larder.operators.matching import add_quantities
 from larder.plans.reorder import reorder_suggestions
 from larder.schemas import KEYS, MOVEMENTS
+from larder.sources.files import remove, subfolders
 from larder.sources.tables import VersionedTable
 
 Trigger = dict[str, object]
@@ -72,6 +74,16 @@ def _changes(stock: VersionedTable, batches: range) -> DataFrame | None:
     return stock.spark.read.parquet(*paths) if paths else None
 
 
+def _retire(stock: VersionedTable, oldest: int, merge_every: int) -> None:
+    """Remove versions below ``oldest``, their newest times and the changes they have taken in."""
+    stock.retire(oldest)
+    for folder, kept in (("newest/v=", oldest), ("changes/batch=", oldest * merge_every)):
+        parent, head = folder.split("/")
+        for name in subfolders(stock.spark, f"{stock.path}/{parent}"):
+            if name.startswith(head) and int(name[len(head) :]) < kept:
+                remove(stock.spark, f"{stock.path}/{parent}/{name}")
+
+
 def settle_batches(
     movements: DataFrame,
     stock: VersionedTable,
@@ -82,6 +94,7 @@ def settle_batches(
     trigger: Trigger = ONCE,
     on_batch: Callable[[int], None] | None = None,
     merge_every: int = MERGE_EVERY,
+    keep: int | None = None,
 ) -> StreamingQuery:
     """Settle every micro-batch against the stock and start the query.
 
@@ -91,8 +104,14 @@ def settle_batches(
     moved keys are written too. A batch that is run again after a failure overwrites its own folders from the
     same state, so each movement counts once. The stock must have been written as version 0. A hot key
     is split the way ``settle`` splits it. A movement older than one of an earlier batch is applied
-    and marked ``late``, as ``keyed_ledger`` does.
+    and marked ``late``; ``keyed_ledger`` holds movements back until their order is certain.
+
+    Merges are published like any version of the table, under the name of the stream's checkpoint: a merge that is run again
+    leaves its version as it is, and a version that someone else has published meanwhile stops the stream
+    with ``ForeignVersion`` and is not touched. ``keep``: so many merged versions stay for readers; older ones go, with
+    the changes that led to them.
     """
+    owner = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -114,12 +133,14 @@ def settle_batches(
         if done % merge_every == 0:
             version = done // merge_every
             merged = add_quantities(stock.read(version - 1), _changes(stock, range(done - merge_every, done)), qty="change")
-            merged.select(*stock.schema.names).write.mode("overwrite").parquet(f"{stock.path}/v={version}")
+            stock.write(merged, version, owner)
             times = [_changes(stock, range(done - merge_every, done)).select(*KEYS, "newest")]
             if version > 1:
                 times.append(spark.read.parquet(f"{stock.path}/newest/v={version - 1}").select(*KEYS, "newest"))
             latest = reduce(DataFrame.unionByName, times).groupBy(*KEYS).agg(F.max("newest").alias("newest"))
             latest.write.mode("overwrite").parquet(f"{stock.path}/newest/v={version}")
+            if keep is not None:
+                _retire(stock, version - max(keep, 1) + 1, merge_every)
         if forecast is not None and suggestions_path:
             after = stock_after(stock, done, merge_every, touched(log))
             touched_reorders(log, after, forecast).write.mode("overwrite").parquet(f"{suggestions_path}/batch={batch_id}")

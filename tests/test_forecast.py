@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.summaries import level_list
 from larder.plans import features, forecast
+from larder.plans.boosting import best_prefix
 from larder.plans.evaluate import evaluate
 from larder.sources.models import load_model, save_model
 
@@ -124,7 +125,7 @@ def test_defaults_grow_many_trees_and_beat_the_trend(demand):
     """Default rate, patience and stop rule; the most rounds cut so that the test ends soon."""
     rows = features.flat_features(demand, LEVELS).withColumn("level", F.substring("product_id", 2, 1).cast("int"))
     held = rows.where("date >= date'2023-04-10'")
-    model = forecast.fit_single(rows.where("date < date'2023-04-10'"), replace(forecast.BOOSTED, rounds=60, rate=0.05, depth=4))
+    model = forecast.fit_single(rows.where("date < date'2023-04-10'"), replace(forecast.BOOSTED, rounds=40, rate=0.08, depth=4))
     booster = model.stages[-1]
     assert booster.getNumTrees > 20
     trend = forecast.fit_trend(demand.where("date < date'2023-04-10'"))
@@ -134,9 +135,9 @@ def test_defaults_grow_many_trees_and_beat_the_trend(demand):
 
 
 def test_stop_rule_keeps_the_best_prefix():
-    assert forecast._stop([5.0, 4.0, 3.0, 3.5, 3.4], 2) == 2
-    assert forecast._stop([5.0, 4.0, 3.0, 3.5, 2.0], 2) is None
-    assert forecast._stop([5.0, 4.99, 4.98, 4.97], 1) is None  # small gains do not end it
+    assert best_prefix([5.0, 4.0, 3.0, 3.5, 3.4], 2) == 2
+    assert best_prefix([5.0, 4.0, 3.0, 3.5, 2.0], 2) is None
+    assert best_prefix([5.0, 4.99, 4.98, 4.97], 1) is None  # small gains do not end it
 
 
 def test_scorer_takes_more_labels_than_bins(spark):
@@ -162,3 +163,21 @@ def test_cover_and_boosted_dependence(spark, demand):
     assert max(abs(r["attribution"]) for r in shown) > 0
     unused = next(f for f in names if gain[f] == 0)
     assert all(abs(r["attribution"]) < 1e-9 for r in forecast.boosted_dependence(model, flat, unused).collect())
+
+
+def test_row_attributions_add_up_to_the_prediction(demand):
+    flat = features.flat_features(demand, LEVELS).persist()
+    model = forecast.fit_single(flat, QUICK)
+    rows = forecast.row_attributions(model, model.transform(flat)).collect()
+    assert all(sum(r["attributions"]) == pytest.approx(r["prediction"] - r["expected"]) for r in rows)
+    mean = {r["feature"]: r["importance"] for r in forecast.mean_attribution(model, flat).collect()}
+    names = forecast.feature_names(flat)
+    assert set(mean) == set(names)
+    for i, n in enumerate(names):
+        assert mean[n] == pytest.approx(sum(abs(r["attributions"][i]) for r in rows) / len(rows))
+
+
+def test_second_booster_has_at_most_31_leaves(table):
+    model = forecast.fit_ensemble(table, QUICK, replace(forecast.LEAFWISE, rounds=2, rate=0.3))
+    trees = forecast._boosters(model)[1].trees
+    assert trees and all(t.leaves <= 31 for t in trees) and max(t.leaves for t in trees) > 4  # 270 rows, 20 in each leaf

@@ -1,4 +1,5 @@
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -100,9 +101,11 @@ def test_fifty_thousand_movements_of_one_key_in_reverse(spark, tmp_path):
 
 
 def test_movement_behind_the_watermark_is_applied_and_marked(spark, tmp_path):
-    parts = [[(1, 5000, "P1", "A", 4, "SALE")], [(2, 9000, "P2", "A", 1, "SALE")], [(3, 10, "P1", "A", 5, "SALE"), (4, 9100, "P1", "A", 2, "SALE")]]
+    # the second part moves the watermark past the first movement, the third lets it out, the fourth comes too late
+    parts = [[(1, 5000, "P1", "A", 4, "SALE")], [(2, 9000, "P2", "A", 1, "SALE")], [(5, 9050, "P2", "A", 1, "SALE")]]
+    parts.append([(3, 10, "P1", "A", 5, "SALE"), (4, 9100, "P1", "A", 2, "SALE")])
     out = {r["event_id"]: (r["stock_after"], r["late"]) for r in streamed(spark, tmp_path, parts, LEVELS, "1 minute").collect()}
-    assert out == {1: (6, False), 2: (4, False), 3: (1, True), 4: (1, False)}
+    assert out == {1: (6, False), 2: (4, False), 5: (3, False), 3: (1, True), 4: (1, False)}
 
 
 def test_blank_unknown_and_null_movements_are_refused(spark, tmp_path):
@@ -129,8 +132,70 @@ def test_batches_mark_late_movements_too(spark, tmp_path, merge_every):
     assert sorted(rows_of(spark.read.parquet(str(tmp_path / "log")), "event_id", "late")) == [(1, False), (2, True), (3, False)]
 
 
-def test_refresh_runs_every_five_minutes():
+def batches_of(spark, tmp_path, parts, **options):
+    path = str(tmp_path / "events")
+    for part in parts:
+        movements(spark, part).select(*MOVEMENTS.names).coalesce(1).write.mode("append").parquet(path)
+    table = VersionedTable(spark, str(tmp_path / "stock"), stock_of(spark, LEVELS).schema)
+    if table.version() is None:
+        table.write(stock_of(spark, LEVELS), version=0)
+    return table, settle_batches(movement_source(spark, path, 1), table, str(tmp_path / "log"), str(tmp_path / "check"), **options)
+
+
+def test_foreign_version_between_two_merges_stops_the_stream_and_stays(spark, tmp_path):
+    seen = []
+
+    def meddle(batch):
+        seen.append(batch)
+        if batch == 0:
+            table.update(lambda df: df.withColumn("stock_levels", df.stock_levels + 1000))
+
+    parts = [[(i, i, "P1", "A", 1, "SALE")] for i in range(4)]
+    table = VersionedTable(spark, str(tmp_path / "stock"), stock_of(spark, LEVELS).schema)
+    _, query = batches_of(spark, tmp_path, parts, on_batch=meddle, merge_every=2)
+    with pytest.raises(Exception, match="another writer"):
+        query.awaitTermination(120)
+    assert seen == [0] and dict(rows_of(table.read(), "product_id", "stock_levels")) == {"P1": 1010, "P2": 1005}
+
+
+def test_merge_that_is_run_again_counts_once(spark, tmp_path):
+    def breaks(batch):
+        if batch == 1 and not again:
+            again.append(batch)
+            raise ValueError("after the merge")
+
+    again = []
+    parts = [[(i, i, "P1", "A", 1, "SALE")] for i in range(4)]
+    _, query = batches_of(spark, tmp_path, parts, on_batch=breaks, merge_every=2)
+    with pytest.raises(Exception, match="after the merge"):
+        query.awaitTermination(120)
+    table, query = batches_of(spark, tmp_path, [], on_batch=breaks, merge_every=2)
+    assert query.awaitTermination(120) and query.exception() is None
+    assert dict(rows_of(table.read(2), "product_id", "stock_levels")) == {"P1": 6, "P2": 5}
+
+
+def test_old_versions_and_changes_are_removed(spark, tmp_path):
+    table, query = batches_of(spark, tmp_path, [[(i, i, "P1", "A", 1, "SALE")] for i in range(7)], merge_every=2, keep=2)
+    assert query.awaitTermination(120) and query.exception() is None
+    names = lambda p: sorted(x.name for x in (tmp_path / "stock" / p).iterdir())
+    assert [n for n in names("") if n.startswith("v=")] == ["v=2", "v=3"]
+    assert names("newest") == ["v=2", "v=3"] and names("changes") == ["batch=4", "batch=5", "batch=6"]
+    assert dict(rows_of(stock_after(table, 7, 2), "product_id", "stock_levels")) == {"P1": 3, "P2": 5}
+
+
+def test_refresh_interval_fires_again_and_again(spark, tmp_path):
     assert REFRESH == {"processingTime": "5 minutes"}
+    parts = [[(i, i, "P1", "A", 1, "SALE")] for i in range(3)]
+    seen = []
+    _, query = batches_of(spark, tmp_path, parts, trigger=dict.fromkeys(REFRESH, "1 second"), on_batch=seen.append)
+    try:
+        for _ in range(300):
+            if len(seen) == 3:
+                break
+            time.sleep(0.2)
+        assert seen == [0, 1, 2] and query.isActive
+    finally:
+        query.stop()
 
 
 def test_staged_folders_of_an_application_are_removed(spark):
