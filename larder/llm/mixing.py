@@ -9,9 +9,12 @@ their source in place, by a broadcast, unless there are very many sources.
 
 Without weights, sources are tempered: weight ~ rows ** ``temper``. Sources without a given weight get none.
 
-Rows: a null source is a source of its own; null ids are drawn as an empty id; rows equal in id and
-text draw the same number; an empty table or no positive weight gives an empty result; other columns
-are carried, and columns named as the two added ones are replaced.
+A row is known by its id, its text and, among rows equal in both, a number. So rows without an id, texts that share one
+and repeated rows draw for themselves, and their copies are spread like all others.
+
+Rows: a null source is a source of its own; null ids and texts count as empty; texts of any length are hashed whole;
+an empty table or no positive weight gives an empty result; other columns are carried, and columns named as the
+two added ones are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.shared import column, stage
+from larder.llm.shared import column, numbered, stage
 
 CHUNK_MEAN = 32.0
 TERMS = 128  # terms of a chunk's distribution; the rest has a mass under 1e-30
@@ -70,28 +73,33 @@ def mix(
     temper: float = 0.5,
     seed: int = 17,
     id_col: str = "doc_id",
+    text_col: str = "text",
     source_col: str = "source",
     copy_name: str = "copy",
     order_name: str = "shuffle_key",
 ) -> DataFrame:
     """``docs`` repeated at their source's rate, with copy number and shuffle key, in shuffled order.
 
-    ``total``: rows wanted in expectation (as many as there are, by default).
+    ``total``: rows wanted in expectation (as many as there are, by default). A table without ``text_col`` is told apart by ids and numbers.
     """
     own = [c for c in docs.columns if c not in (copy_name, order_name)]
     rates = stage(repetition_rates(docs, weights, total, temper, source_col), "mixing-rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    rows = docs.select(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(own)]).alias("row"), column(source_col).alias("_source"), column(id_col).alias("_id"))
-    rated = rows.join(rates, F.col("_source").eqNullSafe(F.col("source")))
+    known = [F.coalesce(column(c).cast("string"), F.lit("")) for c in (id_col, text_col) if c in docs.columns]
+    rows = docs.select(
+        F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(own)]).alias("row"), column(source_col).alias("_source"), F.md5(F.concat_ws(":", *known)).alias("_id")
+    )
+    rated = numbered(rows, "_id", "_number", "mixing-equal").join(rates, F.col("_source").eqNullSafe(F.col("source")))
 
     def draw(part: Column) -> Column:
-        u = uniform(F.lit(seed), F.col("_id"), part)
+        u = uniform(F.lit(seed), F.col("_id"), F.col("_number"), part)
         return F.aggregate(F.array(u), F.lit(0), lambda _, x: F.size(F.filter("steps", lambda s: s <= x)))
 
     count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + draw(part))
-    copies = rated.select("row", "_id", count.alias("n")).filter("n > 0").select("row", "_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    keyed = copies.select("row", "copy", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("copy"))).alias("key"))
+    drawn = rated.select("row", "_id", "_number", count.alias("n")).filter("n > 0")
+    copies = drawn.select("row", "_id", "_number", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    keyed = copies.select("row", "copy", F.md5(F.concat_ws(":", F.lit(f"order {seed}"), "_id", "_number", "copy")).alias("key"))
     return keyed.repartitionByRange("key").sortWithinPartitions("key").select(
         *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(own)], F.col("copy").cast("long").alias(copy_name), F.col("key").alias(order_name)
     )

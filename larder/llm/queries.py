@@ -192,15 +192,20 @@ steps(source, parts, mean, k, p, c) AS (
   SELECT source, parts, mean, 0, exp(-mean), exp(-mean) FROM parted
   UNION ALL SELECT source, parts, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM steps WHERE k < 128
 ),
+known AS (
+  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS id,
+    row_number() OVER (PARTITION BY coalesce(doc_id::VARCHAR, ''), coalesce(text, '')) - 1 AS number
+  FROM documents
+),
 drawn AS (
-  SELECT d.*, x.parts, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || part), 1, 13))::BIGINT / 4503599627370496.0 AS u
-  FROM documents d JOIN parted x ON d.source IS NOT DISTINCT FROM x.source, unnest(range(1, x.parts + 1)) AS p(part)
+  SELECT d.*, x.parts, ('0x' || substr(md5('17:' || id || ':' || number || ':' || part), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM known d JOIN parted x ON d.source IS NOT DISTINCT FROM x.source, unnest(range(1, x.parts + 1)) AS p(part)
 ),
 times AS (
-  SELECT doc_id, text, lang, d.source, n_chars, count(s.k) AS n
+  SELECT doc_id, text, lang, d.source, n_chars, id, number, count(s.k) AS n
   FROM drawn d LEFT JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.c <= d.u GROUP BY ALL
 )
-SELECT doc_id, text, lang, source, n_chars, copy, md5('order 17:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, copy, md5('order 17:' || id || ':' || number || ':' || copy) AS shuffle_key
 FROM times, unnest(range(1, n + 1)) AS c(copy)
 """
 
@@ -243,12 +248,15 @@ WITH RECURSIVE step(b, k, c) AS (
   UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8
 ), crc AS (SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+known AS (
+  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || text) AS digest, row_number() OVER (PARTITION BY coalesce(doc_id::VARCHAR, ''), text) - 1 AS number FROM d
+),
 keyed AS (
-  SELECT doc_id, strlen(text) + 16 AS size, substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text), 1, 15) AS k,
+  SELECT doc_id, strlen(text) + 16 AS size, substr(CASE WHEN number = 0 THEN digest ELSE md5(digest || ':' || number) END, 1, 15) AS k,
     xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
         string_split(regexp_replace(hex(encode(text)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda h : ('0x' || h)::BIGINT)),
       lambda c, x : xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
-  FROM d, crc
+  FROM known, crc
 ), placed AS (
   SELECT *, ((sum(size) OVER (ORDER BY k RANGE UNBOUNDED PRECEDING) - sum(size) OVER (PARTITION BY k)) * 40 // sum(size) OVER ())::INT AS shard
   FROM keyed

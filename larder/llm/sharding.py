@@ -1,7 +1,7 @@
 """Sharding by histogram sort: probe byte counts until every splitter is found, then exchange once.
 
-Rows are ordered by a 60-bit hash of id and text, so a source, a group of copies or a run of ids
-spreads over all shards. Shard s begins at the smallest key below which s / shards of all bytes lie.
+Rows are ordered by a 60-bit hash of id, text and a number that tells rows equal in both apart, so a source, a group of copies,
+a row that stands a thousand times or a run of ids spreads over all shards. Shard s begins at the smallest key below which s / shards of all bytes lie.
 
 Each round counts the exact bytes and rows below a few thousand candidate keys across all
 partitions (a grouped sum with map-side combine over a narrow table of keys and sizes), keeps the
@@ -10,8 +10,9 @@ settled when its interval holds at most ``tolerance`` bytes or one key. A round
 2**STEP counts per splitter to the driver. With the splitters known, rows move once, into pieces
 of a shard; a row's slot is its rank in its piece plus the rows counted in the pieces before.
 
-Rows: null text counts as empty, null id as an empty id; rows equal in id and text share a key and
-therefore a shard, in any order; an empty table gives an empty result; other columns are carried.
+Rows: null text counts as empty, null id as an empty id; rows equal in id and text are numbered and take the places
+of their numbers, in any order; texts of any length are measured whole; an empty table gives an empty result; other
+columns are carried, and columns named as the two added ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.shared import column, stage
+from larder.llm.shared import column, numbered, stage
 
 KEY_BITS, STEP = 60, 12
 PIECE_BYTES = 64 << 20
@@ -30,9 +31,26 @@ LAW = "bytes"
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """60-bit key; the separator keeps id and text apart."""
-    parts = [F.coalesce(column(id_col).cast("string"), F.lit("")), F.coalesce(column(text_col).cast("string"), F.lit(""))]
-    return F.conv(F.substring(F.md5(F.concat(parts[0], F.lit(":"), parts[1])), 1, KEY_BITS // 4), 16, 10).cast("long")
+    """60-bit key of id and text; the separator keeps them apart."""
+    return _key(_identity(id_col, text_col))
+
+
+def _identity(id_col: str, text_col: str) -> Column:
+    parts = [F.coalesce(column(c).cast("string"), F.lit("")) for c in (id_col, text_col)]
+    return F.md5(F.concat(parts[0], F.lit(":"), parts[1]))
+
+
+def _key(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def _keyed(docs: DataFrame, own: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(row, key, size): the first row of an id and text has their key, each further one a key of its own."""
+    carried = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(own)]) if own else F.struct(F.lit(0).alias("c"))
+    rows = docs.select(carried.alias("row"), _identity(id_col, text_col).alias("digest"), row_size(text_col).alias("size"))
+    numbered_rows = numbered(rows, "digest", "number", "sharding-equal")
+    further = F.md5(F.concat(F.col("digest"), F.lit(":"), F.col("number").cast("string")))
+    return numbered_rows.select("row", _key(F.when(F.col("number") == 0, F.col("digest")).otherwise(further)).alias("key"), "size")
 
 
 def row_size(text_col: str) -> Column:
@@ -99,7 +117,8 @@ def shard_by_bytes(
     ``shard_name`` and ``slot_name`` replace columns of these names.
     """
     own = [c for c in docs.columns if c not in (shard_name, slot_name)]
-    keyed = stage(docs.select(row_key(id_col, text_col).alias("key"), row_size(text_col).alias("size")), "sharding-keys")
+    rows = _keyed(docs, own, id_col, text_col)
+    keyed = stage(rows.select("key", "size"), "sharding-keys")
     splitters, total = find_splitters(keyed, shards, tolerance)
     piece_bits = min(KEY_BITS, max(STEP, min(20, (total // PIECE_BYTES).bit_length())))
 
@@ -112,9 +131,7 @@ def shard_by_bytes(
     # one row per piece: 2**20 + shards at most
     offsets = pieces.select("shard", "piece", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
 
-    key = row_key(id_col, text_col)
-    carried = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(own)]) if own else F.struct(F.lit(0).alias("c"))
-    moved = docs.select(carried.alias("row"), key.alias("key")).select("row", "key", *placed(F.col("key")))
+    moved = rows.select("row", "key", *placed(F.col("key")))
     rank = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("key"))
     ranked = moved.withColumn("rank", rank).join(offsets, ["shard", "piece"])
     return ranked.select(

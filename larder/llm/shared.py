@@ -7,12 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.session import shared_dir, stage
 
-__all__ = ["KeyBitmap", "bytes_of", "column", "key_bitmap", "shared_dir", "slot_of", "stage", "table", "union_all"]
+__all__ = ["KeyBitmap", "bytes_of", "column", "key_bitmap", "numbered", "shared_dir", "slot_of", "stage", "table", "union_all"]
 
 WORD_SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -31,6 +31,31 @@ def bytes_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [v if v is not None else b"" for v in batch.column(name).to_pylist()]
 
 
+EQUAL_ROWS = 100_000  # rows of one key that are numbered in one task
+BROADCAST_KEYS = 1_000_000  # of 16 bytes
+
+
+def numbered(rows: DataFrame, key: str, name: str, label: str) -> DataFrame:
+    """``rows`` with ``name``: 0 for a row whose ``key`` is its own, and 0, 1, 2 ... among rows of one key.
+
+    Keys that occur once are only counted, their rows stay where they are. Rows of the others are numbered by a
+    window over key and part: a key of more than ``EQUAL_ROWS`` rows is dealt over several parts, whose numbers
+    interleave. The numbered rows are staged, so that every reader sees the same numbers.
+    """
+    counted = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_times")).filter("_times > 1")
+    again = stage(counted, f"{label}-keys")
+    n = again.count()
+    if not n:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(again) if n <= BROADCAST_KEYS else again, F.col(key) == F.col("_key"), "left")
+    parts = F.ceil(F.col("_times") / EQUAL_ROWS)
+    dealt = marked.filter("_times is not null").withColumn("_parts", parts).withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")))
+    rank = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_part")) - 1
+    same = dealt.select(*rows.columns, (rank * F.col("_parts") + F.col("_part")).cast("long").alias(name))
+    alone = marked.filter("_times is null").select(*rows.columns, F.lit(0).cast("long").alias(name))
+    return alone.unionByName(stage(same, label))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

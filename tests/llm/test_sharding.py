@@ -67,10 +67,31 @@ def test_tolerance_ends_early_and_keeps_to_it(make_docs):
 def test_nulls_repeated_rows_and_other_columns(spark):
     rows = [(1, "a", 5, None, 9)] * 3 + [(None, None, 6, "k", 1), (None, "b", 7, "k", 2), (2, "", 8, "k", 3), (3, "é" * 100_000, 9, "k", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int, key string, `piece.x` int")
-    out = check(docs, 3)
-    assert len(out) == len(rows) and len({r["shard"] for r in out if r["doc_id"] == 1}) == 1
+    out = sharding.shard_by_bytes(docs, 3).collect()
+    assert sorted(map(repr, (r["doc_id"] for r in out))) == sorted(repr(r[0]) for r in rows)
     assert sharding.shard_by_bytes(docs, 3).columns == ["doc_id", "text", "key", "piece.x", "shard", "slot"]
 
 
+def test_equal_rows_spread_over_the_shards(make_docs, monkeypatch):
+    monkeypatch.setattr("larder.llm.shared.EQUAL_ROWS", 500)
+    docs = make_docs([(5, "the same row")] * 2000 + [(100 + i, "another row.") for i in range(2000)] + [(None, "no id")] * 500)
+    out = sharding.shard_by_bytes(docs, 8).collect()
+    assert len(out) == 4500
+    sizes, same, slots = {}, {}, {}
+    for r in out:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + len(r["text"]) + 16
+        same[r["shard"]] = same.get(r["shard"], 0) + (r["doc_id"] == 5)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean = sum(sizes.values()) / 8
+    assert len(sizes) == 8 and all(abs(s - mean) <= 28 for s in sizes.values()) and min(same.values()) > 150
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_long_texts_and_ties(make_docs):
+    docs = make_docs([(i, "x" * 500_000) for i in range(6)] + [(10 + i, "y") for i in range(60)])
+    out = check(docs, 6)
+    assert len(out) == 66
+
+
 def test_empty_table(make_docs):
     assert sharding.shard_by_bytes(make_docs([]), 4).count() == 0
