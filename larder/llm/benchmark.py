@@ -11,7 +11,9 @@ The pass is map-only over the documents. Items are broadcast in blocks of at mos
 text, one scan per block.
 
 Rows: null or empty texts match nothing; items of fewer than ``seed`` words have no seed and match
-nothing; repeated documents and items each give their own rows; null ids are carried as null.
+nothing; repeated documents and items each give their own rows; null ids are carried as null; texts of any length
+are searched whole; of equal scores in a document the first place counts; an empty table of documents or items
+gives no leaks; ``find_leaks`` ignores other columns, ``decontaminate`` carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.shared import batches, column, union_all
+from larder.llm.shared import batches, column, filtered_in_arrow, union_all
 from larder.llm.wordhash import byte_values, grams, word_hashes
 
 ITEM_BYTES = 8 << 20
@@ -91,21 +93,6 @@ class Items:
         same = self.seeds[which] == hashes[at]
         return at[same], which[same]
 
-    def rare(self, counts: np.ndarray) -> Items:
-        """The block with each item's rare seeds only. Searches use all seeds: edited copies may hold none of the rare ones."""
-        of_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for s, places in enumerate(self.places):
-            for i in {i for i, _ in places}:
-                of_item[i].append((int(counts[s]), s))
-        keep: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, seen in of_item.items():
-            seen.sort()
-            most = max(4 * seen[0][0] + 16, seen[(len(seen) - 1) // 2][0])
-            for n, s in seen:
-                if n <= most:
-                    keep[int(self.seeds[s])] += [p for p in self.places[s] if p[0] == i]
-        return self._from(self.ids, self.words, keep)
-
 
 def blocks(bench: DataFrame, scoring: Scoring, id_col: str, text_col: str, limit: int) -> Iterator[Items]:
     """Test items in blocks of about ``limit`` bytes, so that each can be broadcast."""
@@ -148,7 +135,7 @@ def decontaminate(
 ) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no copy of a test item. Map-only: rows stay where they are."""
     for shared in _shared_blocks(bench, scoring, item_id_col, item_text_col, item_bytes):
-        docs = docs.mapInArrow(partial(_clean, shared=shared, scoring=scoring, text_col=text_col), docs.schema)
+        docs = filtered_in_arrow(docs, partial(_clean, shared=shared, scoring=scoring), text_col)
     return docs
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.shared import bytes_of, column, stage
+from larder.llm.shared import bytes_of, column, filtered_in_arrow, stage
 from larder.llm.wordhash import byte_values, word_hashes
 
 DIMS, REACH = 32, 2
@@ -275,7 +275,7 @@ def _scored(source: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 def keep_good(docs: DataFrame, model: Classifier, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Rows of ``docs``, all columns, with a score of at least ``least``. Map-only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(partial(_good, shared=shared, text_col=text_col, least=least), docs.schema)
+    return filtered_in_arrow(docs, partial(_good, shared=shared, least=least), text_col)
 
 
 def _good(source: Iterator[pa.RecordBatch], shared, text_col: str, least: float) -> Iterator[pa.RecordBatch]:

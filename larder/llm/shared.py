@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.session import shared_dir, stage
 
-__all__ = ["KeyBitmap", "bytes_of", "column", "key_bitmap", "numbered", "shared_dir", "slot_of", "stage", "table", "union_all"]
+__all__ = ["KeyBitmap", "bytes_of", "column", "filtered_in_arrow", "key_bitmap", "numbered", "shared_dir", "slot_of", "stage", "table", "union_all"]
 
 WORD_SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -26,6 +26,13 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def filtered_in_arrow(docs: DataFrame, keep, text_col: str) -> DataFrame:
+    """``docs`` through a batch filter ``keep(batches, text_col)``; columns may have any names, dots included."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = plain.mapInArrow(partial(keep, text_col=f"c{docs.columns.index(text_col)}"), plain.schema)
+    return kept.toDF(*docs.columns)
+
+
 def bytes_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """Values of a binary column; null reads as empty."""
     return [v if v is not None else b"" for v in batch.column(name).to_pylist()]

@@ -75,12 +75,33 @@ def test_long_text_and_clashing_columns(spark, prose):
     assert benchmark.decontaminate(docs, bench(spark, [(9, item)])).columns == docs.columns
 
 
-def test_every_item_keeps_half_of_its_seeds():
-    items = benchmark.Items.of([(1, "a b c d e f g h"), (2, "a b c x y z")], 3)
-    counts = np.array([10_000 if p[0][0] == 0 else 1 for p in items.places])
-    rare = items.rare(counts)
-    assert {i for places in rare.places for i, _ in places} == {0, 1}
-    assert sum(any(i == 0 for i, _ in p) for p in rare.places) >= 3
+def test_words_pushed_into_a_copy_do_not_hide_it(prose):
+    words = [f"i{k}" for k in range(100)]
+    text = prose(80, 1).split() + [w for k, word in enumerate(words) for w in ([word, f"new{k}"] if k < 97 else [word])] + prose(80, 2).split()
+    found = list(benchmark.matches_in(benchmark.plain_words(" ".join(text)), benchmark.Items.of([(1, " ".join(words))], 3), benchmark.DEFAULT))
+    assert [f[1] for f in found] == [smith_waterman(text, words) / 200] and found[0][1] > 0.5
+
+
+def test_random_edits_score_as_in_the_full_table(prose):
+    """Whatever has a common trigram and scores enough in the full table is found, with that score."""
+    rng, items = random.Random(8), [prose(30, 900 + i, 400).split() for i in range(4)]
+    block = benchmark.Items.of([(i, " ".join(w)) for i, w in enumerate(items)], 3)
+    hits = misses = 0
+    for n in range(120):
+        copy = list(items[n % 4])
+        for _ in range(rng.randrange(22)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randrange(2)] = [f"e{rng.randrange(99)}"] * rng.randrange(2)
+            copy = copy or ["e"]
+        text = prose(rng.randrange(40), n, 400).split() + copy + prose(rng.randrange(40), n + 500, 400).split()
+        found = {f[0]: f[1] for f in benchmark.matches_in(benchmark.plain_words(" ".join(text)), block, benchmark.DEFAULT)}
+        for i, words in enumerate(items):
+            full = smith_waterman(text, words) / 60
+            seeded = {tuple(text[k : k + 3]) for k in range(len(text) - 2)} & {tuple(words[k : k + 3]) for k in range(28)}
+            assert found.get(i) == (full if full >= 0.5 and seeded else None)
+            hits += full >= 0.5 and i in found
+            misses += full >= 0.5 and i not in found
+    assert hits > 40 and hits / (hits + misses) >= 0.97
 
 
 @pytest.mark.parametrize("n", [15, 17, 1000])
