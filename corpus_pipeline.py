@@ -5,13 +5,16 @@ shard and slot. Stages work on all rows they get:
 
 * ``quality``: documents scored under 0.5 go; learned as in op8.
 * ``near_duplicates``: of each group of texts linked by 5-word shingles at 0.8 or more, the smallest
-  doc_id stays (one row of it); rows without doc_id stay. A doc_id that stands for several texts is
-  a document for each of them, so it ties no groups together (ids and texts are told apart by a
-  64-bit hash of both).
+  doc_id stays (one row of it). A doc_id that stands for several texts is a document for each of them, so it
+  ties no groups together; a row without doc_id is a document of its text and stays only in groups of such rows
+  (ids and texts are told apart by a 64-bit hash of both). Null and empty texts are linked with nothing.
 * ``decontaminate``: documents that hold a copy of a benchmark item go.
 * ``mix``: documents are repeated by a Poisson draw at the rate of their source. A repeated row
   has the same doc_id as the first.
-* ``shard``: 40 shards of nearly equal bytes.
+* ``shard``: 40 shards of nearly equal bytes; repeated rows are numbered and spread like others.
+
+Stages carry other columns, whatever their names (the last replaces ``shard`` and ``slot``), read texts of any length whole,
+and give an empty result on an empty table.
 """
 
 from __future__ import annotations
@@ -21,24 +24,25 @@ from pyspark.sql import functions as F
 
 from larder.llm import benchmark, jaccard, mixing, quality, sharding
 from larder.llm.queries import SHARDS, fold_of
-from larder.llm.shared import stage, table
+from larder.llm.shared import column, stage, table
 
 ORACLE_SQL = None  # learned scores have no SQL; tests compare the stages with brute force
 
-KEY = "id_and_text"
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), learnable=fold_of() != 1)
     return quality.keep_good(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.filter("doc_id is not null").withColumn(KEY, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    found = jaccard.jaccard_components(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id").distinct()
-    pairs = keyed.select("doc_id", KEY).distinct().join(found, KEY)
-    kept = pairs.groupBy("component_id").agg(F.min(F.struct("doc_id", KEY)).alias("least")).select(f"least.{KEY}")
-    return keyed.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY).unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    key = "id_and_text"
+    while key.lower() in (c.lower() for c in docs.columns):
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = jaccard.jaccard_components(keyed.select(key, "text"), id_col=key).select(F.col("doc_id").alias(key), "component_id").distinct()
+    pairs = keyed.select("doc_id", key).distinct().join(found, key)
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", key)
+    kept = pairs.groupBy("component_id").agg(F.min(order).alias("least")).select(f"least.{key}")
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*[column(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs, copy_name="_copy", order_name="_order").select(*[column(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
