@@ -51,10 +51,36 @@ def test_rows_without_id_and_repeated_rows(spark, make_docs, prose):
     text = prose(60, 1)
     docs = make_docs([(1, text), (1, text), (2, text), (None, text), (3, prose(60, 2)), (4, None)])
     out = corpus_pipeline.keep_one_of_each(spark, docs, FOLDER).collect()
-    assert sorted(r["doc_id"] or 0 for r in out) == [0, 1, 3, 4] and out[0].asDict().keys() == set(docs.columns)
+    assert sorted(r["doc_id"] for r in out) == [1, 3, 4] and out[0].asDict().keys() == set(docs.columns)
+    alone = prose(70, 9)
+    docs = make_docs([(None, alone), (None, alone), (None, alone + " more"), (None, prose(70, 10)), (5, prose(70, 11))])
+    out = corpus_pipeline.keep_one_of_each(spark, docs, FOLDER).collect()
+    assert len(out) == 3 and sum(r["text"].startswith(alone) for r in out) == 1
+
+
+def test_every_stage_on_empty_long_and_clashing_tables(spark, make_docs, prose):
     empty = make_docs([])
-    for name, apply in corpus_pipeline.STAGES[1:]:
+    for name, apply in corpus_pipeline.STAGES:
         assert apply(spark, empty, FOLDER).count() == 0, name
+    rows = [(i, prose(80, i), "en", "s", 5, "k", 3, "c", "o", i, "d") for i in range(12)] + [(20, prose(30_000, 5), "en", "s", 5, "k", 3, "c", "o", 1, "d")]
+    names = "id_and_text string, slot int, _key string, component_id string, number int, `row.x` string"
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    for name, apply in corpus_pipeline.STAGES[1:]:
+        out = apply(spark, docs, FOLDER)
+        own = [c for c in docs.columns if c != "slot" or name != "shard"]
+        assert out.columns == own + (["shard", "slot"] if name == "shard" else []), name
+        assert out.where("doc_id = 20").count() > 0 or name == "mix", name
+        if name != "mix":
+            assert out.count() == 13, name
+
+
+def test_copies_made_by_the_mix_are_spread(spark, make_docs):
+    docs = make_docs([(i, f"text {i}") for i in range(5)] * 40)
+    out = corpus_pipeline.shard(spark, docs, FOLDER).collect()
+    of = {}
+    for r in out:
+        of.setdefault(r["doc_id"], set()).add(r["shard"])
+    assert all(len(s) > 15 for s in of.values())
 
 
 def test_groups_that_share_an_id_each_keep_a_text(spark, make_docs, prose):
