@@ -107,47 +107,55 @@ def opening_levels(stock: DataFrame, name: str) -> DataFrame:
     return stock.groupBy(*KEYS).agg(level.cast("long").alias(name))
 
 
-def _judged(movements: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(movements of known keys with their opening level, refused movements with the reason)."""
-    levels = opening_levels(stock, "_opening")
+def _judged(movements: DataFrame, stock: DataFrame) -> DataFrame:
+    """Movements with the opening level of their key, the signed quantity, and the reason why they cannot count, if any.
+
+    A movement that cannot count moves its key by nothing.
+    """
+    levels = opening_levels(stock, "_first")
     movements, levels = align_keys(movements, levels)
-    joined = movements.join(levels, KEYS, "left").withColumn(
-        "reason",
+    reason = (
         F.when(F.coalesce(F.trim(F.col("store_id").cast("string")), F.lit("")) == "", "invalid store id")
         .when(F.col("qty").isNull(), "invalid quantity")
         .when(~F.coalesce(F.col("tx_type").isin(SALE, RESTOCK), F.lit(False)), "unknown type")
-        .when(F.col("_opening").isNull(), "unknown product and store"),
-    )
-    refused = joined.where("reason is not null").select(
-        "event_id", "ts", *KEYS, "qty", "tx_type", F.lit(False).alias("accepted"), "reason", F.col("_opening").alias("stock_after")
+        .when(F.col("_first").isNull(), "unknown product and store")
     )
     signed = F.when(F.col("tx_type") == SALE, -F.col("qty")).otherwise(F.col("qty")).cast("long")
-    known = joined.where("reason is null").select(
-        "event_id", "ts", *KEYS, "qty", "tx_type", "_opening",
-        F.concat_ws("\u0001", *KEYS).alias("_group"), signed.alias("_delta"),
-    )
-    return known, refused
+    joined = movements.join(levels, KEYS, "left").select("event_id", "ts", *KEYS, "qty", "tx_type", "_first", reason.alias("_reason"))
+    return joined.select(
+        "*",
+        F.coalesce("_first", F.lit(0)).cast("long").alias("_opening"),
+        F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in KEYS]).alias("_group"),
+        F.when(F.col("_reason").isNull(), signed).otherwise(0).cast("long").alias("_delta"),
+    )
 
 
 def settle(movements: DataFrame, stock: DataFrame, ranges: int | None = None) -> DataFrame:
     """Log of every movement with ``accepted``, ``reason`` and the level after it.
 
     Movements of a key are taken in the order of (ts, event_id). A sale larger than
-    the level is refused; so are unknown keys, blank stores and unknown types. ``ranges`` sets
-    the number of ranges; by default the shuffle width and AQE do.
+    the level is refused; so are unknown keys, blank stores and unknown types, which show the opening level of their key. ``ranges`` sets
+    the number of ranges; by default the shuffle width and AQE do. Movements meet the stock once: the joined rows
+    are staged before the range exchange samples them.
     """
-    known, refused = _judged(movements, stock)
+    judged = stage(_judged(movements, stock), "ledger-judged")
     order = [*KEYS, "ts", "event_id"]
     ranged = (
-        (known.repartitionByRange(ranges, *order) if ranges else known.repartitionByRange(*order))
+        (judged.repartitionByRange(ranges, *order) if ranges else judged.repartitionByRange(*order))
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_slot", _LOCAL_BITS).cast("int"))
     )
     walked = stage(_walked(ranged, {}), "ledger")
     settled = _chained(walked)
-    reason = F.when(~F.col("accepted"), "not enough stock")
-    return settled.withColumn("reason", reason).select(*LOG_COLUMNS).unionByName(refused.select(*LOG_COLUMNS))
+    counts = F.col("_reason").isNull()
+    return settled.withColumns(
+        {
+            "reason": F.coalesce("_reason", F.when(~F.col("accepted"), "not enough stock")),
+            "accepted": counts & F.col("accepted"),
+            "stock_after": F.when(counts, F.col("stock_after")).otherwise(F.col("_first")),
+        }
+    ).select(*LOG_COLUMNS)
 
 
 def _chained(walked: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.session import stage
@@ -41,16 +41,34 @@ def with_positions(df: DataFrame, order_by: list[str], position: str = "position
     )
 
 
-def _sized(positioned: DataFrame) -> DataFrame:
-    total = positioned.agg(F.count(F.lit(1)).alias("n"))
-    return positioned.withColumn("_n", total.scalar())
+DAYS = 100_000  # values of the first order column that may be offset by a broadcast table
+DAY_ROWS = 10_000_000  # rows of one of them that are ranked in one task
+
+
+def _placed(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, Column]:
+    """(rows with ``position``, number of rows).
+
+    Ranked in two levels where the first order column has few values, as dates have: counts per value give offsets, and
+    rows are ranked inside their value, so one exchange places all rows. Where a single value holds very many
+    rows, or there are very many values, the whole order key is range-partitioned.
+    """
+    first, *rest = order_by
+    counts = stage(df.groupBy(F.col(first).alias("_day")).agg(F.count(F.lit(1)).alias("_rows")), "days")
+    days, most, total = counts.agg(F.count(F.lit(1)), F.max("_rows"), F.sum("_rows")).first()
+    if not rest or days > DAYS or (most or 0) > DAY_ROWS:
+        return with_positions(df, order_by), F.lit(total or 0)
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.select("_day", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")))
+    rank = F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1
+    ranked = df.withColumn("_rank", rank).join(offsets, F.col(first).eqNullSafe(F.col("_day")))
+    return ranked.withColumn("position", (F.col("_offset") + F.col("_rank")).cast("long")).drop("_day", "_offset", "_rank"), F.lit(total or 0)
 
 
 def chronological_holdout(df: DataFrame, order_by: list[str], share: float = 0.2) -> DataFrame:
     """Mark the last trunc(n * share) rows in date order as the test part (``is_test``)."""
-    positioned = _sized(with_positions(df, order_by))
-    test_rows = (F.col("_n") * F.lit(share)).cast("long")
-    return positioned.withColumn("is_test", F.col("position") >= F.col("_n") - test_rows).drop("_n")
+    positioned, total = _placed(df, order_by)
+    test_rows = (total * F.lit(share)).cast("long")
+    return positioned.withColumn("is_test", F.col("position") >= total - test_rows)
 
 
 def expanding_folds(df: DataFrame, order_by: list[str], folds: int = 5) -> DataFrame:
@@ -59,12 +77,8 @@ def expanding_folds(df: DataFrame, order_by: list[str], folds: int = 5) -> DataF
     The test block is n // (folds + 1) rows; fold k trains on every row before its
     block. Rows left over by the division stay in the first training part.
     """
-    positioned = _sized(with_positions(df, order_by))
-    block = F.expr(f"_n div {folds + 1}")
-    start = F.col("_n") - block * F.lit(folds)
-    return positioned.withColumn(
-        "fold",
-        F.when((F.col("position") < start) | (block == 0), F.lit(0).cast("long")).otherwise(
-            F.expr(f"(position - (_n - (_n div {folds + 1}) * {folds})) div nullif(_n div {folds + 1}, 0)") + 1
-        ).cast("int"),
-    ).drop("_n")
+    positioned, total = _placed(df, order_by)
+    block = F.floor(total / (folds + 1)).cast("long")
+    start = total - block * F.lit(folds)
+    nth = F.floor((F.col("position") - start) / F.nullif(block, F.lit(0))) + 1
+    return positioned.withColumn("fold", F.when((F.col("position") < start) | (block == 0), F.lit(0).cast("long")).otherwise(nth).cast("int"))

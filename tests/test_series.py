@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larder.functions.calendar import date_parts, holiday_dimension, us_holiday
 from larder.functions.encoders import SEASON_CODES, coded, factor_flags, one_hot
 from larder.operators.matching import with_holidays
+from larder.operators import positions, quantiles
 from larder.operators.positions import chronological_holdout, expanding_folds, with_positions
 from larder.operators.quantiles import exact_quantiles
 from larder.operators.windows import lag_columns, naive_forecast, over_series, seasonal_decomposition, with_history
@@ -197,3 +198,32 @@ def test_a_false_claim_of_daily_grain_is_an_error(spark):
     out = over_series(rows, ["k"], ["d"], lag_columns("v", [1]), 1, block_rows=2)
     again = over_series(rows.repartition(3), ["k"], ["d"], lag_columns("v", [1]), 1, block_rows=2)
     assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+
+
+@pytest.mark.parametrize("collect", [0, 200])
+def test_quantiles_are_closed_in_round_by_round(spark, monkeypatch, collect):
+    monkeypatch.setattr(quantiles, "COLLECT", collect)
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    rng = np.random.default_rng(4)
+    heavy = [7.0] * 900 + [-1e300, 1e300, 0.0, -0.0] + list(np.exp(rng.normal(size=600) * 20)) + [math.nan]
+    for values in (heavy, [1.0] * 500 + [2.0] * 500, list(rng.normal(size=2000))):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        plain = np.array([v for v in values if not math.isnan(v)])
+        got = exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.8, 1.0])
+        for q, v in got.items():
+            assert v == pytest.approx(np.quantile(plain, q), rel=1e-12)
+
+
+@pytest.mark.parametrize("most", [10_000_000, 5])
+def test_two_level_positions_are_the_global_order(spark, many_ranges, monkeypatch, most):
+    monkeypatch.setattr(positions, "DAY_ROWS", most)
+    rng = random.Random(3)
+    rows = [(None if rng.random() < 0.05 else dt.date(2023, 1, 1 + rng.randrange(9) // 2), rng.choice(["a", "b", None]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "date date, product_id string, nr int").repartition(4)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or dt.date.min, r[1] is not None, r[1] or "", r[2]))
+    order = ["date", "product_id", "nr"]
+    split = {r["position"]: (r["nr"], r["is_test"]) for r in chronological_holdout(df, order).collect()}
+    assert split == {i: (r[2], i >= 320) for i, r in enumerate(want)}
+    folds = {r["position"]: (r["nr"], r["fold"]) for r in expanding_folds(df, order, 5).collect()}
+    assert folds == {i: (r[2], 0 if i < 70 else (i - 70) // 66 + 1) for i, r in enumerate(want)}
+    assert chronological_holdout(df.limit(0), order).count() == 0 and expanding_folds(df.limit(3), order).agg({"fold": "max"}).first()[0] == 0
