@@ -1,9 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line with words. Features are its word unigrams and bigrams that occur in any template
+A paragraph is a line with words, or a run of neighbouring lines that all hold template bigrams, as a notice wrapped by hand
+has; a run is tried as a whole where none of its lines is a finding. Features are its word unigrams and bigrams that occur in any template
 (lower-cased letters and digits). A softmax regression over licence families and an ``unknown`` class is
-trained in numpy on edited copies of the templates against lines of the corpus and shuffled template
-words; its temperature is fitted on edits it has not seen, and a family is named from ``least``
+trained in numpy on edited copies of the templates against lines of the corpus, shuffled template words, and notices of
+other licences: the templates with their family's names replaced by other words, so that the frame of a notice
+without a known name is no evidence. Its temperature is fitted on edits it has not seen, and a family is named from ``least``
 probability on. A finding must also share ``agree`` of its bigrams with a template of that family, three
 at least. That condition lets a scan pass over lines with fewer template bigrams.
 
@@ -11,11 +13,12 @@ A line that is as a whole one of the short notices (headings, tags, 'All rights
 probability and agreement 1; two words are enough. Such lines are looked up, not classified, as they have too few
 bigrams to be told from prose by a share of them.
 
-The corpus gives at most ``SAMPLE_ROWS`` documents, chosen by hash, as examples of other lines; every line of
-every document is scanned. The scan is map-only.
+The corpus gives about ``SAMPLE_ROWS`` documents, chosen by a threshold on a hash, as examples of other lines, of which two
+lines of ``SAMPLE_CHARS`` characters each reach the driver; every line of every document is scanned. The scan is map-only.
 
-Rows: null and empty texts have no lines and no findings; repeated rows give their own findings; null ids are
-carried; an empty table gives none.
+Rows: null and empty texts have no lines and no findings; texts of any length are scanned whole; repeated rows give
+their own findings; of equal probabilities the first family by name counts; null ids are carried; an empty table
+gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from larder.llm.benchmark import plain_words
 from larder.llm.shared import batches, column
 from larder.llm.wordhash import byte_values, grams, word_hashes
 
-SAMPLE_ROWS = 400
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 400
 BREAK = "\x01"  # stands for a line break among the words
 LINED = byte_values(spaces=bytes(b for b in range(128) if not chr(b).isalnum() and chr(b) != BREAK))
 BREAK_HASH = word_hashes(BREAK.encode(), LINED)[0]
@@ -120,6 +123,9 @@ NAMES: dict[str, tuple[str, ...]] = {
 }
 FORMS = ("{}", "{} License", "The {} License", "License: {}", "Licensed under {}", "Licensed under the {} License", "SPDX-License-Identifier: {}")
 
+# Words of names that stand in notices of any licence.
+FRAME = "general public license software source international creative commons version 0 1 2 3 4 only or later clause"
+
 # Whole lines that are findings by themselves; forms of fewer than two words are left out.
 SHORT: dict[str, tuple[str, ...]] = {f: tuple(x for n in names for form in FORMS if len(plain_words(x := form.format(n))) > 1) for f, names in NAMES.items()}
 SHORT["mit"] += ("MIT License (MIT)", "The MIT License (MIT)")
@@ -196,6 +202,18 @@ def _edit(words: np.ndarray, rng: random.Random, filler: list[np.ndarray]) -> np
     return np.array(out or words.tolist(), np.uint64)
 
 
+def _renamed(words: np.ndarray, names: set[int], rng: random.Random, filler: list[np.ndarray]) -> np.ndarray:
+    """A notice of some other licence: the words of a family's names replaced, each by another word or nothing."""
+    other = [int(w) for line in filler for w in line[:4].tolist()] or [1]
+    out = []
+    for w in words.tolist():
+        if w not in names:
+            out.append(w)
+        elif rng.random() < 0.8:
+            out.append(rng.choice(other) if rng.random() < 0.5 else rng.getrandbits(63))
+    return np.array(out or words.tolist(), np.uint64)
+
+
 def fit(other_lines: list[str], plan: Plan = DEFAULT) -> Scanner:
     """Train on edited templates against other lines of text."""
     families = [*sorted(TEMPLATES), UNKNOWN]
@@ -209,6 +227,7 @@ def fit(other_lines: list[str], plan: Plan = DEFAULT) -> Scanner:
     heads = np.unique(np.concatenate([_grams(w)[1][:1] for w, _ in notices]))
     scanner = Scanner(families, vocabulary, np.zeros((len(vocabulary) + 1, len(families))), 1.0, pairs, templates, short, heads)
 
+    frame = {int(x) for x in plain_words(FRAME)}
     rng = random.Random(plan.seed)
     filler = [w for line in other_lines if len(w := plain_words(line)) > 2]
     filler = [w for w in filler if max((scanner.agreement(f, w) for f in families[:-1]), default=0) < plan.agree]
@@ -216,6 +235,11 @@ def fit(other_lines: list[str], plan: Plan = DEFAULT) -> Scanner:
     for k, family in enumerate(families[:-1]):
         rows += [(_edit(w, rng, filler), k) for w in own[family] for _ in range(plan.edits)]
     mixed = [int(x) for ws in own.values() for w in ws for x in w]
+    names = {f: {int(x) for n in NAMES.get(f, ()) for x in plain_words(n)} - frame for f in families[:-1]}
+    for family, ws in own.items():
+        for w in ws:
+            if any(x in names[family] for x in w.tolist()):
+                rows += [(_renamed(w, names[family], rng, filler), len(families) - 1) for _ in range(plan.edits // 4)]
     rows += [(np.array(rng.sample(mixed, rng.randrange(3, 20)), np.uint64), len(families) - 1) for _ in range(len(rows) // 4)]
     rows += [(w, len(families) - 1) for w in filler]
     fresh = np.array([rng.random() < 0.25 for _ in rows])
@@ -242,9 +266,11 @@ def fit(other_lines: list[str], plan: Plan = DEFAULT) -> Scanner:
 def scan(docs: DataFrame, plan: Plan = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, family, probability, agreement): licence lines found, numbered from 0 in their text."""
     texts = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
-    chosen = texts.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    # at most two lines of at most SAMPLE_ROWS documents reach the driver
-    picked = chosen.select(F.slice(F.filter(F.split("text", "\n"), lambda x: F.char_length(x) > 20), 1, 2).alias("lines")).collect()
+    count = docs.count()
+    drawn = F.pmod(F.xxhash64(F.lit("licences"), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1 << 30))
+    chosen = texts.filter(drawn < int(min(1.0, SAMPLE_ROWS / max(count, 1)) * (1 << 30)))
+    cut = F.transform(F.slice(F.filter(F.split("text", "\n"), lambda x: F.char_length(x) > 20), 1, 2), lambda x: F.substring(x, 1, SAMPLE_CHARS))
+    picked = chosen.filter("text is not null").select(cut.alias("lines")).limit(4 * SAMPLE_ROWS).collect()
     lines = sorted({line for r in picked for line in r["lines"]})
     shared = docs.sparkSession.sparkContext.broadcast(fit(lines, plan))
     return texts.mapInArrow(partial(_scan, shared=shared, plan=plan), "doc_id long, line int, family string, probability double, agreement double")
@@ -263,15 +289,35 @@ def _scan(source: Iterator[pa.RecordBatch], shared, plan: Plan) -> Iterator[pa.R
     def rows():
         for batch in source:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for i, words in _lines_near(text or "", scanner.pairs, quick, scanner.heads):
-                    if found := classify(scanner, words, plan):
-                        yield doc, i, *found
+                for i, found in findings(scanner, text or "", quick, plan):
+                    yield doc, i, *found
 
     yield from batches(rows(), FOUND)
 
 
-def _lines_near(text: str, pairs: np.ndarray, quick: np.ndarray, heads: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and words of the lines a finding can be on: those with three template bigrams, and those that begin with one of ``heads``."""
+def findings(scanner: Scanner, text: str, quick: np.ndarray, plan: Plan = DEFAULT) -> Iterator[tuple[int, tuple[str, float, float]]]:
+    """(line, finding) of a text; a finding of a run stands on its first line."""
+    found: dict[int, tuple[str, float, float]] = {}
+    for i, words in _lines_near(text, scanner.pairs, quick, scanner.heads):
+        if one := classify(scanner, words, plan):
+            found[i] = one
+    run: list[tuple[int, np.ndarray]] = []
+
+    def whole() -> None:
+        if len(run) > 1 and not any(i in found for i, _ in run) and (one := classify(scanner, np.concatenate([w for _, w in run]), plan)):
+            found[run[0][0]] = one
+        run.clear()
+
+    for i, words in _lines_near(text, scanner.pairs, quick, least=1):
+        if run and run[-1][0] != i - 1:
+            whole()
+        run.append((i, words))
+    whole()
+    yield from sorted(found.items())
+
+
+def _lines_near(text: str, pairs: np.ndarray, quick: np.ndarray, heads: np.ndarray | None = None, least: int = 3) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and words of the lines a finding can be on: those with ``least`` template bigrams, and those that begin with one of ``heads``."""
     marked = text.lower().replace(BREAK, " ").replace("\n", f" {BREAK} ")
     words = word_hashes(marked.encode("utf-8", "replace"), LINED)
     hashes = grams(words, 2)
@@ -279,7 +325,7 @@ def _lines_near(text: str, pairs: np.ndarray, quick: np.ndarray, heads: np.ndarr
     at = np.flatnonzero(quick[(hashes >> np.uint64(44)).astype(np.int64)])
     at = at[_among(hashes[at], pairs)]
     lines, counts = np.unique(np.searchsorted(breaks, at), return_counts=True)
-    lines = lines[counts >= 3]
+    lines = lines[counts >= least]
     if heads is not None:
         starts = np.concatenate([[0], breaks + 1])
         starts = starts[starts < len(hashes)]  # breaks are words too, so only the last line can be cut off

@@ -72,3 +72,55 @@ def test_every_short_notice_has_one_family_and_is_found():
     notices = [(n, f) for f, ns in licences.SHORT.items() for n in ns]
     found = {i: licences.classify(scanner, w) for i, w in licences._lines_near("\n".join(n for n, _ in notices), scanner.pairs, quick, scanner.heads)}
     assert {i: f for i, (_, f) in enumerate(notices)} == {i: x and x[0] for i, x in found.items()}
+
+
+def test_notices_of_other_licences_are_unknown(prose):
+    scanner = licences.fit([prose(12, i) for i in range(200)])
+    others = [
+        "Licensed under the Eclipse Public License 2.0.",
+        "Licensed under the Python Software Foundation License, version 2.",
+        "Licensed under the Foo License, Version 1.1.",
+        "This work is licensed under the Sunshine Public License, version 3.",
+        "Released under the Zope Public License.",
+    ]
+    assert [x for x in others if licences.classify(scanner, plain_words(x))] == []
+    known = {"Licensed under the Apache License 2.0.": "apache", "Released under the MIT License.": "mit", "Licensed under the Mozilla Public License, version 2.": "mpl"}
+    assert {x: (licences.classify(scanner, plain_words(x)) or [None])[0] for x in known} == known
+
+
+def test_wrapped_notices_are_found(spark, make_docs, prose):
+    import textwrap
+
+    rows, want = [], set()
+    long = {"mit": licences.TEMPLATES["mit"][0], "apache": licences.TEMPLATES["apache"][0], "gpl": licences.TEMPLATES["gpl"][0], "bsd": licences.TEMPLATES["bsd"][0]}
+    for k, (family, notice) in enumerate(long.items()):
+        rows.append((k, f"{prose(40, k)}\n\n" + "\n".join(textwrap.wrap(notice, 40)) + f"\n\n{prose(20, k + 9)}"))
+        want.add((k, family))
+    out = licences.scan(make_docs(rows)).collect()
+    assert {(r["doc_id"], r["family"]) for r in out} == want and len(out) <= 2 * len(want)
+
+
+def test_verdicts_match_a_plain_scan(spark, make_docs, prose):
+    """Every line and every run of neighbouring lines, tried one by one."""
+    lines = [t for ts in licences.TEMPLATES.values() for t in ts] + ["All rights reserved.", "MIT License", "", "the licence of the car"]
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice([prose(8, 10 * i + k), rng.choice(lines), " ".join(rng.choice(lines).split()[:5])]) for k in range(12))) for i in range(40)]
+    docs = make_docs(rows)
+    got = {(r["doc_id"], r["line"], r["family"]) for r in licences.scan(docs).collect()}
+    sample = sorted({x[: licences.SAMPLE_CHARS] for _, t in rows for x in [y for y in t.split("\n") if len(y) > 20][:2]})
+    scanner = licences.fit(sample)
+    pairs, want = set(scanner.pairs.tolist()), set()
+    for doc, text in rows:
+        words = [plain_words(x) for x in text.split("\n")]
+        near = [sum(g in pairs for g in licences.grams(w, 2).tolist()) if len(w) > 1 else 0 for w in words]
+        single = {i: f[0] for i, w in enumerate(words) if (near[i] >= 3 or w.tobytes() in scanner.short) and (f := licences.classify(scanner, w))}
+        want |= {(doc, i, f) for i, f in single.items()}
+        at = 0
+        while at < len(words):
+            end = at
+            while end < len(words) and near[end]:
+                end += 1
+            if end - at > 1 and not any(i in single for i in range(at, end)) and (f := licences.classify(scanner, np.concatenate(words[at:end]))):
+                want.add((doc, at, f[0]))
+            at = max(end, at + 1)
+    assert want and got == want

@@ -68,7 +68,7 @@ def test_op6_finds_the_verbatim_copies(spark, duck):
 
 
 def test_op2_finds_the_plain_notices(spark, duck):
-    notices = {"MIT License": "mit", "Apache License": "apache", "GNU General Public License": "gpl", "CC BY-NC 4.0": "cc-by-nc"}
+    notices = {"MIT License": "mit", "Apache License": "apache", "GNU General Public License": "gpl", "CC BY-NC 4.0": "cc-by-nc", "All rights reserved.": "proprietary"}
     want = {(d, i, f) for d, t in documents(duck) for i, line in enumerate(t.split("\n")) for x, f in notices.items() if x in line}
     out = {(r["doc_id"], r["line"], r["family"]) for r in queries.op2_licence_scan(spark, str(FOLDER)).collect()}
     assert out == want
