@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks.catalog import query, rounded
 from checks.demand_queries import K, W
 from larder.operators.summaries import level_list
-from larder.plans import features, forecast
+from larder.plans import boosting, features, forecast
 from larder.session import stage
 
 CHECKED = forecast.Boosting(rounds=8, patience=2, rate=0.3, depth=4)
@@ -117,8 +117,50 @@ def _(v):
     return forecast.boosted_dependence(forecast.fit_single(flat, CHECKED), flat, "unit_price", "month")
 
 
+@query("mean_attribution", "A13 M12 L04")
+def _(v):
+    flat = stage(features.flat_features(v.demand, _levels(v)), "flat")
+    return forecast.top_features(forecast.mean_attribution(forecast.fit_single(flat, CHECKED), flat))
+
+
 # --- what SQL can say about them ---
 
+
+@query("row_attributions", "M12 A13", f"select {K}, true as adds_up from demand", "demand")
+def _(v):
+    """The attributions of every row sum to its prediction less the mean one."""
+    flat = stage(features.flat_features(v.demand, _levels(v)), "flat")
+    model = forecast.fit_single(flat, CHECKED)
+    rows = forecast.row_attributions(model, model.transform(flat))
+    total = F.aggregate("attributions", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(*KEY, (F.abs(total - F.col("prediction") + F.col("expected")) <= 1e-8 * F.greatest(F.lit(1.0), F.abs("prediction"))).alias("adds_up"))
+
+
+CALENDAR = ["day_of_week", "month", "year"]
+
+
+@query(
+    "tree_root_cut",
+    "M03 M04",
+    """, r as (select sales_quantity - avg(sales_quantity) over () as r, dt from demand),
+       u as (select 'day_of_week' as feature, isodow(dt) - 1 as v, r from r union all select 'month', month(dt), r from r union all select 'year', year(dt), r from r),
+       c as (select feature, v, sum(r) as g, count(*) as n from u group by all),
+       k as (select feature, v, sum(g) over w as gl, sum(n) over w as nl, sum(g) over (partition by feature) as g, sum(n) over (partition by feature) as n
+             from c window w as (partition by feature order by v)),
+       s as (select feature, v::double as cut, gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n as gain, gl / nl as low, (g - gl) / (n - nl) as high from k where nl < n)
+       select feature, cut, round(gain, 3) as gain, round(low, 6) as low, round(high, 6) as high from s order by s.gain desc limit 1""",
+    "demand",
+)
+def _(v):
+    """The best first cut of all rows among three calendar columns, and the values of both sides."""
+    rows = stage(features.flat_features(v.demand, _levels(v)).select(*CALENDAR, forecast.TARGET), "root")
+    whole = boosting.Growth(rate=1.0, depth=1, shrink=0.0, row_share=1.0, column_share=1.0)
+    marked = rows.withColumns({"w": F.lit(1.0), "held": F.lit(False)})
+    tree = boosting.fit_trees(marked, CALENDAR, whole, 1, 1, forecast.TARGET, "w", "held", "p").trees[0]
+    found = [(CALENDAR[tree.feature[0]], tree.cut[0], tree.gain[0], tree.value[tree.left[0]], tree.value[tree.right[0]])]
+    out = v.spark.createDataFrame(found, "feature string, cut double, gain double, low double, high double")
+    return rounded(rounded(out, "gain", digits=3), "low", "high")
+
 FEATURE_ROWS = f"""select * from (select {K}, sales_quantity, lag(sales_quantity, 30) over ({W}) as back,
     count(*) over ({W} rows between 30 preceding and 1 preceding) as there from demand) where back is not null and there = 30"""
 
@@ -189,10 +231,10 @@ def _(v):
 @query(
     "fold_names",
     "M03 M04 W06",
-    "select model, f::int as fold, true as scored from (values ('boosted'), ('leafwise')) m(model), range(1, 3) r(f) where exists (select 1 from lineitem)",
+    "select model, f::int as fold, true as scored from (values ('boosted'), ('leafwise')) m(model), range(1, 6) r(f) where exists (select 1 from lineitem)",
 )
 def _(v):
-    out = forecast.cross_validate(_features(v), CHECKED, CHECKED_LEAFWISE, folds=2)
+    out = forecast.cross_validate(_features(v), CHECKED, CHECKED_LEAFWISE)
     return out.select("model", "fold", (F.col("mae") > 0).alias("scored"))
 
 
