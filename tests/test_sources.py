@@ -172,6 +172,28 @@ def test_whole_run_begins_with_a_forecast(spark, tmp_path, inventory):
         run_all(inv, None, prices, str(tmp_path / "no"), "2024-06-03")
 
 
+def test_broken_run_goes_on_at_the_first_unfinished_step(spark, tmp_path, inventory, forecast):
+    inv = inventory.withColumns({"expiry_date": F.to_date(F.lit("2025-01-01")), "warehouse_capacity": F.lit(90)})
+    prices = spark.createDataFrame([("P1001", "S001", 100.0, 80.0, 50.0)], "product_id string, store_id string, price double, competitor_prices double, sales_volume double")
+    done, out = [], str(tmp_path / "run")
+
+    def breaks(name):
+        done.append(name)
+        if name == "sales_impact" and len(done) < 10:
+            raise KeyboardInterrupt
+
+    run = lambda **v: run_all(inv, forecast, prices, out, "2024-07-01 06:00:00", versions=v, on_step=breaks)
+    with pytest.raises(KeyboardInterrupt):
+        run(stock="v=3")
+    paths = run(stock="v=3")
+    assert len(done) == len(set(done)) == len(paths) and list(paths)[8] == done[8] == "inventory_audit"
+    assert spark.read.parquet(paths["updated_inventory"]).count() == 3 and spark.read.parquet(paths["reorder_log"]).count() == 2
+    run(stock="v=3")
+    assert len(done) == len(paths)  # all is finished
+    run(stock="v=4")
+    assert len(done) == 2 * len(paths)  # other inputs: everything anew
+
+
 NOTES = T.StructType().add("product_id", "string").add("product_name", "string").add("stock_levels", "long").add("expiry_date", "date")
 
 
