@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from larder.operators.columns import align_keys
 from larder.operators.ledger import RESTOCK, SALE, opening_levels, settle, take_in_order
 from larder.operators.matching import add_quantities
+from larder.plans.monitor import kpis
 from larder.plans.reorder import reorder_suggestions
 from larder.schemas import KEYS, MOVEMENTS
 from larder.sources.files import remove, subfolders
@@ -74,6 +75,20 @@ def _changes(stock: VersionedTable, batches: range) -> DataFrame | None:
     return stock.spark.read.parquet(*paths) if paths else None
 
 
+def kpis_after(stock: VersionedTable, batches: int) -> DataFrame:
+    """Dashboard KPIs after the first ``batches`` micro-batches of a stream that keeps them: one row is read."""
+    return stock.spark.read.parquet(f"{stock.path}/kpis/batch={batches - 1}")
+
+
+def _refresh_kpis(stock: VersionedTable, batch_id: int, merge_every: int, keys: DataFrame, as_of: str) -> None:
+    """KPIs of a batch from those of the one before and the rows it has moved; the first reads the whole table."""
+    first = kpis(stock.read(0), as_of=as_of) if batch_id == 0 else kpis_after(stock, batch_id)
+    rows = [(first, 1), *((kpis(stock_after(stock, n, merge_every, keys), as_of=as_of), sign) for n, sign in ((batch_id, -1), (batch_id + 1, 1)))]
+    signed = [df.select(*[(F.col(c) * sign).alias(c) for c in first.columns]) for df, sign in rows]
+    total = reduce(DataFrame.unionByName, signed).agg(*[F.sum(c).cast("long").alias(c) for c in first.columns])
+    total.write.mode("overwrite").parquet(f"{stock.path}/kpis/batch={batch_id}")
+
+
 def _retire(stock: VersionedTable, oldest: int, merge_every: int) -> None:
     """Remove versions below ``oldest``, their newest times and the changes they have taken in."""
     stock.retire(oldest)
@@ -95,6 +110,7 @@ def settle_batches(
     on_batch: Callable[[int], None] | None = None,
     merge_every: int = MERGE_EVERY,
     keep: int | None = None,
+    kpis_as_of: str | None = None,
 ) -> StreamingQuery:
     """Settle every micro-batch against the stock and start the query.
 
@@ -108,8 +124,11 @@ def settle_batches(
 
     Merges are published like any version of the table, under the name of the stream's checkpoint: a merge that is run again
     leaves its version as it is, and a version that someone else has published meanwhile stops the stream
-    with ``ForeignVersion`` and is not touched. ``keep``: so many merged versions stay for readers; older ones go, with
-    the changes that led to them.
+    with ``ForeignVersion`` and is not touched. ``keep``: so many merged versions stay for readers, two at least, as a
+    batch may be run again; older ones go, with the changes that led to them.
+
+    ``kpis_as_of``: dashboard KPIs are kept for every batch, as those of the batch before, less those of the moved rows as they were,
+    plus those of the rows as they are; ``kpis_after`` reads them.
     """
     owner = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
@@ -139,8 +158,10 @@ def settle_batches(
                 times.append(spark.read.parquet(f"{stock.path}/newest/v={version - 1}").select(*KEYS, "newest"))
             latest = reduce(DataFrame.unionByName, times).groupBy(*KEYS).agg(F.max("newest").alias("newest"))
             latest.write.mode("overwrite").parquet(f"{stock.path}/newest/v={version}")
-            if keep is not None:
-                _retire(stock, version - max(keep, 1) + 1, merge_every)
+        if kpis_as_of is not None:
+            _refresh_kpis(stock, batch_id, merge_every, touched(log), kpis_as_of)
+        if keep is not None and done % merge_every == 0:
+            _retire(stock, done // merge_every - max(keep, 2) + 1, merge_every)
         if forecast is not None and suggestions_path:
             after = stock_after(stock, done, merge_every, touched(log))
             touched_reorders(log, after, forecast).write.mode("overwrite").parquet(f"{suggestions_path}/batch={batch_id}")

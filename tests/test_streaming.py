@@ -7,10 +7,11 @@ from conftest import rows_of
 from test_ledger import movements, replay, stock_of
 
 from larder.operators.ledger import settle
+from larder.plans.monitor import kpis
 from larder.schemas import KEYS, MOVEMENTS
 from larder.sources.tables import VersionedTable
 from larder.session import clear_staged, stage, staged_dir
-from larder.streaming.movements import HEARTBEAT, REFRESH, append_log, keyed_ledger, movement_source, settle_batches, stock_after
+from larder.streaming.movements import HEARTBEAT, REFRESH, append_log, keyed_ledger, kpis_after, movement_source, settle_batches, stock_after
 
 ROWS = [
     (1, 10, "P1", "A", 4, "SALE"), (2, 11, "P2", "A", 1, "SALE"), (3, 12, "P1", "A", 7, "SALE"), (4, 13, "P9", "A", 1, "SALE"),
@@ -136,7 +137,9 @@ def batches_of(spark, tmp_path, parts, **options):
     path = str(tmp_path / "events")
     for part in parts:
         movements(spark, part).select(*MOVEMENTS.names).coalesce(1).write.mode("append").parquet(path)
-    table = VersionedTable(spark, str(tmp_path / "stock"), stock_of(spark, LEVELS).schema)
+    there = tmp_path / "stock" / "v=0"
+    schema = spark.read.parquet(str(there)).schema if there.exists() else stock_of(spark, LEVELS).schema
+    table = VersionedTable(spark, str(tmp_path / "stock"), schema)
     if table.version() is None:
         table.write(stock_of(spark, LEVELS), version=0)
     return table, settle_batches(movement_source(spark, path, 1), table, str(tmp_path / "log"), str(tmp_path / "check"), **options)
@@ -183,6 +186,25 @@ def test_old_versions_and_changes_are_removed(spark, tmp_path):
     assert dict(rows_of(stock_after(table, 7, 2), "product_id", "stock_levels")) == {"P1": 3, "P2": 5}
 
 
+def test_kept_kpis_equal_those_of_the_whole_table(spark, tmp_path):
+    stock = spark.range(40).selectExpr(
+        "concat('P', id) as product_id", "'A' as store_id", "id % 9 as stock_levels", "5L as reorder_point", "date_add(date'2024-01-01', cast(id as int) * 3) as expiry_date",
+        "id % 15 as warehouse_capacity",
+    )
+    table = VersionedTable(spark, str(tmp_path / "stock"), stock.schema)
+    table.write(stock, version=0)
+    rng = random.Random(4)
+    parts = [[(100 * b + i, 100 * b + i, f"P{rng.randrange(50)}", "A", rng.randrange(1, 7), rng.choice(["SALE", "RESTOCK"])) for i in range(15)] for b in range(3)]
+    seen = []
+
+    def compare(batch):
+        whole = kpis(stock_after(table, batch + 1, 2), as_of="2024-02-01").collect()
+        seen.append(kpis_after(table, batch + 1).select(*whole[0].asDict()).collect() == whole)
+
+    _, query = batches_of(spark, tmp_path, parts, on_batch=compare, merge_every=2, keep=2, kpis_as_of="2024-02-01")
+    assert query.awaitTermination(200) and query.exception() is None and seen == [True] * 3
+
+
 def test_refresh_interval_fires_again_and_again(spark, tmp_path):
     assert REFRESH == {"processingTime": "5 minutes"}
     parts = [[(i, i, "P1", "A", 1, "SALE")] for i in range(3)]
