@@ -153,6 +153,7 @@ class Test:
 
 
 Rule = tuple[Test, ...]
+Histogram = dict[str, dict[int, tuple[int, int]]]  # (junk, other) rows per step of each statistic
 
 
 @dataclass(frozen=True)
@@ -175,44 +176,66 @@ def learn(marked: DataFrame, plan: Covering = DEFAULT) -> list[Rule]:
     """Ordered junk rules from a table of steps with ``junk`` (boolean) and ``grow`` (boolean).
 
     Ends when no junk is left to cover, or when a rule has been tried from every statistic and none stood pruning.
+    Rows that are equal in all steps are counted once and for all. Histograms are measured once for each beginning of a rule;
+    that of the rows left after a rule is the one before, less that of the rule.
     """
     rules: list[Rule] = []
-    rest, refused = marked, frozenset()
+    rest = stage(marked.groupBy(*steps(), "junk", "grow").agg(F.count("*").alias("times")), "rules-labelled")
+    refused: frozenset[tuple[str, bool]] = frozenset()
+    seen: dict[Rule, Histogram] = {}
     while True:
-        grown = _grown(rest.filter("grow"), plan, refused)
+        grown = _grown(rest.filter("grow"), plan, refused, seen)
         if not grown:
             return rules
         rule = _pruned(grown, rest.filter("not grow"), plan)
         if rule:
             rules.append(rule)
+            seen = {(): _without(seen[()], seen[rule])}
             rest, refused = rest.filter(~_all(rule)), frozenset()
         else:
             refused |= {(grown[0].name, grown[0].at_least)}
 
 
-def _histogram(rows: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
+def _histogram(rows: DataFrame) -> Histogram:
     """Junk and other rows per step of each statistic."""
     names = list(steps())
-    cells = rows.select("junk", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("step")) for n in names])).alias("c"))
-    out: dict[str, dict[int, tuple[int, int]]] = {n: {} for n in names}
-    counted = cells.groupBy("c.name", "c.step").agg(F.count_if("junk").alias("p"), F.count_if(~F.col("junk")).alias("n"))
+    cells = rows.select("junk", "times", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("step")) for n in names])).alias("c"))
+    out: Histogram = {n: {} for n in names}
+    counted = cells.groupBy("c.name", "c.step").agg(_times(F.col("junk")).alias("p"), _times(~F.col("junk")).alias("n"))
     for row in counted.collect():  # steps are bounded: a few thousand per statistic
         out[row["name"]][row["step"]] = (row["p"], row["n"])
     return out
 
 
+def _times(condition: Column) -> Column:
+    """Rows of the labelled documents under a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col("times"))), F.lit(0))
+
+
+def _without(whole: Histogram, part: Histogram) -> Histogram:
+    """Counts of the rows of ``whole`` that are not in ``part``; steps without rows are left out."""
+    out: Histogram = {}
+    for name, cells in whole.items():
+        left = {step: (p - part[name].get(step, (0, 0))[0], n - part[name].get(step, (0, 0))[1]) for step, (p, n) in cells.items()}
+        out[name] = {step: counts for step, counts in left.items() if any(counts)}
+    return out
+
+
 def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _grown(rows: DataFrame, plan: Covering, refused: frozenset[tuple[str, bool]] = frozenset()) -> Rule:
+def _grown(rows: DataFrame, plan: Covering, refused: frozenset[tuple[str, bool]], measured: dict[Rule, Histogram]) -> Rule:
     """Tests added by largest information gain until only junk is covered.
 
-    ``refused`` names statistics and directions that the first test may not use.
+    ``refused`` names statistics and directions that the first test may not use. ``measured`` holds the histograms of
+    beginnings of rules over the same rows; new ones are added.
     """
     rule: Rule = ()
     while True:
-        seen = _histogram(rows.filter(_all(rule)))
+        if rule not in measured:
+            measured[rule] = _histogram(rows.filter(_all(rule)))
+        seen = measured[rule]
         best: tuple[float, Test | None] = (1e-9, None)
         clean = True
         for name, cells in seen.items():
@@ -240,7 +263,7 @@ def _pruned(rule: Rule, rows: DataFrame, plan: Covering) -> Rule:
     if not rule:
         return ()
     prefixes = [rule[: i + 1] for i in range(len(rule))]
-    sums = [F.count_if(_all(x) & is_).alias(f"{k}{i}") for i, x in enumerate(prefixes) for k, is_ in (("p", F.col("junk")), ("n", ~F.col("junk")))]
+    sums = [_times(_all(x) & is_).alias(f"{k}{i}") for i, x in enumerate(prefixes) for k, is_ in (("p", F.col("junk")), ("n", ~F.col("junk")))]
     row = rows.agg(*sums).first()
     best: tuple[float, Rule] = (-1.0, ())
     for i, x in enumerate(prefixes):
@@ -263,7 +286,7 @@ def learn_from(statistics: DataFrame, labels: DataFrame, learnable: Column | Non
         .join(marked, "doc_id")
         .select((F.col("quality") == 0).alias("junk"), (fold != 0).alias("grow"), *[c.alias(n) for n, c in steps().items()])
     )
-    return learn(stage(table, "rules-labelled"), plan)
+    return learn(table, plan)
 
 
 def verdict(rules: list[Rule]) -> Column:

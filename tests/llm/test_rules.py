@@ -87,3 +87,21 @@ def test_refused_first_tests_give_way_to_others(spark):
     marked = spark.createDataFrame(rows, "junk boolean, grow boolean, " + ", ".join(f"{n} int" for n in names))
     found = rules.learn(marked)
     assert found and any(t.name == names[3] for r in found for t in r)
+
+
+def test_each_beginning_of_a_rule_is_counted_once_and_equal_rows_as_one(spark, monkeypatch):
+    names = list(rules.steps())
+    kinds = [(True, {names[0]: 9}), (True, {names[3]: 5}), (False, {}), (False, {names[5]: 4})]
+    rows = [(junk, i % 3 > 0, *[marks.get(n, 1) for n in names]) for i in range(300) for junk, marks in kinds]
+    marked = spark.createDataFrame(rows, "junk boolean, grow boolean, " + ", ".join(f"{n} int" for n in names))
+    sizes, plain = [], rules._histogram
+
+    def counted(rest):
+        sizes.append(rest.count())
+        return plain(rest)
+
+    monkeypatch.setattr(rules, "_histogram", counted)
+    found = rules.learn(marked)
+    assert sorted(t.name for r in found for t in r) == sorted([names[0], names[3]])
+    # all rows are measured once, before the first rule; rules find one kind of equal rows each
+    assert sizes == [4, 1, 1]
