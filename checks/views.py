@@ -28,7 +28,8 @@ class Views:
         regions = self.table("region").agg(F.array_sort(F.collect_set("r_regionkey"))).scalar()
         rows = self.table("part").select("p_partkey", F.explode(regions).alias("r_regionkey"))
         p, r = F.col("p_partkey"), F.col("r_regionkey")
-        return rows.where((p + r) % 7 != 0).select(
+        # Catalyst takes the exploded rows for as small as part and would broadcast millions of them
+        return rows.hint("merge").where((p + r) % 7 != 0).select(
             p.alias("product_id"),
             r.alias("store_id"),
             ((p * 37 + r * 101) % 400).alias("stock_levels"),

@@ -330,3 +330,16 @@ def test_digest(spark):
     df = spark.createDataFrame([(i, None if i == 2 else f"v{i}") for i in range(7, 0, -1)], "id int, name string")
     text = reports.digest({"Items": (df, ["id"])}).first()["digest"]
     assert text.split("\n") == ["### Items ###", "1. id: 1, name: v1", "2. id: 2", "3. id: 3, name: v3", "4. id: 4, name: v4", "5. id: 5, name: v5"]
+
+
+def test_exploded_inventory_is_not_broadcast(spark, tmp_path):
+    from checks.views import Views
+
+    spark.range(1, 40).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(5).selectExpr("int(id) as r_regionkey").write.parquet(f"{tmp_path}/region.parquet")
+    lines = spark.range(1, 60).selectExpr("id as product_id", "int(id % 5) as store_id", "1.0d as predicted_sales_quantity")
+    joined = match(lines, Views(spark, str(tmp_path)).inventory)
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    expected = [i for i in range(1, 40) if (i + i % 5) % 7]
+    assert sorted(r["product_id"] for r in joined.collect()) == expected
