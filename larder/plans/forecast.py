@@ -16,7 +16,7 @@ from larder.functions.calendar import FLOATING, SET_DATES, us_holiday
 from larder.functions.ratios import blend
 from larder.operators.positions import chronological_holdout, expanding_folds, with_positions
 from larder.operators.quantiles import exact_quantiles
-from larder.plans.boosting import Growth, TreeModel, fit_trees
+from larder.plans.boosting import Growth, Plan, TreeModel, fit_many, fit_trees
 from larder.plans.evaluate import evaluate
 from larder.plans.reports import with_bounds
 from larder.schemas import KEYS
@@ -61,6 +61,10 @@ class Boosting:
     def growth(self) -> Growth:
         return Growth(self.rate, self.depth, self.leaves, self.min_leaf_rows, self.shrink, self.row_share, self.column_share, self.seed)
 
+    @property
+    def plan(self) -> Plan:
+        return Plan(self.growth, self.rounds, self.patience, self.bins)
+
     def regressor(self, features: str, prediction: str) -> GBTRegressor:
         """Spark ML's booster, for models without validation rows."""
         return GBTRegressor(
@@ -149,6 +153,11 @@ def fit_boosted(rows: DataFrame, names: list[str], settings: Boosting, predictio
     return PipelineModel(stages=[fit])
 
 
+def fit_side_by_side(parts: list[DataFrame], names: list[str], settings: list[Boosting], predictions: list[str]) -> list[list[TreeModel]]:
+    """As ``fit_boosted``, for each part and setting; the models share the jobs of their rounds."""
+    return fit_many(parts, names, [s.plan for s in settings], TARGET, "row_weight", "is_validation", predictions)
+
+
 def fit_ensemble(features: DataFrame, boosted: Boosting = BOOSTED, leafwise: Boosting = LEAFWISE) -> PipelineModel:
     """Fit the three models on a feature table and blend them in one saved pipeline.
 
@@ -159,8 +168,7 @@ def fit_ensemble(features: DataFrame, boosted: Boosting = BOOSTED, leafwise: Boo
     folds = weighted(expanding_folds(features, ORDER)).withColumn("is_validation", F.col("fold") == 5)
     rows = stage(folds.drop("position"), "training")
     trend = fit_trend(rows)
-    first = fit_boosted(rows, names, boosted, "boosted_prediction")
-    second = fit_boosted(rows, names, leafwise, "leafwise_prediction")
+    first, second = (PipelineModel(stages=[m]) for m in fit_side_by_side([rows], names, [boosted, leafwise], ["boosted_prediction", "leafwise_prediction"])[0])
     total = " + ".join(f"{c} * {w}D" for c, w in BLEND.items())
     combine = SQLTransformer(statement=f"SELECT *, {total} AS prediction FROM __THIS__")
     bounds = SQLTransformer(
@@ -178,13 +186,14 @@ def cross_validate(features: DataFrame, boosted: Boosting = BOOSTED, leafwise: B
     """Metrics of both boosted models per expanding fold: (model, fold, metrics)."""
     names = feature_names(features)
     rows = stage(weighted(expanding_folds(features, ORDER, folds)), "folds")
-    parts = []
-    for k in range(1, folds + 1):
-        part = rows.where(F.col("fold") <= k).withColumn("is_validation", F.col("fold") == k)
-        for name, settings in (("boosted", boosted), ("leafwise", leafwise)):
-            scored = fit_boosted(part, names, settings, "prediction").transform(part.where("is_validation"))
-            parts.append(evaluate(scored).withColumns({"model": F.lit(name), "fold": F.lit(k)}))
-    return reduce(DataFrame.unionByName, parts)
+    parts = [rows.where(F.col("fold") <= k).withColumn("is_validation", F.col("fold") == k) for k in range(1, folds + 1)]
+    fitted = fit_side_by_side(parts, names, [boosted, leafwise], ["prediction", "prediction"])
+    metrics = []
+    for k, (part, models) in enumerate(zip(parts, fitted, strict=True), 1):
+        for name, model in zip(("boosted", "leafwise"), models, strict=True):
+            scored = model.transform(part.where("is_validation"))
+            metrics.append(evaluate(scored).withColumns({"model": F.lit(name), "fold": F.lit(k)}))
+    return reduce(DataFrame.unionByName, metrics)
 
 
 def backtest(features: DataFrame, share: float = 0.2, boosted: Boosting = BOOSTED, leafwise: Boosting = LEAFWISE) -> DataFrame:
