@@ -153,7 +153,7 @@ class Test:
 
 
 Rule = tuple[Test, ...]
-Histogram = dict[str, dict[int, tuple[int, int]]]  # (junk, other) rows per step of each statistic
+Histogram = dict[str, dict[int, tuple[int, int]]]  # (junk documents, other documents, rows) per step of each statistic
 
 
 @dataclass(frozen=True)
@@ -177,36 +177,59 @@ def learn(marked: DataFrame, plan: Covering = DEFAULT) -> list[Rule]:
 
     Ends when no junk is left to cover, or when a rule has been tried from every statistic and none stood pruning.
     Rows that are equal in all steps are counted once and for all. Histograms are measured once for each beginning of a rule;
-    that of the rows left after a rule is the one before, less that of the rule.
+    that of the rows left after a rule is the one before, less that of the rule. If the rule from the best first test is
+    refused, those from all other first tests are grown side by side, in one pass for each length.
     """
     rules: list[Rule] = []
     rest = stage(marked.groupBy(*steps(), "junk", "grow").agg(F.count("*").alias("times")), "rules-labelled")
-    refused: frozenset[tuple[str, bool]] = frozenset()
-    seen: dict[Rule, Histogram] = {}
+    seen: dict[Rule, Histogram] = {(): _histogram(rest.filter("grow"))}
     while True:
-        grown = _grown(rest.filter("grow"), plan, refused, seen)
-        if not grown:
+        starts = _starts(seen[()], plan)
+        grown = (r for some in (starts[:1], starts[1:]) for r in _grown(rest.filter("grow"), plan, some, seen))
+        rule = next((kept for r in grown if (kept := _pruned(r, rest.filter("not grow"), plan))), ())
+        if not rule:
             return rules
-        rule = _pruned(grown, rest.filter("not grow"), plan)
-        if rule:
-            rules.append(rule)
-            seen = {(): _without(seen[()], seen[rule])}
-            rest, refused = rest.filter(~_all(rule)), frozenset()
-        else:
-            refused |= {(grown[0].name, grown[0].at_least)}
+        rules.append(rule)
+        seen = {(): _without(seen[()], seen[rule])}
+        rest = rest.filter(~_all(rule))
 
 
 def _histogram(rows: DataFrame) -> Histogram:
-    """Junk and other rows per step of each statistic."""
-    names = list(steps())
-    cells = rows.select("junk", "times", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("step")) for n in names])).alias("c"))
-    out: Histogram = {n: {} for n in names}
-    counted = cells.groupBy("c.name", "c.step").agg(_times(F.col("junk")).alias("p"), _times(~F.col("junk")).alias("n"))
-    for row in counted.collect():  # steps are bounded: a few thousand per statistic
-        out[row["name"]][row["step"]] = (row["p"], row["n"])
+    """Junk and other documents and rows per step of each statistic."""
+    return _histograms(rows, [F.lit(True)])[0]
+
+
+def _histograms(rows: DataFrame, sides: list[Column]) -> list[Histogram]:
+    """Histograms of the rows under each condition, in one pass over the rows that are under any."""
+    names, marks = list(steps()), [f"in{i}" for i in range(len(sides))]
+    dealt = rows.select("junk", "times", *names, *[s.alias(m) for s, m in zip(sides, marks, strict=True)]).filter(" or ".join(marks))
+    cells = dealt.select("junk", "times", *marks, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("step")) for n in names])).alias("c"))
+    sums = [F.array(_times(F.col(m) & F.col("junk")), _times(F.col(m) & ~F.col("junk")), F.count_if(m)).alias(m) for m in marks]
+    out: list[Histogram] = [{n: {} for n in names} for _ in sides]
+    for row in cells.groupBy("c.name", "c.step").agg(*sums).collect():  # steps are bounded: a few thousand per statistic
+        for histogram, m in zip(out, marks, strict=True):
+            if row[m][2]:
+                histogram[row["name"]][row["step"]] = tuple(row[m])
     return out
 
 
+def _measure(rows: DataFrame, rules: list[Rule], seen: dict[Rule, Histogram]) -> None:
+    """Adds the histograms of rules that are one test longer than those in ``seen``, over the same rows.
+
+    Of the rows under the tests before the last, those that it covers or those that it leaves out are counted, whichever
+    are fewer; the others follow by subtraction. So a rule of any length costs about as many rows as there are.
+    """
+    fewer, sides = [], []
+    for rule in rules:
+        last, cells = rule[-1], seen[rule[:-1]][rule[-1].name]
+        covered = sum(c[2] for step, c in cells.items() if (step >= last.step) == last.at_least)
+        fewer.append(2 * covered <= sum(c[2] for c in cells.values()))
+        sides.append(_all(rule) if fewer[-1] else _all(rule[:-1]) & ~last.condition())
+    found = [_histogram(rows.filter(sides[0]))] if len(sides) == 1 else _histograms(rows, sides)
+    for rule, is_rule, part in zip(rules, fewer, found, strict=True):
+        seen[rule] = part if is_rule else _without(seen[rule[:-1]], part)
+
+
 def _times(condition: Column) -> Column:
     """Rows of the labelled documents under a condition."""
     return F.coalesce(F.sum(F.when(condition, F.col("times"))), F.lit(0))
@@ -216,7 +239,7 @@ def _without(whole: Histogram, part: Histogram) -> Histogram:
     """Counts of the rows of ``whole`` that are not in ``part``; steps without rows are left out."""
     out: Histogram = {}
     for name, cells in whole.items():
-        left = {step: (p - part[name].get(step, (0, 0))[0], n - part[name].get(step, (0, 0))[1]) for step, (p, n) in cells.items()}
+        left = {step: tuple(x - y for x, y in zip(counts, part[name].get(step, (0, 0, 0)), strict=True)) for step, counts in cells.items()}
         out[name] = {step: counts for step, counts in left.items() if any(counts)}
     return out
 
@@ -225,37 +248,48 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else 0.0
 
 
-def _grown(rows: DataFrame, plan: Covering, refused: frozenset[tuple[str, bool]], measured: dict[Rule, Histogram]) -> Rule:
-    """Tests added by largest information gain until only junk is covered.
-
-    ``refused`` names statistics and directions that the first test may not use. ``measured`` holds the histograms of
-    beginnings of rules over the same rows; new ones are added.
+def _best(seen: Histogram, plan: Covering, refused: frozenset[tuple[str, bool]] = frozenset()) -> Test | None:
+    """The test of largest information gain, if there is junk and more; not of the statistics and directions in ``refused``."""
+    best: tuple[float, Test | None] = (1e-9, None)
+    clean = True
+    for name, cells in seen.items():
+        p0, n0 = (sum(c[i] for c in cells.values()) for i in (0, 1))
+        if not p0:
+            return None
+        clean = clean and not n0
+        p, n = 0, 0
+        for step in sorted(cells):  # rows below each step, rows from it on
+            for at_least, covered in ((True, (p0 - p, n0 - n)), (False, (p, n))):
+                gain = _gain(*covered, p0, n0)
+                if (name, at_least) in refused:
+                    continue
+                if covered[0] >= plan.min_covered and gain > best[0] + 1e-9:
+                    best = (gain, Test(name, at_least, step))
+            p, n = p + cells[step][0], n + cells[step][1]
+    return None if clean else best[1]
+
+
+def _starts(seen: Histogram, plan: Covering) -> list[Test]:
+    """The best first test, and the best of the statistics and directions that are left after each."""
+    found: list[Test] = []
+    while test := _best(seen, plan, frozenset((t.name, t.at_least) for t in found)):
+        found.append(test)
+    return found
+
+
+def _grown(rows: DataFrame, plan: Covering, starts: list[Test], seen: dict[Rule, Histogram]) -> list[Rule]:
+    """A rule from each first test: tests added by largest information gain until only junk is covered.
+
+    ``seen`` holds the histogram of the rows; those of all beginnings of the rules are added.
     """
-    rule: Rule = ()
-    while True:
-        if rule not in measured:
-            measured[rule] = _histogram(rows.filter(_all(rule)))
-        seen = measured[rule]
-        best: tuple[float, Test | None] = (1e-9, None)
-        clean = True
-        for name, cells in seen.items():
-            p0, n0 = (sum(c[i] for c in cells.values()) for i in (0, 1))
-            if not p0:
-                return rule
-            clean = clean and not n0
-            p, n = 0, 0
-            for step in sorted(cells):  # rows below each step, rows from it on
-                for at_least, covered in ((True, (p0 - p, n0 - n)), (False, (p, n))):
-                    gain = _gain(*covered, p0, n0)
-                    if not rule and (name, at_least) in refused:
-                        continue
-                    if covered[0] >= plan.min_covered and gain > best[0] + 1e-9:
-                        best = (gain, Test(name, at_least, step))
-                p, n = p + cells[step][0], n + cells[step][1]
-        if clean or best[1] is None:
-            return rule
-        rule = (*rule, best[1])
-    return rule
+    rules: dict[Test, Rule] = {t: (t,) for t in starts}
+    growing = starts
+    while growing:
+        _measure(rows, [rules[t] for t in growing], seen)
+        added = {t: test for t in growing if (test := _best(seen[rules[t]], plan))}
+        rules |= {t: (*rules[t], test) for t, test in added.items()}
+        growing = list(added)
+    return list(rules.values())
 
 
 def _pruned(rule: Rule, rows: DataFrame, plan: Covering) -> Rule:

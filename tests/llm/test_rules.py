@@ -105,3 +105,35 @@ def test_each_beginning_of_a_rule_is_counted_once_and_equal_rows_as_one(spark, m
     assert sorted(t.name for r in found for t in r) == sorted([names[0], names[3]])
     # all rows are measured once, before the first rule; rules find one kind of equal rows each
     assert sizes == [4, 1, 1]
+
+
+def test_wide_first_tests_that_are_refused_are_counted_in_few_passes(spark, monkeypatch):
+    # three junk rows amid the values of every statistic, none of them to prune on: a rule from every first test is refused
+    rng = random.Random(3)
+    names = list(rules.steps())
+    rows = [(False, i % 3 > 0, *[rng.randrange(100) for _ in names]) for i in range(600)]
+    rows += [(True, True, *[rng.randrange(20, 80) for _ in names]) for _ in range(3)]
+    marked = spark.createDataFrame(rows, "junk boolean, grow boolean, " + ", ".join(f"{n} int" for n in names))
+    exploded, plain = [], type(marked).groupBy
+
+    def counted(self, *by):
+        if by == ("c.name", "c.step"):
+            exploded.append(self.count())
+        return plain(self, *by)
+
+    monkeypatch.setattr(type(marked), "groupBy", counted)
+    assert rules.learn(marked) == []
+    assert exploded[0] == 403 * len(names) and sum(exploded) <= 6 * exploded[0]
+
+
+def test_subtracted_histograms_are_those_of_the_rows(spark):
+    rng = random.Random(4)
+    names = list(rules.steps())
+    rows = [(rng.random() < 0.4, rng.randrange(1, 4), *[rng.randrange(9) for _ in names]) for _ in range(200)]
+    table = spark.createDataFrame(rows, "junk boolean, times long, " + ", ".join(f"{n} int" for n in names))
+    wide, narrow = rules.Test(names[0], True, 1), rules.Test(names[1], False, 2)
+    seen = {(): rules._histogram(table)}
+    for wanted in ([(wide,), (narrow,)], [(wide, narrow)], [(narrow, wide), (wide, narrow, rules.Test(names[2], True, 2))]):
+        rules._measure(table, wanted, seen)
+    for rule, found in seen.items():
+        assert found == rules._histogram(table.filter(rules._all(rule))), rule
